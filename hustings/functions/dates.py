@@ -55,6 +55,11 @@ def normalise_date_text(date_raw: Column) -> Column:
     return text
 
 
+def bind(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``; keeps a long expression from being copied at every use."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def month_number(name: Column) -> Column:
     """DT18; a numeric month passes through."""
     table = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
@@ -64,8 +69,31 @@ def month_number(name: Column) -> Column:
 def clamped_date(year: Column, month: Column, day: Column) -> Column:
     """DT17: a day past the month's end becomes its last day; impossible parts give NULL."""
     valid = (year >= 1) & (year <= 9999) & (month >= 1) & (month <= 12) & (day >= 1)
-    first = F.make_date(F.when(valid, year), F.when(valid, month), F.lit(1))
-    return F.when(valid, F.date_add(first, F.least(day, F.day(F.last_day(first))) - 1))
+    first = F.when(valid, F.make_date(F.when(valid, year), F.when(valid, month), F.lit(1)))
+    return bind(first, lambda d: F.date_add(d, F.least(day, F.day(F.last_day(d))) - 1))
+
+
+def poll_date(date_raw: Column, cycle: Column, month_hint: Column | None = None) -> Column:
+    """DT1, DT16: the date meant by a text.
+
+    A form without a year takes the cycle's, or the year before when its month lies after ``month_hint``.
+    """
+    hint = F.lit(None).cast("int") if month_hint is None else month_hint
+
+    def from_numbers(p: Column) -> Column:
+        implied = F.when(cycle != 0, cycle - F.when(p["month"] > hint, 1).otherwise(0))
+        return clamped_date(F.when(p["no_year"], implied).otherwise(p["year"]), p["month"], p["day"])
+
+    def from_parts(p: Column) -> Column:
+        numbers = F.struct(
+            F.get(p, 0).try_cast("int").alias("day"),
+            month_number(F.get(p, 1)).alias("month"),
+            F.get(p, 2).try_cast("int").alias("year"),
+            (F.get(p, 2) == "").alias("no_year"),
+        )
+        return F.when(F.size(p) == 3, bind(numbers, from_numbers))
+
+    return bind(F.split(normalise_date_text(date_raw), SEP), from_parts)
 
 
 def with_poll_date(
@@ -75,28 +103,10 @@ def with_poll_date(
     month_hint: str | None = None,
     out: str = "poll_date",
 ) -> DataFrame:
-    """DT1, DT16, DT19: add ``poll_date`` and ``is_election_result``.
-
-    ``month_hint`` names a column with the cycle's closing month. A form without a year whose month lies after the
-    hint belongs to the year before.
-    """
-    parts = F.split(F.col("_text"), SEP)
-    hint = F.col(month_hint) if month_hint else F.lit(None).cast("int")
-    staged = (
-        df.withColumn("is_election_result", has_marker(F.col(date_raw)))
-        .withColumn("_text", normalise_date_text(F.col(date_raw)))
-        .withColumn("_parts", F.when(F.contains(F.col("_text"), F.lit(SEP)), parts))
-        .withColumn("_month", month_number(F.col("_parts")[1]))
-        .withColumn("_day", F.col("_parts")[0].try_cast("int"))
-        .withColumn(
-            "_year",
-            F.when(F.col("_parts")[2] != "", F.col("_parts")[2].try_cast("int")).otherwise(
-                F.when(F.col(cycle) != 0, F.col(cycle) - F.when(F.col("_month") > hint, 1).otherwise(0))
-            ),
-        )
-    )
-    return staged.withColumn(out, clamped_date(F.col("_year"), F.col("_month"), F.col("_day"))).drop(
-        "_text", "_parts", "_month", "_day", "_year"
+    """DT1, DT19: add ``poll_date`` and ``is_election_result``; ``month_hint`` names the closing-month column."""
+    hint = F.col(month_hint) if month_hint else None
+    return df.withColumns(
+        {"is_election_result": has_marker(F.col(date_raw)), out: poll_date(F.col(date_raw), F.col(cycle), hint)}
     )
 
 

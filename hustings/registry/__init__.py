@@ -1,0 +1,4 @@
+from .core import QUERIES, Query
+from . import observations  # noqa: F401
+
+__all__ = ["QUERIES", "Query"]
