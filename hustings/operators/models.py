@@ -151,7 +151,7 @@ def logistic_predictions(
         model = LogisticRegression(
             labelCol="y", weightCol="w", regParam=1.0 / (c * n), standardization=False, maxIter=2000, tol=1e-10
         ).fit(train)
-        slope = model.coefficients.toArray()
+        slope = np.array(model.coefficients.toArray())
         slope[:q] = slope[:q] / scale
         return [float(model.intercept - slope[:q] @ mean), *map(float, slope)]
 

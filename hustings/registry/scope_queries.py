@@ -171,7 +171,7 @@ def unmapped_names(spark, sf):
     return RE.unmapped_report(RE.candidate_averages(_candidates(spark, sf), "us", "averages.csv"), ["election_year"])
 
 
-@query("QC9", sql("actuals", """SELECT country, election_year, party, expected, round(actual_pct, 6) AS actual_pct, abs(actual_pct - expected) <= 1.0 AS within
+@query("QC9", sql("actuals", """SELECT country, election_year, party, CAST(expected AS DOUBLE) AS expected, round(actual_pct, 6) AS actual_pct, abs(actual_pct - expected) <= 1.0 AS within
   FROM (VALUES ('asia', 1998, 'AF', 16.7), ('asia', 1999, 'AF', 90.0), ('nowhere', 1999, 'AF', 1.0)) v(country, election_year, party, expected)
   LEFT JOIN actuals USING (country, election_year, party)"""))
 def anchor_check(spark, sf):
@@ -180,4 +180,4 @@ def anchor_check(spark, sf):
         "country string, election_year int, party string, expected double",
     )
     keys = ["country", "election_year", "party"]
-    return rounded(QC.anchor_check(anchors, FR.truth(spark, sf), keys, "actual_pct", 1.0))
+    return rounded(QC.anchor_check(FR.truth(spark, sf), anchors, keys, "actual_pct", 1.0))

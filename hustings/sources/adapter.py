@@ -123,7 +123,7 @@ HEADERS = {
     4: PLAIN,
     5: PLAIN,
     6: [*PLAIN[:4], "Leader A", "Leader B", "Leader C", "Leader D", "Leader E", "Lead"],
-    7: [*PLAIN[:6], "LD", "Green", "UKIP", "Lead"],
+    7: [*PLAIN[:6], "Lib Dem", "Green", "UKIP", "Lead"],
 }
 EXTRA_LINES = {
     3: [["Date", "Pollster", "Sample size", "Con", "Lab", "LD", "SNP", "Con", "Lab", "Unnamed: 9_level_1"]],

@@ -61,31 +61,36 @@ def read_many(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
 
 
 def read_raw_rows(
-    spark: SparkSession, path: str | list[str], max_columns: int = 64, name_pattern: str = RAW_NAME, multi_line: bool = True
+    spark: SparkSession, path: str | list[str], max_columns: int = 64, name_pattern: str = RAW_NAME, multi_line: bool = True,
+    by_folder: bool = False,
 ) -> DataFrame:
     """IO1: every line of many wide files with differing headers; entity and cycle come from the file name.
 
     All files share one all-text schema; ragged lines are padded with NULL and cut to the file's own width. A quoted
     cell may span lines, which ties a file to one task; ``multi_line=False`` lets large files be split.
+    ``by_folder`` takes the table's name from a ``source_table=`` folder instead.
     """
-    schema = ", ".join(f"c{i} string" for i in range(max_columns + 1))
+    schema = ", ".join(f"c{i} string" for i in range(max_columns + 1)) + (", source_table string" if by_folder else "")
     read = (
         spark.read.schema(schema)
         .csv(path, header=False, multiLine=multi_line, quote='"', escape='"', ignoreLeadingWhiteSpace=False)
-        .withColumns({"source_table": F.col("_metadata.file_name"), "_id": F.monotonically_increasing_id()})
+        .withColumns({"_file": F.col("_metadata.file_name"), "_id": F.monotonically_increasing_id()})
+        .where(F.col("_file").rlike(name_pattern))
     )
+    if not by_folder:
+        read = read.withColumn("source_table", F.col("_file"))
     places = F.array(*[F.when(F.col(f"c{i}").isNotNull(), F.lit(i + 1)) for i in range(max_columns + 1)])
     lines = read.select(
         "source_table", "_id", F.array(*[f"c{i}" for i in range(max_columns + 1)]).alias("cells"),
         F.coalesce(F.array_max(places), F.lit(0)).alias("_width"),
-    ).where(F.col("source_table").rlike(name_pattern))
+    )
     files = lines.groupBy("source_table").agg(F.min("_id").alias("_first"), F.max("_width").alias("_cols"))
     too_wide = F.raise_error(F.concat(F.lit("more columns than max_columns in "), F.col("source_table")))
     width = F.when(F.col("_cols") > max_columns, too_wide.cast("int")).otherwise(F.col("_cols"))
     return lines.join(lookup_side(files), "source_table").select(
         "source_table",
-        F.regexp_extract("source_table", name_pattern, 1).alias("country"),
-        F.regexp_extract("source_table", name_pattern, 2).cast("int").alias("election_year"),
+        F.regexp_extract("source_table", RAW_NAME if by_folder else name_pattern, 1).alias("country"),
+        F.regexp_extract("source_table", RAW_NAME if by_folder else name_pattern, 2).cast("int").alias("election_year"),
         (F.col("_id") - F.col("_first")).alias("row_idx"),
         F.slice("cells", F.lit(1), width).alias("cells"),
     )
