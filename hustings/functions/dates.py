@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import ENTITY_CYCLE
 from ..sizing import lookup_side
-from .text import LOOSE_MARKER, has_marker, strip
+from .text import LOOSE_MARKER, WHITE_SPACE, has_marker
 
 # Month names by their first three letters.
 MONTHS = {
@@ -20,38 +20,44 @@ MONTHS = {
     "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12,
 }
 SEP = "\u0001"
-# Fixed patterns: accepted forms after dash normalisation, and the parts they give.
+# Fixed patterns: accepted forms once dashes and spaces are plain, and the parts they give.
 NUMERIC_FORM = (r"^(0?[1-9]|1[0-2])/(\d{1,2})/(\d{4})$", f"$2{SEP}$1{SEP}$3")
 TEXT_FORMS = [
     # Month D, YYYY
     (r"^([A-Za-z]+)\s+(\d{1,2}),?\s+(\d{4})$", f"$2{SEP}$1{SEP}$3"),
-    # D Mon YYYY, after an optional range start D- / D Mon- / D Mon YYYY-
-    (r"^(?:\d{1,2}(?:\s+[A-Za-z]+(?:\s+\d{4})?)?-)?(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})$", f"$1{SEP}$2{SEP}$3"),
-    # D Mon, after an optional range start D- / D Mon-
-    (r"^(?:\d{1,2}(?:\s+[A-Za-z]+)?-)?(\d{1,2})\s+([A-Za-z]+)$", f"$1{SEP}$2{SEP}"),
-    # Mon YYYY, after an optional range start Mon-
-    (r"^(?:[A-Za-z]+-)?([A-Za-z]+)\s+(\d{4})$", f"1{SEP}$1{SEP}$2"),
-    # Mon
-    (r"^([A-Za-z]+)$", f"1{SEP}$1{SEP}"),
+    # D Mon [YYYY], after an optional range start D- or D Mon-; a start with a year needs an end with a year
+    (
+        r"^(?:\d{1,2}(?:\s+[A-Za-z]+(?:\s+\d{4}(?=-\d{1,2}\s+[A-Za-z]+\s+\d{4}$))?)?-)?"
+        r"(\d{1,2})\s+([A-Za-z]+)(?:\s+(\d{4}))?$",
+        f"$1{SEP}$2{SEP}$3",
+    ),
+    # Mon [YYYY]; a range start Mon- needs a year at the end
+    (r"^(?:[A-Za-z]+-(?=[A-Za-z]+\s+\d{4}$))?([A-Za-z]+)(?:\s+(\d{4}))?$", f"1{SEP}$1{SEP}$2"),
 ]
+# Fixed patterns: citation marks, then leading qualifiers.
+CITATION = r"(?i)\[[a-z0-9]+\]"
+QUALIFIER = r"(?i)^(?:(?:early|late|mid)\s+)?(?:pre-?\s*)?"
+DASHES = "–—"
+
+
+def plain_text(text: Column) -> Column:
+    """DT6: every dash becomes ``-`` and every kind of white space a blank; the separator itself is dropped."""
+    return F.translate(text, DASHES + WHITE_SPACE + SEP, "-" * len(DASHES) + " " * len(WHITE_SPACE))
 
 
 def strip_noise(text: Column) -> Column:
     """DT3: citation marks and leading qualifiers."""
-    for pattern in (r"(?i)\[[a-z0-9]+\]", r"(?i)^(early|late|mid)\s+", r"(?i)^pre-?\s*"):
-        text = F.regexp_replace(text, pattern, "")
-    return strip(text)
+    return F.trim(F.regexp_replace(F.regexp_replace(text, CITATION, ""), QUALIFIER, ""))
 
 
 def normalise_date_text(date_raw: Column) -> Column:
     """DT2-DT15: ``day<sep>month<sep>year`` or unmatched text."""
-    text = strip(F.regexp_replace(strip(date_raw), LOOSE_MARKER, ""))
-    text = strip_noise(text)
-    text = F.regexp_replace(text, *NUMERIC_FORM)
-    text = strip(F.split_part(text, F.lit("/"), F.lit(-1)))
-    text = F.regexp_replace(text, r"(?U)\s*[–—-]\s*", "-")
+    text = F.trim(F.regexp_replace(F.trim(plain_text(date_raw)), LOOSE_MARKER, ""))
+    text = F.regexp_replace(strip_noise(text), *NUMERIC_FORM)
+    text = F.trim(F.split_part(text, F.lit("/"), F.lit(-1)))
+    text = F.regexp_replace(text, " *- *", "-")
     for pattern, parts in TEXT_FORMS:
-        text = F.regexp_replace(text, "(?U)" + pattern, parts)
+        text = F.regexp_replace(text, pattern, parts)
     return text
 
 
@@ -63,14 +69,15 @@ def bind(value: Column, use) -> Column:
 def month_number(name: Column) -> Column:
     """DT18; a numeric month passes through."""
     table = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, F.lower(F.left(name, F.lit(3)))), name.try_cast("int"))
+    numeric = F.when(F.left(name, F.lit(1)) <= "9", name.cast("int"))
+    return F.coalesce(numeric, F.try_element_at(table, F.lower(F.left(name, F.lit(3)))))
 
 
 def clamped_date(year: Column, month: Column, day: Column) -> Column:
     """DT17: a day past the month's end becomes its last day; impossible parts give NULL."""
     valid = (year >= 1) & (year <= 9999) & (month >= 1) & (month <= 12) & (day >= 1)
-    first = F.when(valid, F.make_date(F.when(valid, year), F.when(valid, month), F.lit(1)))
-    return bind(first, lambda d: F.date_add(d, F.least(day, F.day(F.last_day(d))) - 1))
+    first = F.make_date(year, month, F.lit(1))
+    return F.when(valid, bind(first, lambda d: F.date_add(d, F.least(day, F.day(F.last_day(d))) - 1)))
 
 
 def poll_date(date_raw: Column, cycle: Column, month_hint: Column | None = None) -> Column:
@@ -82,14 +89,13 @@ def poll_date(date_raw: Column, cycle: Column, month_hint: Column | None = None)
 
     def from_numbers(p: Column) -> Column:
         implied = F.when(cycle != 0, cycle - F.when(p["month"] > hint, 1).otherwise(0))
-        return clamped_date(F.when(p["no_year"], implied).otherwise(p["year"]), p["month"], p["day"])
+        return bind(F.coalesce(p["year"], implied), lambda year: clamped_date(year, p["month"], p["day"]))
 
     def from_parts(p: Column) -> Column:
         numbers = F.struct(
-            F.get(p, 0).try_cast("int").alias("day"),
+            F.get(p, 0).cast("int").alias("day"),
             month_number(F.get(p, 1)).alias("month"),
-            F.get(p, 2).try_cast("int").alias("year"),
-            (F.get(p, 2) == "").alias("no_year"),
+            F.when(F.get(p, 2) != "", F.get(p, 2).cast("int")).alias("year"),
         )
         return F.when(F.size(p) == 3, bind(numbers, from_numbers))
 

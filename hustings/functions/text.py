@@ -20,9 +20,13 @@ PERCENT_CELL = r"^\s*\d{1,2}(\.\d+)?\s*%?\s*$"
 MOJIBAKE = [("â€“", "–"), ("â€”", "—"), ("â€™", "'")]
 
 
+# Characters counted as white space.
+WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(col: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    return F.trim(col, F.lit(WHITE_SPACE))
 
 
 def missing_to_null(col: Column) -> Column:

@@ -36,6 +36,7 @@ FEATURE_SETS = {
 RIDGE_ALPHA = 10.0
 LOGISTIC_C = 0.5
 MAX_FOLDS = 1000
+ROWS_PER_FIT_TASK = 100_000
 
 
 def _design(features: list[str], entity: str, categories: list[str], centre: dict[str, float]) -> list[Column]:
@@ -122,6 +123,7 @@ def logistic_predictions(
     x = _design(features, entity, categories, centre)
     q = len(features)
     rows = cut_lineage(df.select(*keys, F.col(label).cast("double").alias("y"), F.array(*x).alias("x")))
+    rows = rows.coalesce(max(1, -(-rows.count() // ROWS_PER_FIT_TASK)))
     squares = [F.sum(F.col("x")[i] * F.col("x")[i]).alias(f"q{i}") for i in range(q)]
     own = (
         rows.groupBy(*keys)

@@ -10,7 +10,7 @@ from ..operators import scope as S
 from ..operators.joins import observation_errors
 from ..plans import dataset as D
 from ..plans import marts as P
-from ..sizing import settled
+from ..sizing import lookup_side, settled
 from ..sources import adapter as A
 
 
@@ -28,12 +28,19 @@ def splits(spark: SparkSession, sf: str) -> DataFrame:
 
 def rolling(spark: SparkSession, sf: str) -> DataFrame:
     """Every observation up to the cutoff day; the adapter's plain polls hold no result rows."""
-    return D.build_rolling(A.polls(spark, sf), dates(spark, sf), A.ORDER, exclude_markers="none", strict_cutoff=False)
+    polls = A.polls(spark, sf)
+    return _rolling(polls, lookup_side(A.election_dates(polls)))
+
+
+def _rolling(polls: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    return D.build_rolling(polls, cutoffs, A.ORDER, exclude_markers="none", strict_cutoff=False)
 
 
 def dataset(spark: SparkSession, sf: str) -> DataFrame:
+    polls = A.polls(spark, sf)
+    cutoffs = lookup_side(A.election_dates(polls))
     return D.model_dataset(
-        rolling(spark, sf), truth(spark, sf), dates(spark, sf), splits(spark, sf), A.ORDER, on_empty="null"
+        _rolling(polls, cutoffs), A.actuals(polls), cutoffs, D.chronological_split(cutoffs), A.ORDER, on_empty="null"
     )
 
 
@@ -58,16 +65,19 @@ def out_of_fold_columns(df: DataFrame) -> DataFrame:
 
 
 def errors(spark: SparkSession, sf: str) -> DataFrame:
-    return observation_errors(A.polls(spark, sf), truth(spark, sf))
+    polls = A.polls(spark, sf)
+    return observation_errors(polls, A.actuals(polls))
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return S.marker_candidates(S.comparable_polls(A.marked_polls(spark, sf), {}), truth(spark, sf))
+    polls = A.polls(spark, sf)
+    return S.marker_candidates(S.comparable_polls(A.with_markers(polls), {}), A.actuals(polls))
 
 
 def audit(spark: SparkSession, sf: str) -> DataFrame:
-    marked = S.comparable_polls(A.marked_polls(spark, sf), {})
-    return S.scope_audit(marked, settled(candidates(spark, sf)))
+    polls = A.polls(spark, sf)
+    marked = S.comparable_polls(A.with_markers(polls), {})
+    return S.scope_audit(marked, settled(S.marker_candidates(marked, A.actuals(polls))))
 
 
 def decided(spark: SparkSession, sf: str) -> DataFrame:

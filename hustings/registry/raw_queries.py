@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..operators import rawtables as RT
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import adapter as A
 from ..sources import files
 from .core import query, rounded
@@ -42,6 +42,11 @@ MELT = """SELECT DISTINCT country, election_year, strftime(day, '%-d %b %Y') AS
     FROM national l JOIN decided d ON l.source_table = d.source_table WHERE status = 'ok') WHERE pct IS NOT NULL"""
 
 
+def _raw(spark, sf):
+    """Raw tables stored once, as scraped files would be; admission reads them several times."""
+    return cut_lineage(A.raw_rows(spark, sf))
+
+
 def _lines(body: str) -> str:
     return sql("polls", LINES + body).replace("\n, lines", ", lines")
 
@@ -55,19 +60,19 @@ def scrape_admission(spark, sf):
 
 @query("CL2 CL3 CL4 CL5 CL6 CL7 CL8 CL9 CL10 CL11 CL12 CL13 CL14 CL16 CL17 WN12", _lines("SELECT source_table, country, election_year, status FROM decided"))
 def table_admission(spark, sf):
-    decided, _, _ = RT.profile_tables(A.raw_rows(spark, sf), A.adapter_labels(spark))
+    decided, _, _ = RT.profile_tables(_raw(spark, sf), A.adapter_labels(spark))
     return decided.select("source_table", "country", "election_year", "status")
 
 
 @query("CL24", _lines("SELECT status, count(*) AS tables FROM decided GROUP BY status"))
 def skip_reasons(spark, sf):
-    decided, _, _ = RT.profile_tables(A.raw_rows(spark, sf), A.adapter_labels(spark))
+    decided, _, _ = RT.profile_tables(_raw(spark, sf), A.adapter_labels(spark))
     return RT.skip_report(decided)
 
 
 @query("CL12 CL15 CL18 CL19 CL20 CL21 CL22 CL23", _lines(MELT))
 def cleaned_observations(spark, sf):
-    return rounded(RT.clean_tables(A.raw_rows(spark, sf), A.adapter_labels(spark))[0])
+    return rounded(RT.clean_tables(_raw(spark, sf), A.adapter_labels(spark))[0])
 
 
 @query("IO1", _lines("SELECT source_table, country, election_year, count(*) AS lines, CAST(10 AS INTEGER) AS width FROM lines WHERE kind IN (0, 4) AND country IN ('asia', 'africa') AND election_year = 1998 GROUP BY 1, 2, 3"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.rawtables import SERIES_LABELS
 from ..schemas import ENTITY_CYCLE, SERIES_KEYS
+from ..sizing import lookup_side
 
 TIES = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 ORDER = ["poll_date", *TIES]
@@ -14,23 +15,39 @@ PARTIES = ["AF", "AO", "NF", "NO", "RF", "RO"]
 REGIONS = ["africa", "america", "asia", "europe", "middle east"]
 
 
+#: Declared types of the tables read most; a declared schema needs no footer job.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read.schema(TABLES[name]) if name in TABLES else spark.read
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as poll readings: region is the entity, ship year the cycle, flag and status the series."""
     places = (
         load(spark, sf_dir, "nation")
-        .join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .join(lookup_side(load(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
         .select("n_nationkey", F.lower("r_name").alias("country"))
     )
     sources = (
         load(spark, sf_dir, "supplier")
-        .join(places, F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(lookup_side(places), F.col("s_nationkey") == F.col("n_nationkey"))
         .select("s_suppkey", "country", F.col("s_name").alias("pollster"))
     )
-    lines = load(spark, sf_dir, "lineitem").join(sources, F.col("l_suppkey") == F.col("s_suppkey"))
+    lines = load(spark, sf_dir, "lineitem").join(lookup_side(sources), F.col("l_suppkey") == F.col("s_suppkey"))
     day = F.col("l_shipdate").cast("date")
     return lines.select(
         "country",
@@ -63,8 +80,11 @@ def _date_text(day: Column, key: Column) -> Column:
 
 
 def marked_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_markers(polls(spark, sf_dir))
+
+
+def with_markers(df: DataFrame) -> DataFrame:
     """Polls in which some rows are result lines, in the date text or in the source column."""
-    df = polls(spark, sf_dir)
     kind = F.col("l_orderkey") % 200
     marker = kind.isin(7, 47, 87, 127, 167)
     date_raw = (
