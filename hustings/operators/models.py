@@ -151,7 +151,7 @@ def logistic_predictions(
         train = rows.where(other).select("y", weight.alias("w"), *[e.alias(f"z{j}") for j, e in enumerate(z)])
         train = VectorAssembler(inputCols=[f"z{j}" for j in range(len(z))], outputCol="features").transform(train)
         model = LogisticRegression(
-            labelCol="y", weightCol="w", regParam=1.0 / (c * n), standardization=False, maxIter=2000, tol=1e-10
+            labelCol="y", weightCol="w", regParam=1.0 / (c * n), standardization=False, maxIter=2000, tol=1e-9
         ).fit(train)
         slope = np.array(model.coefficients.toArray())
         slope[:q] = slope[:q] / scale

@@ -13,7 +13,8 @@ from ..operators.rolling import rolling_features
 from ..schemas import ENTITY_CYCLE, SERIES_KEYS
 from ..sizing import lookup_side
 
-BLOCK_KEYS = [*SERIES_KEYS, "election_date", "dataset_split"]
+#: One value per cycle, carried along: grouping by the series keys alone keeps the window's partitioning and order.
+CYCLE_FACTS = ["election_date", "dataset_split"]
 
 
 def build_rolling(
@@ -75,7 +76,7 @@ def _zero_if_null(col: Column) -> Column:
 
 
 def feature_block(
-    rows: DataFrame, order: list[str], keys: list[str] = BLOCK_KEYS, recent_days: int = 30, on_empty: str = "error"
+    rows: DataFrame, order: list[str], keys: list[str] = SERIES_KEYS, recent_days: int = 30, on_empty: str = "error"
 ) -> DataFrame:
     """AG9-AG11: one row per series and cycle, a single aggregation over all its observations.
 
@@ -88,6 +89,7 @@ def feature_block(
     elapsed = F.when(recent, F.datediff(day, cutoff).cast("double"))
     last = F.struct("poll_date", "pct", "rolling_avg", "momentum_1st_diff", "momentum_2nd_diff")
     agg = rows.groupBy(*keys).agg(
+        *[F.min(c).alias(c) for c in CYCLE_FACTS],
         F.max_by(last, F.struct(*order)).alias("_last"),
         F.avg(pct).alias("recent_30d_mean"),
         F.stddev_pop(pct).alias("recent_30d_std"),
@@ -112,6 +114,7 @@ def feature_block(
     flat = F.when(F.col("_from") < F.col("_to"), F.col("_slope"))
     return agg.select(
         *keys,
+        *CYCLE_FACTS,
         F.col("_last.poll_date").alias("last_poll_date"),
         F.datediff("election_date", "_last.poll_date").alias("days_before_election"),
         F.col("_last.pct").alias("final_poll_pct"),

@@ -115,7 +115,7 @@ def split_table(spark, sf):
 
 @query("WN5 ML8", sql("calls", "SELECT country, election_year, actual_winner, predicted_winner, winner_correct FROM calls"))
 def predicted_leader(spark, sf):
-    return M.winner_calls(FR.dataset(spark, sf), "final_rolling_avg")
+    return M.winner_calls(FR.settled_dataset(spark, sf), "final_rolling_avg")
 
 
 @query("ML8", sql("calls", "SELECT round(avg(winner_correct), 6) AS value FROM calls"))

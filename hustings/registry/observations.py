@@ -72,9 +72,8 @@ def fold_numbers(spark, sf):
          JOIN region ON n_regionkey = r_regionkey WHERE l_discount > 0) WHERE rn <= 15""",
 )
 def first_values(spark, sf):
-    discounts = A.load(spark, sf, "lineitem").select(*ID, F.when(F.col("l_discount") > 0, F.col("l_discount")).alias("v"))
-    rows = A.polls(spark, sf).select("country", "source_table", *ID).join(discounts, ID)
-    rows = rows.withColumn("at", F.struct(*ID))
+    rows = A.polls(spark, sf, ("l_discount",)).withColumn("v", F.when(F.col("l_discount") > 0, F.col("l_discount")))
+    rows = rows.select("country", "source_table", *ID, "v", F.struct(*ID).alias("at"))
     return WN.first_n_non_null(rows, ["country", "source_table"], "at", "v").select(
         "country", "source_table", *ID[:4]
     )

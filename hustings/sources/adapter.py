@@ -35,7 +35,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+def polls(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Line items as poll readings: region is the entity, ship year the cycle, flag and status the series."""
     places = (
         load(spark, sf_dir, "nation")
@@ -59,6 +59,7 @@ def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("lot_"), (F.col("l_partkey") % 20).cast("string")).alias("source_table"),
         _date_text(day, F.col("l_orderkey")).alias("date_raw"),
         *TIES,
+        *extra,
     )
 
 
