@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import with_poll_date
+from ..functions.dates import bind, with_poll_date
 from ..functions.text import (
     PERCENT_CELL,
     base_name,
@@ -24,6 +24,7 @@ from ..functions.text import (
     repair_mojibake,
     strip,
 )
+from ..session import cut_lineage
 from ..sizing import lookup_side, settled
 from .ordering import first_n_non_null
 
@@ -132,10 +133,14 @@ def admissible_scrape(raw: DataFrame) -> DataFrame:
 def with_table_names(raw: DataFrame) -> DataFrame:
     """CL2-CL7, CL10, CL12, CL18: one row per table with its final names and the columns that play a role."""
     data = F.col("row_idx") > 0
-    tables = raw.groupBy(*TABLE).agg(
-        F.max(F.when(F.col("row_idx") == 0, F.col("cells"))).alias("_head"),
-        F.min_by(F.when(data, F.struct("row_idx", "cells")), F.when(data, F.col("row_idx"))).alias("_first"),
-        F.count_if(data).alias("n_rows"),
+    sizes = raw.groupBy(*TABLE).agg(
+        F.count_if(data).alias("n_rows"), F.min(F.when(data, F.col("row_idx"))).alias("_start")
+    )
+    # Only the header line and the first data line of each table carry their cells into the aggregation.
+    heads = raw.join(lookup_side(sizes), TABLE).where((F.col("row_idx") == 0) | (F.col("row_idx") == F.col("_start")))
+    tables = heads.groupBy(*TABLE, "n_rows").agg(
+        F.max(F.when(~data, F.col("cells"))).alias("_head"),
+        F.max(F.when(data, F.struct("row_idx", "cells"))).alias("_first"),
     )
     tables = tables.withColumn("header", header_names(F.transform("_head", missing_to_null)))
     tables = tables.withColumn(
@@ -166,8 +171,10 @@ def rows_with_names(raw: DataFrame, tables: DataFrame) -> DataFrame:
     """Data rows with their table's names; a row is junk when it repeats names or carries ``unnamed:`` (CL8)."""
     named = raw.where(F.col("row_idx") > 0).join(lookup_side(tables), TABLE)
     kept = named.where(F.col("row_idx") >= F.col("first_kept")).withColumn("cells", F.transform("cells", missing_to_null))
-    low_cells = _lower(F.col("cells"))
-    junk = (F.size(F.array_intersect(low_cells, "low")) >= 2) | F.exists(low_cells, lambda c: c.contains("unnamed:"))
+    junk = bind(
+        _lower(F.col("cells")),
+        lambda low: (F.size(F.array_intersect(low, "low")) >= 2) | F.exists(low, lambda c: c.contains("unnamed:")),
+    )
     area = F.lower(strip(F.get("cells", F.col("area_idx"))))
     national = F.col("area_idx").isNull() | F.coalesce(area.isin(NATIONAL_AREAS), F.lit(False))
     return kept.withColumns({"junk": junk, "national": national})
@@ -190,6 +197,7 @@ def profile_tables(raw: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFr
         body.select(*TABLE, "row_idx", "national", "date_idx", F.posexplode("cells").alias("col_idx", "value")),
         [*TABLE, "col_idx", "national"], "row_idx", "value",
     )
+    sample = cut_lineage(sample)  # at most thirty cells per column, read twice
     dates = first_n_non_null(sample.where(F.col("col_idx") == F.col("date_idx")), TABLE, "row_idx", "value")
     parsed = with_poll_date(dates, date_raw="value")
     date_proof = parsed.groupBy(*TABLE).agg(F.avg(F.col("poll_date").isNotNull().cast("int")).alias("date_share"))
