@@ -54,17 +54,19 @@ def error_shape(errors: DataFrame, column: str = "signed_error") -> DataFrame:
 
 
 def series_correlation(
-    polls: DataFrame, on: list[str], series: str = "party", value: str = "pct", labels: list[str] | None = None
+    polls: DataFrame, on: list[str], series: str = "party", value: str = "pct", labels: list[str] | None = None,
+    by: list[str] | None = None,
 ) -> DataFrame:
-    """AG18: correlation of every pair of series over the dates where both were observed.
+    """AG18: correlation of every pair of series over the dates where both were observed, per group of ``by``.
 
     The pivot puts one date on one row, so pairs are columns of a single aggregate and no rows are paired.
     """
     labels = labels or bounded_values(polls, series, 200)
-    means = polls.groupBy(*on).pivot(series, labels).agg(F.avg(value))
+    by = by or []
+    means = polls.groupBy(*by, *on).pivot(series, labels).agg(F.avg(value))
     pairs = list(combinations(range(len(labels)), 2))
     cell = [F.col(f"`{name}`") for name in labels]
-    wide = means.agg(
+    wide = means.groupBy(*by).agg(
         *[F.corr(cell[i], cell[j]).alias(f"c{i}_{j}") for i, j in pairs],
         *[F.count(c).alias(f"n{i}") for i, c in enumerate(cell)],
     )
@@ -83,7 +85,7 @@ def series_correlation(
         )
         for i, name in enumerate(labels)
     ]
-    return wide.select(F.explode(F.array(*entries)).alias("r")).select("r.*")
+    return wide.select(*by, F.explode(F.array(*entries)).alias("r")).select(*by, "r.*")
 
 
 def error_summary(df: DataFrame, by: list[str], absolute: str = "absolute_error") -> DataFrame:

@@ -90,11 +90,13 @@ def first_n_non_null(df: DataFrame, keys: list[str], order: str, value: str, n:
     return present.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def running_marker(df: DataFrame, series: str = "party", date: str = "poll_date", truth: str = "actual_pct") -> DataFrame:
-    """WN13: each series' truth placed at the last date of the slice; two aggregates, no window over the rows."""
-    per_series = df.groupBy(series).agg(F.min(truth).alias(truth), F.max(date).alias("_last"))
-    last = F.max("_last").over(Window.partitionBy(F.lit(1)))
-    return per_series.select(series, truth, last.alias("marker_date")).where(F.col(truth).isNotNull())
+def running_marker(
+    df: DataFrame, by: list[str], series: str = "party", date: str = "poll_date", truth: str = "actual_pct"
+) -> DataFrame:
+    """WN13: each series' truth placed at the last date of its slice; the window runs over one row per series."""
+    per_series = df.groupBy(*by, series).agg(F.min(truth).alias(truth), F.max(date).alias("_last"))
+    last = F.max("_last").over(Window.partitionBy(*by))
+    return per_series.select(*by, series, truth, last.alias("marker_date")).where(F.col(truth).isNotNull())
 
 
 def largest(df: DataFrame, by: str, k: int, ties: list[str], ascending: bool = False) -> DataFrame:

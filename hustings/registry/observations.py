@@ -79,10 +79,10 @@ def first_values(spark, sf):
     )
 
 
-@query("WN13", sql("rolling targets", "SELECT party, actual_pct, (SELECT max(poll_date) FROM rolling WHERE country = 'asia' AND election_year = 1998) AS marker_date FROM (SELECT party, round(actual_pct, 6) AS actual_pct FROM targets WHERE country = 'asia' AND election_year = 1998)"))
+@query("WN13", sql("rolling targets", "SELECT t.country, t.election_year, t.party, round(actual_pct, 6) AS actual_pct, marker_date FROM targets t JOIN (SELECT country, election_year, max(poll_date) AS marker_date FROM rolling GROUP BY 1, 2) m ON t.country = m.country AND t.election_year = m.election_year"))
 def series_markers(spark, sf):
-    rows = FR.rolling(spark, sf).where((F.col("country") == "asia") & (F.col("election_year") == 1998))
-    return rounded(WN.running_marker(JN.many_to_one(rows, FR.truth(spark, sf), KEYS)))
+    rows = JN.many_to_one(FR.rolling(spark, sf), FR.truth(spark, sf), KEYS)
+    return rounded(WN.running_marker(rows, ["country", "election_year"]))
 
 
 # ---- cutoff ----------------------------------------------------------------------------------------------------
@@ -376,12 +376,11 @@ def error_shape(spark, sf):
     )
 
 
-@query("AG18", sql("polls", """, means AS (SELECT poll_date, party, avg(pct) AS v FROM polls WHERE country = 'asia' AND election_year = 1998 GROUP BY 1, 2)
-  SELECT a.party AS series_a, b.party AS series_b, round(CASE WHEN a.party = b.party THEN 1.0 ELSE corr(a.v, b.v) END, 6) AS correlation
-  FROM means a JOIN means b USING (poll_date) GROUP BY 1, 2""").replace("\n, means", ", means"))
+@query("AG18", sql("polls", """, means AS (SELECT country, election_year, poll_date, party, avg(pct) AS v FROM polls GROUP BY 1, 2, 3, 4)
+  SELECT a.country, a.election_year, a.party AS series_a, b.party AS series_b, round(CASE WHEN a.party = b.party THEN 1.0 ELSE corr(a.v, b.v) END, 6) AS correlation
+  FROM means a JOIN means b ON a.country = b.country AND a.election_year = b.election_year AND a.poll_date = b.poll_date GROUP BY 1, 2, 3, 4""").replace("\n, means", ", means"))
 def series_correlation(spark, sf):
-    cycle = A.polls(spark, sf).where((F.col("country") == "asia") & (F.col("election_year") == 1998))
-    return rounded(AG.series_correlation(cycle, ["poll_date"], labels=A.PARTIES))
+    return rounded(AG.series_correlation(A.polls(spark, sf), ["poll_date"], labels=A.PARTIES, by=["country", "election_year"]))
 
 
 @query("JN13", sql("polls actuals", "SELECT DISTINCT p.party FROM polls p WHERE p.party NOT IN (SELECT party FROM actuals WHERE party <> 'RO')"))

@@ -75,21 +75,31 @@ def cleaned_observations(spark, sf):
     return rounded(RT.clean_tables(_raw(spark, sf), A.adapter_labels(spark))[0])
 
 
-@query("IO1", _lines("SELECT source_table, country, election_year, count(*) AS lines, CAST(10 AS INTEGER) AS width FROM lines WHERE kind IN (0, 4) AND country IN ('asia', 'africa') AND election_year = 1998 GROUP BY 1, 2, 3"))
+@query("IO1", _lines("SELECT source_table, country, election_year, n + CASE kind WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 0 END AS lines, CAST(10 AS INTEGER) AS width FROM (SELECT * REPLACE (replace(country, ' ', '') AS country) FROM tables)"))
 def raw_file_rows(spark, sf):
-    """Wide files written one per table, read back with names, line numbers and widths."""
-    kinds = F.regexp_extract("source_table", r"table(\d+)", 1).cast("int") % 8
-    raw = A.raw_rows(spark, sf).where((F.col("country").isin("asia", "africa")) & (F.col("election_year") == 1998) & kinds.isin(0, 4) & ((F.col("row_idx") == 0) | (F.col("row_idx") > 9)))
-    path = scratch_path(spark, "raw-files")
+    """Every wide table written as files with differing headers, read back with names, line numbers and widths.
+
+    A table is stored as one file per million order keys, each with the table's header line, so no file and no
+    writing task grows with the table.
+    """
+    raw = _raw(spark, sf)
+    number = F.floor(F.greatest(F.col("row_idx") - 10, F.lit(0)) / 1_000_000)
+    numbered = raw.withColumn("part", F.lpad(number.cast("string"), 6, "0"))
+    heads = raw.where("row_idx = 0").join(numbered.select("source_table", "part").distinct(), "source_table")
+    lines = numbered.where("row_idx > 0").unionByName(heads)
+    file = F.concat(F.replace("source_table", F.lit(".csv"), F.lit("")), "part", F.lit(".csv"))
     cells = [F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(10)]
-    ordered = raw.repartition("source_table").sortWithinPartitions("source_table", "row_idx")
-    ordered.select("source_table", *cells).write.partitionBy("source_table").option("header", False).csv(path)
+    path = scratch_path(spark, "raw-files")
+    placed = lines.withColumn("source_table", file).repartition("source_table")
+    placed.sortWithinPartitions("source_table", "row_idx").select("source_table", *cells).write.partitionBy(
+        "source_table"
+    ).option("header", False).csv(path)
     back = files.read_raw_rows(spark, path, 12, r"^part-.*\.csv$", by_folder=True)
-    data = back.where(F.col("row_idx") > 0)
-    out = data.groupBy("source_table").agg(F.count("*").alias("lines"), F.max(F.size("cells")).alias("width"))
-    return out.select(
-        "source_table", F.regexp_extract("source_table", files.RAW_NAME, 1).alias("country"),
-        F.regexp_extract("source_table", files.RAW_NAME, 2).cast("int").alias("election_year"), "lines", "width",
+    table = F.regexp_replace("source_table", r"\d{6}\.csv$", ".csv")
+    return (
+        back.where(F.col("row_idx") > 0)
+        .groupBy(table.alias("source_table"), "country", "election_year")
+        .agg(F.count("*").alias("lines"), F.max(F.size("cells")).alias("width"))
     )
 
 

@@ -107,32 +107,34 @@ def country_totals(spark, sf):
 
 # ---- true outcomes ---------------------------------------------------------------------------------------------
 
-@query("AG1", sql("polls", """SELECT 'africa' AS country, election_year, party, round(100.0 * v / t, 6) AS actual_pct FROM (
+@query("AG1", sql("polls", """SELECT 'all' AS country, election_year, party, round(100.0 * v / t, 6) AS actual_pct FROM (
    SELECT election_year, sum(l_extendedprice) FILTER (party = 'AF') AS "AF", sum(l_extendedprice) FILTER (party = 'NO') AS "NO", sum(l_extendedprice) AS t
-   FROM polls WHERE country = 'africa' GROUP BY election_year) UNPIVOT (v FOR party IN ("AF", "NO"))"""))
+   FROM polls GROUP BY election_year) UNPIVOT (v FOR party IN ("AF", "NO"))"""))
 def weighted_share(spark, sf):
     """Districts are suppliers' lines; two series' votes over all votes, blanks where a series did not stand."""
-    rows = A.polls(spark, sf).where("country = 'africa'")
     votes = [F.when(F.col("party") == p, F.col("l_extendedprice")).cast("string").alias(f"{p}_votes") for p in ("AF", "NO")]
-    wide = rows.select("election_year", "l_extendedprice", *votes)
-    return rounded(RE.weighted_share(wide, "election_year", {"AF": "AF_votes", "NO": "NO_votes"}, "l_extendedprice", F.lit("africa")))
+    wide = A.polls(spark, sf).select("election_year", "l_extendedprice", *votes)
+    return rounded(RE.weighted_share(wide, "election_year", {"AF": "AF_votes", "NO": "NO_votes"}, "l_extendedprice", F.lit("all")))
 
 
-@query("AG2", sql("polls", """SELECT 'asia' AS country, election_year, party, round(100.0 * v / (b + c + l), 6) AS actual_pct FROM (
+@query("AG2", sql("polls", """SELECT 'all' AS country, election_year, party, round(100.0 * v / (b + c + l), 6) AS actual_pct FROM (
    SELECT election_year, b, c, l, b AS "BQ", c AS "CPC", l AS "LPC" FROM (
    SELECT election_year, sum(l_extendedprice) FILTER (party = 'AF') AS b, sum(l_extendedprice) FILTER (party = 'AO') AS c,
-     sum(l_extendedprice) FILTER (party = 'NF') AS l FROM polls WHERE country = 'asia' GROUP BY election_year)) UNPIVOT (v FOR party IN ("BQ", "CPC", "LPC"))"""))
+     sum(l_extendedprice) FILTER (party = 'NF') AS l FROM polls GROUP BY election_year)) UNPIVOT (v FOR party IN ("BQ", "CPC", "LPC"))"""))
 def share_of_present_columns(spark, sf):
-    rows = A.polls(spark, sf).where("country = 'asia'")
     columns = {"Bloc": "AF", "ConParty": "AO", "Lib": "NF"}
-    wide = rows.select("election_year", *[F.when(F.col("party") == p, F.col("l_extendedprice")).alias(c) for c, p in columns.items()])
-    return rounded(RE.present_column_share(wide, "election_year", F.lit("asia")))
+    votes = [F.when(F.col("party") == p, F.col("l_extendedprice")).alias(c) for c, p in columns.items()]
+    return rounded(RE.present_column_share(A.polls(spark, sf).select("election_year", *votes), "election_year", F.lit("all")))
 
 
-@query("AG3 RS1", sql("actuals", "SELECT 'europe' AS country, election_year, 'A (2PP)' AS party, round(actual_pct, 6) AS actual_pct FROM actuals WHERE country = 'europe' AND party = 'AF' UNION ALL SELECT 'europe', election_year, 'B (2PP)', round(100 - actual_pct, 6) FROM actuals WHERE country = 'europe' AND party = 'AF'"))
+@query("AG3 RS1", sql("polls", """SELECT 'all' AS country, election_year, UNNEST([{'party': 'A (2PP)', 'actual_pct': round(a, 6)}, {'party': 'B (2PP)', 'actual_pct': round(100 - a, 6)}], recursive := true)
+  FROM (SELECT election_year, 100.0 * sum(l_extendedprice) FILTER (party LIKE 'A%') / sum(l_extendedprice) AS a FROM polls GROUP BY 1)"""))
 def ready_shares(spark, sf):
-    rows = FR.truth(spark, sf).where("country = 'europe' AND party = 'AF'").withColumn("other_pct", 100 - F.col("actual_pct"))
-    return rounded(RE.ready_shares(rows, "election_year", {"A (2PP)": "actual_pct", "B (2PP)": "other_pct"}, F.lit("europe")))
+    """Published two-way shares per cycle, one column per side."""
+    side = F.sum(F.when(F.col("party").startswith("A"), F.col("l_extendedprice")))
+    published = A.polls(spark, sf).groupBy("election_year").agg((100.0 * side / F.sum("l_extendedprice")).alias("a_pct"))
+    published = published.withColumn("b_pct", 100 - F.col("a_pct"))
+    return rounded(RE.ready_shares(published, "election_year", {"A (2PP)": "a_pct", "B (2PP)": "b_pct"}, F.lit("all")))
 
 
 NAMES = """CASE l_suppkey % 6 WHEN 0 THEN 'Donald Trump' WHEN 1 THEN 'Hillary Clinton' WHEN 2 THEN 'Trump' WHEN 3 THEN 'Ross Perot'
