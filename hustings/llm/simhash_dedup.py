@@ -27,6 +27,15 @@ from .components import components
 PART_ROWS = 20_000
 #: Node pairs walked at once.
 FRONTIER = 200_000
+#: In a subtrie of more points, what lies near its middle is linked to one point and not compared among itself.
+DENSE = 128
+#: Sketch for near copies: 64-bit words, words compared, and the bits of these that may differ (39 are expected at 0.8).
+SKETCH_WORDS = 10
+COMPARED_WORDS = 4
+SKETCH_BUDGET = 48
+#: Bits of a key of the sketch, and keys of a sketch.
+KEY_BITS = 16
+KEYS = 40
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -52,18 +61,26 @@ def simhash(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_fingerprints(column: pa.Array, width: int) -> np.ndarray:
+def text_fingerprints(column: pa.Array, width: int, words: int = 0) -> np.ndarray:
+    """The SimHash of each text; with ``words``, that many from independent mixes of the shingle hashes, a row per text."""
     data, offsets = text_bytes(column)
-    out = [np.zeros(0, np.uint64)]
+    out = [np.zeros((0, words) if words else 0, np.uint64)]
     digest = xxhash.xxh64_intdigest
     for a, b in slices(offsets):
         joined, starts, ends, first_word = folded_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         s, e, counts = shingles(starts, ends, first_word, width)
         hashes = np.fromiter((digest(joined[x:y], 42) for x, y in zip(s.tolist(), e.tolist())), np.uint64, len(s))
-        out.append(simhash(hashes, counts))
+        out.append(np.stack([simhash(_mixed(hashes, w), counts) for w in range(words)], axis=1) if words else simhash(hashes, counts))
     return np.concatenate(out)
 
 
+def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
+    h = (hashes ^ np.uint64((seed + 1) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
 def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the SimHash of every whole text over its ``width``-word shingles, as a signed long."""
 
@@ -104,8 +121,9 @@ def _least_reachable(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | N
 def walk(rest: np.ndarray, pairs: list[np.ndarray], radius: int, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of ``rest`` within ``radius``, from the given pairs of trie nodes.
 
-    ``rest`` holds the bits to compare, highest first, sorted within each node. ``pairs`` are the arrays (from, to) of the
-    one node, (from, to) of the other, and the bits that differ so far; a node paired with itself gives each pair once.
+    ``rest`` holds the bits to compare, highest first, in rows of 64-bit words, sorted within each node. ``pairs`` are the
+    arrays (from, to) of the one node, (from, to) of the other, and the bits that differ so far; a node paired with itself
+    gives each pair once.
     """
     stack = [(*pairs, depth)]
     while stack:
@@ -125,7 +143,7 @@ def walk(rest: np.ndarray, pairs: list[np.ndarray], radius: int, depth: int) ->
                 i = np.repeat(a0[leaf][part], size[part]) + inner // np.maximum(across, 1)
                 j = np.repeat(b0[leaf][part], size[part]) + inner % np.maximum(across, 1)
                 own = np.repeat((a0 == b0)[leaf][part], size[part])
-                near = (np.bitwise_count(rest[i] ^ rest[j]) <= radius) & ~(own & (i >= j))
+                near = (np.bitwise_count(rest[i] ^ rest[j]).sum(axis=1, dtype=np.int64) <= radius) & ~(own & (i >= j))
                 yield i[near], j[near]
             keep = ~leaf
             a0, a1, b0, b1, used = a0[keep], a1[keep], b0[keep], b1[keep], used[keep]
@@ -149,53 +167,81 @@ def _parts(size: np.ndarray, most: int = 2_000_000) -> Iterator[slice]:
 
 def _split(rest: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
     """Where the given bit turns to 1 within each sorted range whose higher bits are equal."""
-    lo, hi, one = lo.copy(), hi.copy(), np.uint64(1 << bit)
+    lo, hi, one, word = lo.copy(), hi.copy(), np.uint64(1 << (bit % 64)), rest[:, rest.shape[1] - 1 - bit // 64]
     while True:
         open_ = np.flatnonzero(lo < hi)
         if not len(open_):
             return lo
         mid = (lo[open_] + hi[open_]) // 2
-        high = (rest[mid] & one) != 0
+        high = (word[mid] & one) != 0
         hi[open_[high]] = mid[high]
         lo[open_[~high]] = mid[~high] + 1
 
 
-def _walk_groups(group: np.ndarray, side: np.ndarray, rest: np.ndarray, fp: np.ndarray, radius: int, depth: int):
-    """Links (fp, smaller fp) that connect what the walk finds in each group; rows are sorted by group, side and rest."""
+def _dense(rest: np.ndarray, lo: int, hi: int, radius: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
+    """Thin a crowded node: links of its middle point to all points near it, and the node pairs still to be walked.
+
+    The point nearest to the bitwise majority is linked to everything within ``radius`` of it. Those points are connected,
+    so they need not meet each other, only the rest of the node. Returns rows in place: ranges of an index array.
+    """
+    links, cross, left = [], [], np.arange(lo, hi)
+    while len(left) > DENSE:
+        bits = np.unpackbits(rest[left].view(np.uint8).reshape(len(left), -1), axis=1)
+        middle = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(left)).view(np.uint64)
+        point = left[np.bitwise_count(rest[left] ^ middle).sum(axis=1, dtype=np.int64).argmin()]
+        near = np.bitwise_count(rest[left] ^ rest[point]).sum(axis=1, dtype=np.int64) <= radius
+        if 4 * near.sum() < len(left):
+            break
+        ball, left = left[near], left[~near]
+        links.append((np.full(len(ball) - 1, point), ball[ball != point]))
+        cross.append((ball, left))
+    return links, [*cross, (left, left)]
+
+
+def _walk_groups(group: np.ndarray, side: np.ndarray, rest: np.ndarray, radius: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and the smaller rows they are connected with by what the walk finds in each group.
+
+    Rows are sorted by group, side and rest. A group with rows of both sides is a pair of nodes, others are one node.
+    """
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     ends = np.concatenate([starts[1:], [len(group)]])
+    first, last = side[starts], side[ends - 1]
     middle = starts + np.add.reduceat((side == 0).astype(np.int64), starts)
-    cross = side[ends - 1] == 1  # both parts are there
-    alone = (side[starts] == 0) & ~cross & (ends - starts > 1)
-    alone &= side[ends - 1] == 0
-    nodes = [
-        np.concatenate([starts[alone], starts[cross]]),
-        np.concatenate([ends[alone], middle[cross]]),
-        np.concatenate([starts[alone], middle[cross]]),
-        np.concatenate([ends[alone], ends[cross]]),
-    ]
-    full = (nodes[1] > nodes[0]) & (nodes[3] > nodes[2])
-    nodes = [x[full] for x in nodes]
+    alone, cross = (last == 0) & (ends - starts > 1), (first == 0) & (last == 1)
+    crowded = alone & (ends - starts > DENSE)
+    plain = alone & ~crowded
+    jobs = [(rest, None, [np.concatenate(x) for x in (
+        (starts[plain], starts[cross]), (ends[plain], middle[cross]), (starts[plain], middle[cross]), (ends[plain], ends[cross]))])]
     label, held, size = None, [], 0
-    for i, j in walk(rest, [*nodes, np.zeros(len(nodes[0]), np.int64)], radius, depth):
-        held.append((i, j))
-        size += len(i)
-        if size > 1_000_000:  # keep the connections, not the pairs
-            label = _least_reachable(len(fp), *(np.concatenate(x) for x in zip(*held)), label)
-            held, size = [], 0
+    for lo, hi in zip(starts[crowded].tolist(), ends[crowded].tolist()):
+        links, pairs = _dense(rest, lo, hi, radius)
+        held += links
+        for a, b in pairs:
+            own = a is b
+            rows = a if own else np.concatenate([a, b])
+            cut = [[0], [len(a)], [0], [len(a)]] if own else [[0], [len(a)], [len(a)], [len(rows)]]
+            if len(a) and len(b):
+                jobs.append((rest[rows], rows, [np.array(x) for x in cut]))
+    for bits, rows, nodes in jobs:
+        for i, j in walk(bits, [*nodes, np.zeros(len(nodes[0]), np.int64)], radius, depth):
+            held.append((i, j) if rows is None else (rows[i], rows[j]))
+            size += len(i)
+            if size > 1_000_000:  # keep the connections, not the pairs
+                label = _least_reachable(len(rest), *(np.concatenate(x) for x in zip(*held)), label)
+                held, size = [], 0
     if held:
-        label = _least_reachable(len(fp), *(np.concatenate(x) for x in zip(*held)), label)
+        label = _least_reachable(len(rest), *(np.concatenate(x) for x in zip(*held)), label)
     if label is None:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    moved = np.flatnonzero(label != np.arange(len(fp)))
-    return fp[moved], fp[label[moved]]
+    moved = np.flatnonzero(label != np.arange(len(rest)))
+    return moved, label[moved]
 
 
 def trie_links(points: DataFrame, radius: int = 4, part_rows: int = PART_ROWS) -> DataFrame:
     """Links (u, v) that connect the distinct fingerprints ``points`` (fp) exactly as all pairs within ``radius`` would.
 
     Of each walked subtrie only a spanning forest is returned, so the rows never exceed the points times the number of
-    tries. A subtrie of more than ``part_rows`` points is cut into parts by hash; each pair of parts is one row group.
+    tries.
     """
     cut = blocks(radius)
     tries = []
@@ -204,7 +250,7 @@ def trie_links(points: DataFrame, radius: int = 4, part_rows: int = PART_ROWS) -
             start, width = cut[k]
             return F.shiftrightunsigned("fp", 64 - start - width).bitwiseAND(F.lit((1 << width) - 1))
 
-        key, rest, width = F.lit(t).cast("long"), F.lit(0).cast("long"), 0
+        key, rest = F.lit(t).cast("long"), F.lit(0).cast("long")
         for k in (i, j):
             key = F.shiftleft(key, cut[k][1]).bitwiseOR(bits(k))
         for k in range(len(cut)):
@@ -212,41 +258,58 @@ def trie_links(points: DataFrame, radius: int = 4, part_rows: int = PART_ROWS) -
                 rest = F.shiftleft(rest, cut[k][1]).bitwiseOR(bits(k))
         tries.append(F.struct(key.alias("key"), rest.alias("rest")))
     depth = 64 - min(cut[i][1] + cut[j][1] for i, j in combinations(range(len(cut)), 2))
-    rows = points.select("fp", F.explode(F.array(*tries)).alias("t")).select("fp", "t.key", "t.rest")
+    rows = points.select(F.col("fp").alias("name"), F.explode(F.array(*tries)).alias("t")).select("name", "t.key", F.array("t.rest").alias("rest"))
+    return subtrie_links(rows, radius, depth, part_rows)
+
+
+def subtrie_links(rows: DataFrame, radius: int, depth: int, part_rows: int = PART_ROWS) -> DataFrame:
+    """Links (u, v) of ``name`` values that connect the rows of each ``key`` whose ``rest`` differ in ``radius`` bits or less.
+
+    ``rest`` is an array of longs whose last ``depth`` bits are compared. A subtrie of more than ``part_rows`` rows is cut
+    into parts by hash; each pair of parts is one row group, so no key has to fit a task.
+    """
     large = rows.groupBy("key").count().where(F.col("count") > part_rows).select("key", F.ceil(F.col("count") / part_rows).cast("int").alias("parts"))
-    placed = rows.join(large, "key", "left").withColumn("own", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), "parts")).cast("int"))
+    placed = rows.join(large, "key", "left").withColumn("own", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("name"), "parts")).cast("int"))
     other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))).alias("other")
-    units = placed.select("fp", "key", "rest", "own", other).select(
-        "fp", "key", "rest",
+    units = placed.select("name", "key", "rest", "own", other).select(
+        "name", "key", "rest",
         F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
         (F.col("own") > F.col("other")).cast("int").alias("side"),
     )
-    units = units.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "side", "rest")
+    units = units.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
         def links(cols: list[np.ndarray]):
-            fp, key, rest, p, q, side = cols
+            name, key, p, q, side, rest = cols
             group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]))
-            u, v = _walk_groups(group, side, rest.astype(np.uint64), fp, radius, depth)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            counts = np.bincount(group)
+            keep = counts[group] > 1  # most rows are alone
+            name, group, side, rest = name[keep], group[keep], side[keep], rest[keep].view(np.uint64)
+            if not len(name):
+                return None
+            by = np.lexsort((*(rest[:, w] for w in range(rest.shape[1] - 1, -1, -1)), side, group))
+            name = name[by]
+            a, b = _walk_groups(group[by], side[by], rest[by], radius, depth)
+            return pa.RecordBatch.from_arrays([pa.array(name[a]), pa.array(name[b])], names=["u", "v"])
 
         for batch in batches:
-            cols = [np.asarray(c) for c in batch.columns]
-            cols = [np.concatenate(x) for x in zip(held, cols)] if held else cols
-            _, key, _, p, q, _ = cols
-            if not len(key):
+            if not batch.num_rows:
                 continue
+            cols = [np.asarray(c) for c in batch.columns[:-1]]
+            cols.append(np.asarray(batch.column(batch.num_columns - 1).flatten()).reshape(batch.num_rows, -1))
+            cols = [np.concatenate(x) for x in zip(held, cols)] if held else cols
+            _, key, p, q, _, _ = cols
             last = np.flatnonzero((key != key[-1]) | (p != p[-1]) | (q != q[-1]))
             cut_at = int(last[-1]) + 1 if len(last) else 0  # the last group may go on
             held = [c[cut_at:] for c in cols]
-            if cut_at:
-                yield links([c[:cut_at] for c in cols])
-        if held:
-            yield links(held)
+            if cut_at and (found := links([c[:cut_at] for c in cols])):
+                yield found
+        if held and (found := links(held)):
+            yield found
 
-    return units.mapInArrow(run, "u long, v long").distinct()
+    return units.select("name", "key", "p", "q", "side", "rest").mapInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,22 +322,59 @@ def near_duplicate_groups(docs: DataFrame, width: int = 4, radius: int = 4, id_c
     """
     prints = cut_lineage(fingerprints(docs, width, id_col, text_col))
     points = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = components(trie_links(points.select("fp"), radius))
-    rooted = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    return _named(prints, points, components(trie_links(points.select("fp"), radius)), "fp").select("doc_id", "fp", "component_id")
+
+
+def _named(made: DataFrame, points: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    """Rows with the smallest doc_id of their component, by way of the distinct fingerprints ``points``."""
+    rooted = points.join(roots, points[name] == roots["node"], "left").select(name, "least_id", F.coalesce("root", name).alias("root"))
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return made.join(rooted.join(named, "root").select(name, "component_id"), name)
 
 
 def hex_fingerprint(column: str = "fp"):
     return F.lpad(F.lower(F.hex(column)), 16, "0")
 
 
-def representatives(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
-    """The documents that name their group of near duplicates; everything else leaves. Columns are unchanged.
+def sketches(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, print, sketch, keys): a SimHash of ``SKETCH_WORDS`` * 64 bits of every whole text.
+
+    ``print`` is a hash of all its bits; ``sketch`` holds the words that are compared, ``keys`` the bits cut into keys.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = text_fingerprints(batch.column(1), width, SKETCH_WORDS)
+            raw = [w.tobytes() for w in words]
+            bits = words.view(np.uint16).astype(np.int64).reshape(len(words), -1)[:, :KEYS]
+            keys = (np.arange(bits.shape[1], dtype=np.int64) << KEY_BITS) | bits
+            lists = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel()) for x in (words[:, :COMPARED_WORDS].copy().view(np.int64), keys)]
+            digest = np.array([xxhash.xxh64_intdigest(r) for r in raw], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(digest), *lists], names=["doc_id", "print", "sketch", "keys"])
+
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return picked.mapInArrow(run, "doc_id long, print long, sketch array<long>, keys array<long>")
+
+
+def near_copy_groups(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, component_id): groups of documents whose ``width``-word shingles have a similarity of about 0.8 or more.
+
+    At that similarity two SimHash bits differ with probability 0.15, too often for a small radius of 64 bits, so the
+    documents get longer fingerprints: ``KEYS`` keys of ``KEY_BITS`` bits choose the subtries, of which two documents at
+    0.8 share one with probability 0.95 (at 0.9: 0.999), and the walk has a budget of ``SKETCH_BUDGET`` of the compared
+    ``COMPARED_WORDS`` * 64 bits, which unrelated texts exceed. A null or blank text is a group of its own kind: all such
+    are alike. Equal fingerprints are folded before the join.
+    """
+    made = cut_lineage(sketches(docs, width))
+    points = made.groupBy("print").agg(F.min("doc_id").alias("least_id"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    rows = points.select(F.col("print").alias("name"), F.explode("keys").alias("key"), F.col("sketch").alias("rest"))
+    return _named(made, points, components(subtrie_links(rows, SKETCH_BUDGET, 64 * COMPARED_WORDS)), "print").select("doc_id", "component_id")
+
+
+def representatives(docs: DataFrame, width: int = 5) -> DataFrame:
+    """The documents that name their group of near copies; everything else leaves. Columns are unchanged.
 
     Rows that repeat a doc_id are one document and stay or leave together; rows with a null doc_id stay.
     """
-    groups = near_duplicate_groups(docs, width, radius)
-    leaving = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    leaving = near_copy_groups(docs, width).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(leaving, "doc_id", "left_anti")

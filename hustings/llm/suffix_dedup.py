@@ -58,7 +58,8 @@ def string_keys(data: np.ndarray) -> np.ndarray:
     span, done = LENGTH - GRAM + 1, 1
     while done < span:
         step = min(done, span - done)
-        np.minimum(h[: len(h) - step], h[step:].copy(), out=h[: len(h) - step])
+        most = max(len(h) - step, 0)
+        np.minimum(h[:most], h[step:].copy(), out=h[:most])
         done += step
     return h
 
