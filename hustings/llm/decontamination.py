@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import folded_words, slices, text_bytes
+from .common import folded_words, range_keys, slices, text_bytes
 from .simhash_dedup import simhash
 
 #: Words of a shingle; an item with fewer is one shingle of all its words.
@@ -32,34 +32,6 @@ BLOCKS = 10
 ITEMS_PER_PASS = 20_000
 BYTES_PER_PASS = 32_000_000
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 ** 64."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 22)
-        inverse = pow(int(_BASE), -1, 1 << 64)
-        for name, base in (("up", int(_BASE)), ("down", inverse)):
-            powers = np.ones(size, np.uint64)
-            powers[1:] = np.uint64(base)
-            _powers[name] = np.multiply.accumulate(powers)
-    return _powers["up"], _powers["down"]
-
-
-def shingle_keys(joined: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each byte range, from running sums; equal ranges have equal keys, others hardly ever."""
-    data = np.frombuffer(joined, np.uint8)
-    up, down = _power_table(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    key = (total[ends] - total[starts]) * down[starts]
-    key ^= key >> np.uint64(29)
-    key *= np.uint64(0xBF58476D1CE4E5B9)
-    return key ^ (key >> np.uint64(32))
-
-
 class Items:
     """Benchmark items with the keys of their shingles and the block index of their fingerprints."""
 
@@ -76,7 +48,7 @@ class Items:
             count = len(starts) - w + 1 if w else 0
             s, e = starts[:count], ends[w - 1 :][:count] if w else ends[:0]
             self.shingles.append([joined[a:b] for a, b in zip(s.tolist(), e.tolist())])
-            keys.append(shingle_keys(joined, s, e))
+            keys.append(range_keys(joined, s, e))
             owners.append(np.full(count, n))
         self.keys = np.concatenate([np.zeros(0, np.uint64), *keys])
         self.owners = np.concatenate([np.zeros(0, np.int64), *owners])
@@ -126,7 +98,7 @@ def _leaks(data: np.ndarray, offsets: np.ndarray, items: Items, similarity: floa
         base = np.cumsum(count) - count
         first = np.repeat(first_word[:-1], count) + np.arange(count.sum()) - np.repeat(base, count)
         s, e = starts[first], ends[first + w - 1]
-        keys = shingle_keys(joined, s, e)
+        keys = range_keys(joined, s, e)
         at = np.searchsorted(items.keys, keys)
         at[at == len(items.keys)] = 0
         hits = np.flatnonzero(items.keys[at] == keys)

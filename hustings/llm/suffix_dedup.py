@@ -3,7 +3,8 @@
 A text as a whole has too many suffixes for one task, so they are shared out such that equal strings of ``LENGTH`` bytes
 always meet. A string's key is the least hash of its ``GRAM``-byte parts; neighbouring strings with one key make a segment.
 
-1. Keys of all documents meet by hash; those found in more than one document are sent back.
+1. Of documents with equal texts only the first takes part; the others go as a whole.
+   Keys of the documents meet by hash; those found in more than one document are sent back.
 2. Segments with such a key meet by key. The distinct contents of a key are put into a suffix array. Its common
    prefixes are derived from the Burrows-Wheeler transform by breadth-first backward extension: intervals of the strings
    w of length 0, 1, 2, ... are extended to the left by each character, and a boundary first met at length l has the
@@ -18,11 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import range_keys, slices, text_bytes
 
 #: Bytes of a repeated string.
 LENGTH = 50
@@ -34,6 +34,10 @@ ARRAY_BYTES = 400_000
 GROUPS_PER_PARTITION = 4
 LAST_ID = np.iinfo(np.int64).max
 _KEY_BITS = np.uint64(48)
+#: Where a segment stands: document id, row in its group, first byte.
+PLACE = np.dtype([("id", "<i8"), ("row", "<i4"), ("start", "<i4")])
+#: What a row sent to a group of documents holds.
+COPIES, SHARED, REMOVALS = range(3)
 
 
 def _ahead(a: np.ndarray, k: int) -> np.ndarray:
@@ -173,29 +177,48 @@ def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.asarray(column.fill_null(int(LAST_ID)), np.int64)
 
 
+def _copies(side: pa.Table) -> np.ndarray:
+    """(id, mark) rows of the documents that repeat a whole earlier text."""
+    found = [np.frombuffer(b, np.int64).reshape(2, -1) for b, kind in zip(side.column("data").to_pylist(), side.column("kind").to_pylist()) if kind == COPIES]
+    return np.unique(np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1), axis=1)
+
+
+def _arranged(docs: pa.Table, side: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Ids, texts and whether a text is a copy, in an order that depends on nothing but the documents of the group."""
+    ids, marks = _ids(docs.column("doc_id")), np.asarray(docs.column("mark").combine_chunks(), np.int64)
+    by = np.lexsort((marks, ids))
+    ids, marks = ids[by], marks[by]
+    copies = {(i, m) for i, m in _copies(side).T.tolist()}
+    is_copy = np.array([(i, m) in copies for i, m in zip(ids.tolist(), marks.tolist())], bool) if copies else np.zeros(len(ids), bool)
+    return ids, docs.column("text").combine_chunks().cast(pa.large_string()).take(pa.array(by)), is_copy
+
+
 def _send_keys(groups: int):
-    """Keys of each batch of documents: a row per key bucket with keys, ids, and the documents' groups following from ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, homes = _ids(batch.column(0)), np.asarray(batch.column(1))
-            data, offsets = text_bytes(batch.column(2))
-            for a, b in slices(offsets, 8_000_000):
-                keys, texts = [], []
-                for c, d in slices(offsets[a : b + 1], 2_000_000):
-                    key, text, _, _ = segments(data[offsets[a + c] : offsets[a + d]], offsets[a + c : a + d + 1] - offsets[a + c])
-                    both = np.unique((text.astype(np.uint64) << _KEY_BITS) | key)
-                    keys.append(both & np.uint64((1 << 48) - 1))
-                    texts.append((both >> _KEY_BITS).astype(np.int64) + c + a)
-                key, text = np.concatenate(keys), np.concatenate(texts)
-                out: list[tuple] = []
-                for bucket, rows in _by_group((key % np.uint64(groups)).astype(np.int64)):
-                    own, at = np.unique(text[rows], return_inverse=True)
-                    k = key[rows]
-                    small = (k & np.uint64(0xFFFFFFFF)).astype(np.uint32), (k >> np.uint64(32)).astype(np.uint16)
-                    out.append((bucket, _pack(*small), _pack(at.astype(np.uint16 if len(own) < 65536 else np.uint32)), _pack(ids[own]), _pack(homes[own].astype(np.int32))))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))], names=["bucket", "keys", "at", "ids", "homes"])
+    """Keys of a group of documents: a row per key bucket with the keys and the documents they are from."""
+
+    def run(docs: pa.Table, side: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if docs.num_rows:
+            home = docs.column("home")[0].as_py()
+            ids, text, is_copy = _arranged(docs, side)
+            length = np.diff(text_bytes(text)[1])
+            keep = ~is_copy & (length >= LENGTH)
+            ids, text = ids[keep], text.filter(pa.array(keep))
+            data, offsets = text_bytes(text)
+            keys, rows_ = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for a, b in slices(offsets):
+                key, row, _, _ = segments(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                both = np.unique((row.astype(np.uint64) << _KEY_BITS) | key)  # a slice has under 2 ** 16 texts of that length
+                keys.append(both & np.uint64((1 << 48) - 1))
+                rows_.append((both >> _KEY_BITS).astype(np.int64) + a)
+            key, row = np.concatenate(keys), np.concatenate(rows_)
+            for bucket, rows in _by_group((key % np.uint64(groups)).astype(np.int64)):
+                r, k = row[rows], key[rows]  # in the order of documents
+                new = np.concatenate([[True], r[1:] != r[:-1]])
+                at = np.cumsum(new) - 1
+                out.append((bucket, home, _pack((k & np.uint64(0xFFFFFFFF)).astype(np.uint32), (k >> np.uint64(32)).astype(np.uint16)), _pack(at.astype(np.uint16 if at[-1] < 1 << 16 else np.uint32)), _pack(ids[r[new]])))
+        types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["bucket", "home", "keys", "at", "ids"])
 
     return run
 
@@ -205,21 +228,19 @@ def _share_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
         keys, ids, homes = [], [], []
-        for packed, at, own, home in rows:
+        for home, packed, at, own in rows:
             n = len(packed) // 6
             keys.append(np.frombuffer(packed, np.uint32, n).astype(np.uint64) | (np.frombuffer(packed, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32)))
-            at_ = np.frombuffer(at, np.uint16 if len(at) == 2 * n else np.uint32)
-            ids.append(np.frombuffer(own, np.int64)[at_])
-            homes.append(np.frombuffer(home, np.int32)[at_])
+            ids.append(np.frombuffer(own, np.int64)[np.frombuffer(at, np.uint16 if len(at) == 2 * n else np.uint32)])
+            homes.append(np.full(n, home, np.int32))
         key, id_, home = np.concatenate(keys), np.concatenate(ids), np.concatenate(homes)
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         key, id_, home = key[by], id_[by], home[by]
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         shared = np.minimum.reduceat(id_, cut) < np.maximum.reduceat(id_, cut)
         keep = np.repeat(shared, np.diff(np.append(cut, len(key))))
         key, id_, home = key[keep], id_[keep], home[keep]
-        out = [(g, _pack(key[r], id_[r])) for g, r in _by_group(home)]
-        return pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["home", "shared"])
+        return _side([(g, SHARED, _pack(key[r], id_[r])) for g, r in _by_group(home)])
 
     held, current = [], None
     for batch in batches:
@@ -233,117 +254,142 @@ def _share_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held)
 
 
-def _arranged(docs: pa.Table) -> tuple[np.ndarray, pa.Array]:
-    """Ids and texts of a group of documents in an order that depends on nothing but them."""
-    ids = _ids(docs.column("doc_id"))
-    text = docs.column("text").combine_chunks().cast(pa.large_string())
-    by = np.argsort(ids, kind="stable")
-    if len(ids) > 1 and (ids[by][1:] == ids[by][:-1]).any():
-        raw = text.to_pylist()
-        by = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], raw[i] is not None, raw[i] or "")))
-    return ids[by], text.take(pa.array(by))
+def _binary(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _send_segments(docs: pa.Table, shared: pa.Table) -> pa.Table:
+def _pairs(row: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """One number for a row and a key; a chance meeting only adds a segment to look at."""
+    h = key * np.uint64(0x9E3779B97F4A7C15) ^ (row.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return h ^ (h >> np.uint64(29))
+
+
+def _send_segments(docs: pa.Table, side: pa.Table) -> pa.Table:
     """Segments of a group of documents whose key is shared: a row per content, with its ids and places."""
-    held: dict[tuple[int, bytes], list[list[int]]] = {}
-    home = docs.column("home")[0].as_py() if docs.num_rows else 0
-    if docs.num_rows and shared.num_rows:
-        ids, text = _arranged(docs)
+    parts: list[tuple[np.ndarray, ...]] = []
+    pairs = [np.frombuffer(b, np.uint64).reshape(2, -1) for b, kind in zip(side.column("data").to_pylist(), side.column("kind").to_pylist()) if kind == SHARED]
+    data = np.zeros(0, np.uint8)
+    if docs.num_rows and pairs:
+        ids, text, is_copy = _arranged(docs, side)
         data, offsets = text_bytes(text)
-        pairs = [np.frombuffer(b, np.uint64) for b in shared.column("shared").to_pylist()]
-        key = np.concatenate([p[: len(p) // 2] for p in pairs])
-        owner = np.concatenate([p[len(p) // 2 :] for p in pairs]).view(np.int64)
-        known = np.sort((np.searchsorted(ids, owner).astype(np.uint64) << _KEY_BITS) | key)
+        key, owner = np.concatenate(pairs, axis=1)
+        known = np.unique(_pairs(np.searchsorted(ids, owner.view(np.int64)), key))
         first_of = np.searchsorted(ids, ids)
         for a, b in slices(offsets):
             part = data[offsets[a] : offsets[b]]
             k, t, begin, count = segments(part, offsets[a : b + 1] - offsets[a])
-            probe = (first_of[t + a].astype(np.uint64) << _KEY_BITS) | k
+            t = t + a
+            probe = _pairs(first_of[t], k)
             at = np.searchsorted(known, probe)
             at[at == len(known)] = 0
-            hit = known[at] == probe if len(known) else np.zeros(len(probe), bool)
-            raw = part.tobytes()
-            where = (begin - (offsets[t + a] - offsets[a]))[hit]
-            for key_, row, x, n, y in zip(k[hit].tolist(), (t + a)[hit].tolist(), begin[hit].tolist(), count[hit].tolist(), where.tolist()):
-                slot = held.setdefault((key_, raw[x : x + n + LENGTH - 1]), [[], []])
-                slot[0].append(row)
-                slot[1].append(y)
-    rows = [np.asarray(v[0], np.int32) for v in held.values()]
+            hit = (known[at] == probe) & ~is_copy[t] if len(known) else np.zeros(len(probe), bool)
+            k, t, begin, size = k[hit], t[hit], begin[hit], count[hit] + LENGTH - 1
+            parts.append((k, range_keys(part.tobytes(), begin, begin + size), t, begin + offsets[a], size))
+    if not parts or not sum(len(p[0]) for p in parts):
+        return pa.table({"key": pa.array([], pa.int64()), "least": pa.array([], pa.int64()), "content": pa.array([], pa.binary()), "home": pa.array([], pa.int32()), "places": pa.array([], pa.binary())})
+    key, digest, row, begin, size = (np.concatenate(x) for x in zip(*parts))
+    by = np.lexsort((row, digest, key))
+    key, digest, row, begin, size = key[by], digest[by], row[by], begin[by], size[by]
+    cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])]))
+    places = np.zeros(len(key), PLACE)
+    places["id"], places["row"], places["start"] = ids[row], row, begin - offsets[row]
+    length = size[cut]
+    upto = np.concatenate([[0], np.cumsum(length)])
+    taken = data[np.repeat(begin[cut] - upto[:-1], length) + np.arange(upto[-1])]
     return pa.table({
-        "key": pa.array([k for k, _ in held], pa.int64()),
-        "content": pa.array([c for _, c in held], pa.binary()),
-        "digest": pa.array(np.array([xxhash.xxh64_intdigest(c) for _, c in held], np.uint64).view(np.int64)),
-        "least": pa.array([int(ids[r].min()) for r in rows] if held else [], pa.int64()),
-        "most": pa.array([int(ids[r].max()) for r in rows] if held else [], pa.int64()),
-        "home": pa.array([home] * len(held), pa.int32()),
-        "places": pa.array([_pack(ids[r], r, np.asarray(v[1], np.int64)) for r, v in zip(rows, held.values())] if held else [], pa.binary()),
+        "key": pa.array(key[cut].astype(np.int64)),
+        "least": pa.array(np.minimum.reduceat(ids[row], cut)),
+        "content": _binary(upto, taken),
+        "home": pa.array(np.full(len(cut), docs.column("home")[0].as_py(), np.int32)),
+        "places": _binary(np.append(cut, len(key)) * PLACE.itemsize, places.view(np.uint8)),
     })
 
 
-_SEGMENTS = "key long, content binary, digest long, least long, most long, home int, places binary"
-
-
-def _class_limits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each content, the least id of each of its strings, as runs; rows come sorted by key."""
+def _find_removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Removed stretches (row, begin, end) by group of documents; rows come sorted by key and least id.
 
-    def flush(groups: list[tuple[int, dict[bytes, list[int]]]]) -> pa.RecordBatch:
-        many = [(k, c, v) for k, g in groups if len(g) > 1 for c, v in g.items()]
-        least = least_ids([c for _, c, _ in many], np.array([v[0] for _, _, v in many], np.int64)) if many else []
-        out = []
-        for k, c, v, lim in [*((*m, x) for m, x in zip(many, least)), *((k, c, v, None) for k, g in groups if len(g) == 1 for c, v in g.items())]:
-            lim = np.full(len(c) - LENGTH + 1, v[0], np.int64) if lim is None else lim
-            if lim.min() < v[1]:  # some document that holds it comes after the first
+    As ids rise within a key, what is known of its contents so far fixes the least id of each of their strings. So a key
+    with many rows is worked off in steps that keep its distinct contents only.
+    """
+    known: tuple[int, dict[bytes, int]] = (-1, {})
+
+    def flush(rows: list[tuple]) -> pa.RecordBatch | None:
+        nonlocal known
+        groups: dict[int, dict[bytes, int]] = {known[0]: known[1]}
+        for key, least, content, _, _ in rows:
+            groups.setdefault(key, {}).setdefault(content, least)
+        many = [(k, c, v) for k, g in groups.items() if len(g) > 1 for c, v in g.items()]
+        runs = {}
+        if many:
+            for (k, c, _), lim in zip(many, least_ids([c for _, c, _ in many], np.array([v for _, _, v in many], np.int64))):
                 cut = np.flatnonzero(np.concatenate([[True], lim[1:] != lim[:-1]]))
-                out.append((k, v[2], _pack(lim[cut], cut.astype(np.int64), np.diff(np.append(cut, len(lim))).astype(np.int64))))
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["key", "digest", "limits"])
-
-    groups: list[tuple[int, dict[bytes, list[int]]]] = []
+                runs[k, c] = lim[cut], cut, np.diff(np.append(cut, len(lim)))
+        places = np.frombuffer(b"".join(r[4] for r in rows), PLACE)
+        count = np.array([len(r[4]) for r in rows]) // PLACE.itemsize
+        row = np.repeat(np.arange(len(rows)), count)
+        # A content with one limit throughout goes or stays as a whole.
+        limit, several = np.full(len(rows), LAST_ID), []
+        for i, (key, _, content, _, _) in enumerate(rows):
+            run = runs.get((key, content))
+            if run is None:
+                limit[i] = groups[key][content]
+            elif len(run[0]) == 1:
+                limit[i] = run[0][0]
+            else:
+                several.append(i)
+        size = np.array([len(r[2]) for r in rows])
+        home = np.array([r[3] for r in rows])
+        late = places["id"] > limit[row]
+        found = [(home[row[late]], places["row"][late], places["start"][late], places["start"][late] + size[row[late]])]
+        first = np.cumsum(count) - count
+        for i in several:
+            lim, at, length = runs[rows[i][0], rows[i][2]]
+            own = places[first[i] : first[i] + count[i]]
+            x, y = np.nonzero(lim[None, :] < own["id"][:, None])
+            begin = own["start"][x] + at[y]
+            found.append((np.full(len(x), home[i]), own["row"][x], begin, begin + length[y] + LENGTH - 1))
+        last = rows[-1][0]
+        known = last, groups[last]
+        to, *stretch = (np.concatenate(x) for x in zip(*found))
+        packed = np.stack(stretch).astype(np.int32)
+        return _side([(g, REMOVALS, _pack(packed[:, r])) for g, r in _by_group(to)])
+
+    rows: list[tuple] = []
     size = 0
     for batch in batches:
-        for key, content, digest, least, most in zip(*(c.to_pylist() for c in batch.columns)):
-            if not groups or groups[-1][0] != key:
-                if size > ARRAY_BYTES:
-                    yield flush(groups)
-                    groups, size = [], 0
-                groups.append((key, {}))
-            known = groups[-1][1].get(content)
-            if known:
-                known[0], known[1] = min(known[0], least), max(known[1], most)
-            else:
-                groups[-1][1][content] = [least, most, digest]
-                size += len(content)
-    if groups:
-        yield flush(groups)
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if size > ARRAY_BYTES:
+                yield flush(rows)
+                rows, size = [], 0
+            rows.append(row)
+            size += len(row[2]) + len(row[4])
+    if rows:
+        yield flush(rows)
 
 
-def _send_removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Removed stretches (row, begin, end) of each group of documents."""
+def _side(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["home", "kind", "data"])
+
+
+def _send_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        homes, found = np.asarray(batch.column(0)), []
-        for home, places, limits in zip(homes.tolist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            n = len(places) // 20
-            ids, rows, starts = np.frombuffer(places, np.int64, n), np.frombuffer(places, np.int32, n, 8 * n), np.frombuffer(places, np.int64, n, 12 * n)
-            lim = np.frombuffer(limits, np.int64).reshape(3, -1)
-            i, j = np.nonzero(lim[0][None, :] < ids[:, None])
-            begin = starts[i] + lim[1][j]
-            found.append(np.stack([np.full(len(i), home), rows[i], begin, begin + lim[2][j] + LENGTH - 1]))
-        if found:
-            all_ = np.concatenate(found, axis=1)
-            out = [(g, _pack(all_[1:, r].astype(np.int64))) for g, r in _by_group(all_[0])]
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["home", "removals"])
-
-
-def _kept(docs: pa.Table, removals: pa.Table):
+        ids, marks = _ids(batch.column(1)), np.asarray(batch.column(2))
+        yield _side([(g, COPIES, _pack(ids[r], marks[r])) for g, r in _by_group(np.asarray(batch.column(0)))])
+
+
+def _kept(docs: pa.Table, side: pa.Table):
     """Per document of a group: id, bytes, and its merged removed stretches."""
-    ids, text = _arranged(docs)
+    ids, text, is_copy = _arranged(docs, side)
     data, offsets = text_bytes(text)
-    all_ = np.concatenate([np.zeros((3, 0), np.int64), *(np.frombuffer(b, np.int64).reshape(3, -1) for b in removals.column("removals").to_pylist())], axis=1)
+    found = [np.frombuffer(b, np.int32).reshape(3, -1) for b, kind in zip(side.column("data").to_pylist(), side.column("kind").to_pylist()) if kind == REMOVALS]
+    all_ = np.concatenate([np.zeros((3, 0), np.int32), *found], axis=1).astype(np.int64)
     all_ = all_[:, np.lexsort((all_[1], all_[0]))]
     cut = np.searchsorted(all_[0], np.arange(len(ids) + 1))
     for i in range(len(ids)):
         begin, end = all_[1, cut[i] : cut[i + 1]], all_[2, cut[i] : cut[i + 1]]
-        if len(begin):
+        if is_copy[i]:
+            begin, end = np.array([0]), offsets[i + 1 : i + 2] - offsets[i]
+        elif len(begin):
             reach = np.maximum.accumulate(end)
             new = np.flatnonzero(np.concatenate([[True], begin[1:] > reach[:-1]]))
             begin, end = begin[new], reach[np.append(new[1:], len(reach)) - 1]
@@ -376,18 +422,22 @@ def _texts(docs: pa.Table, removals: pa.Table) -> pa.Table:
 def _deduplicated(docs: DataFrame, finish, schema: str) -> DataFrame:
     spark = docs.sparkSession
     groups = GROUPS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    home = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.select("doc_id", home.alias("home"), "text")
-    sent = rows.mapInArrow(_send_keys(groups), "bucket int, keys binary, at binary, ids binary, homes binary")
-    shared = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_share_keys, "home int, shared binary")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = rows.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("home"), "text", F.xxhash64("text").alias("mark"))
+    side = "home int, kind int, data binary"
+    # Copies of whole texts go as a whole: only the first of equal texts takes part in what follows.
+    prints = rows.select("doc_id", "home", "mark", F.xxhash64("text", F.lit(1)).alias("more"), F.octet_length("text").alias("size")).where(F.col("size") >= LENGTH)
+    last = F.lit(int(LAST_ID)).cast("long")
+    firsts = prints.groupBy("mark", "more", "size").agg(F.min(F.coalesce("doc_id", last)).alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = prints.join(firsts, ["mark", "more", "size"]).where(F.coalesce("doc_id", last) > F.col("first"))
+    copies = copies.select("home", "doc_id", "mark").mapInArrow(_send_copies, side)
     dealt = rows.groupBy("home")
-    held = dealt.cogroup(shared.groupBy("home")).applyInArrow(_send_segments, _SEGMENTS)
-    contents = held.select("key", "content", "digest", "least", "most").repartition("key").sortWithinPartitions("key")
-    limits = contents.mapInArrow(_class_limits, "key long, digest long, limits binary")
-    joined = held.select("key", "digest", "home", "places").join(limits, ["key", "digest"]).select("home", "places", "limits")
-    removals = joined.mapInArrow(_send_removals, "home int, removals binary")
-    return dealt.cogroup(removals.groupBy("home")).applyInArrow(finish, schema)
+    sent = dealt.cogroup(copies.groupBy("home")).applyInArrow(_send_keys(groups), "bucket int, home int, keys binary, at binary, ids binary")
+    shared = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_share_keys, side)
+    held = dealt.cogroup(shared.unionByName(copies).groupBy("home")).applyInArrow(_send_segments, "key long, least long, content binary, home int, places binary")
+    removals = held.repartition("key").sortWithinPartitions("key", "least").mapInArrow(_find_removals, side)
+    return dealt.cogroup(removals.unionByName(copies).groupBy("home")).applyInArrow(finish, schema)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
