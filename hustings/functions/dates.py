@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import ENTITY_CYCLE
-from ..sizing import lookup_side
 from .text import LOOSE_MARKER, WHITE_SPACE, has_marker
 
 # Month names by their first three letters.
@@ -124,7 +123,7 @@ def closing_months(dated: DataFrame, order: list[str], keys: list[str] = ENTITY_
 
 def with_poll_date_two_pass(df: DataFrame, order: list[str], keys: list[str] = ENTITY_CYCLE) -> DataFrame:
     """DT20: parse, learn each cycle's closing month from its dated result rows, parse again with that hint."""
-    months = lookup_side(closing_months(with_poll_date(df), order, keys))
+    months = closing_months(with_poll_date(df), order, keys)
     return with_poll_date(df.join(months, keys, "left"), month_hint="closing_month").drop("closing_month")
 
 

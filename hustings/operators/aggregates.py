@@ -198,7 +198,7 @@ def slice_kpis(errors: DataFrame, keys: list[str] = ENTITY_CYCLE) -> DataFrame:
     )
 
 
-def numeric_profile(df: DataFrame, columns: list[str], whole_group_bytes: int | None = None) -> DataFrame:
+def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """AG32: count, mean, deviation, minimum, quartiles and maximum, one row per column."""
     long = df.unpivot([], columns, "column_name", "value").where(F.col("value").isNotNull())
     moments = long.groupBy("column_name").agg(
@@ -208,9 +208,7 @@ def numeric_profile(df: DataFrame, columns: list[str], whole_group_bytes: int |
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    quartiles = grouped_quantiles(
-        long, ["column_name"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, whole_group_bytes
-    )
+    quartiles = grouped_quantiles(long, ["column_name"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     return moments.join(quartiles, "column_name")
 
 

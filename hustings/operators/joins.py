@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import lenient_year
 from ..functions.text import is_marker_row
 from ..schemas import ENTITY_CYCLE, SERIES_KEYS
-from ..sizing import lookup_side
-from .quality import require_unique
+from .quality import unique_keys
 
 
 def with_int_cycle(df: DataFrame, cycle: str = "election_year") -> DataFrame:
@@ -18,18 +17,18 @@ def with_int_cycle(df: DataFrame, cycle: str = "election_year") -> DataFrame:
 
 
 def many_to_one(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", check: bool = False
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", check: bool = True
 ) -> DataFrame:
-    """JN2-JN4: join to a frame with unique keys, broadcast when proven small; ``check`` proves the uniqueness."""
+    """JN2-JN4: join to a frame with unique keys; a key that occurs twice is an error unless ``check`` is off."""
     if check:
-        require_unique(right, keys)
-    return left.join(lookup_side(right), keys, how)
+        right = unique_keys(right, keys)
+    return left.join(right, keys, how)
 
 
-def one_to_one(left: DataFrame, right: DataFrame, keys: list[str], check: bool = False) -> DataFrame:
+def one_to_one(left: DataFrame, right: DataFrame, keys: list[str], check: bool = True) -> DataFrame:
     """JN4."""
     if check:
-        require_unique(left, keys, "left side")
+        left = unique_keys(left, keys, "left side")
     return many_to_one(left, right, keys, "inner", check)
 
 
@@ -89,7 +88,7 @@ def exclusion_audit(
         .when(F.col("_known").isNull(), "no matching actual-result target")
         .otherwise("included")
     )
-    audited = distinct.join(lookup_side(known), [*keys, model_series], "left").withColumn("status", status)
+    audited = distinct.join(known, [*keys, model_series], "left").withColumn("status", status)
     return audited.where(F.col("status") != "included").select(*keys, series, model_series, "status")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import ENTITY_CYCLE
 from ..session import cut_lineage
-from ..sizing import bounded_values, lookup_side
+from ..sizing import bounded_values
 from .ordering import best_row, numbered_folds, running_total_before, top_two_margin
 from .quality import QualityError
 
@@ -110,7 +110,7 @@ def ridge_predictions(
     """ML2 / ML4: out-of-fold ridge predictions."""
     betas, categories, centre = ridge_coefficients(df, features, target, keys, entity, alpha)
     x = _design(features, entity, categories, centre)
-    return df.join(lookup_side(betas), keys).withColumn(out, _linear(F.col("beta"), x)).drop("beta")
+    return df.join(betas, keys).withColumn(out, _linear(F.col("beta"), x)).drop("beta")
 
 
 def logistic_predictions(
@@ -171,7 +171,7 @@ def out_of_fold(df: DataFrame, features: list[str], keys: list[str] = ENTITY_CYC
     """ML1-ML5: benchmark, ridge and logistic out-of-fold columns, with fold numbers (WN11)."""
     base = cut_lineage(df).withColumn("baseline_vote_prediction", F.col("final_rolling_avg"))
     scored = logistic_predictions(ridge_predictions(base, features, keys=keys), features, keys=keys)
-    return scored.join(lookup_side(numbered_folds(base, keys)), keys)
+    return scored.join(numbered_folds(base, keys), keys)
 
 
 def feature_ablation(df: DataFrame, sets: dict[str, list[str]] = FEATURE_SETS) -> DataFrame:
@@ -204,12 +204,12 @@ def winner_accuracy(calls: DataFrame) -> DataFrame:
     return calls.agg(F.avg("winner_correct").alias("value"))
 
 
-def roc_auc(df: DataFrame, label: str, score: str, one_task_bytes: int | None = None) -> DataFrame:
+def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """ML9: Mann-Whitney over distinct scores; equal scores count half."""
     by_score = df.where(F.col(score).isNotNull()).groupBy(score).agg(
         F.sum(F.col(label).cast("long")).alias("_pos"), F.sum((1 - F.col(label)).cast("long")).alias("_neg")
     )
-    ranked = running_total_before(by_score, score, "_neg", "_neg_below", one_task_bytes=one_task_bytes)
+    ranked = running_total_before(by_score, score, "_neg", "_neg_below")
     won = F.col("_pos") * (F.col("_neg_below") + 0.5 * F.col("_neg"))
     pairs = F.sum("_pos").cast("double") * F.sum("_neg").cast("double")
     return ranked.agg((F.sum(won) / F.when(pairs > 0, pairs)).alias("value"))

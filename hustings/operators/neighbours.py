@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from ..sizing import lookup_side
 
 VECTOR = ["final_leader_pct", "poll_volatility", "actual_margin", "n_polls"]
 MAX_BROADCAST_POINTS = 20_000
@@ -56,7 +55,7 @@ def nearest_neighbours(
     own = F.struct(*keys)
     others = F.slice(F.filter("_near", lambda x: ~x["_m"].eqNullSafe(own)), 1, k)
     return (
-        rows.join(lookup_side(named), dims)
+        rows.join(named, dims)
         .withColumn("_hit", F.explode(others))
         .select(*keys, *[F.col(f"_hit._m.{c}").alias(f"similar_{c}") for c in keys], F.col("_hit.distance").alias("distance"))
     )
@@ -139,7 +138,7 @@ def election_vectors(features: DataFrame, truth: DataFrame, order: list[str]) ->
         F.col("actual_margin").isNotNull()
     )
     leaders = margins.select(*ENTITY_CYCLE, F.col("leader").alias("party"), "actual_margin")
-    rows = features.join(lookup_side(leaders), [*ENTITY_CYCLE, "party"])
+    rows = features.join(leaders, [*ENTITY_CYCLE, "party"])
     return rows.groupBy(*ENTITY_CYCLE, F.col("party").alias("leader_party"), "actual_margin").agg(
         F.max_by("rolling_avg", F.struct(*order)).alias("final_leader_pct"),
         F.coalesce(F.stddev_samp("pct"), F.lit(0.0)).alias("poll_volatility"),

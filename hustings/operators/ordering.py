@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from ..sizing import is_small_input, lookup_side
 
 
 def best_row(df: DataFrame, keys: list[str], order: list[Column], columns: list[str] | None = None) -> DataFrame:
@@ -31,28 +30,31 @@ def top_two_margin(df: DataFrame, keys: list[str], value: str, tie: str, out: st
 
 
 def value_buckets(df: DataFrame, column: str, buckets: int, out: str = "_bucket") -> DataFrame:
-    """Split the range of ``column`` at approximate quantiles; a bounded list of cut points reaches the driver."""
-    cuts = sorted(set(df.approxQuantile(column, [i / buckets for i in range(1, buckets)], 0.2 / buckets)))
+    """Split the range of ``column`` at approximate quantiles; a bounded list of cut points reaches the driver.
+
+    NULLs, which sort first, are the bucket before all others.
+    """
+    at = [i / buckets for i in range(1, buckets)]
+    cuts = sorted(set(df.approxQuantile(column, at, 0.2 / buckets))) if at else []
     if len(cuts) < 1:
-        return df.withColumn(out, F.lit(0.0))
+        return df.withColumn(out, F.when(F.col(column).isNull(), F.lit(-1.0)).otherwise(F.lit(0.0)))
     splits = [float("-inf"), *cuts, float("inf")]
-    return Bucketizer(splits=splits, inputCol=column, outputCol=out, handleInvalid="keep").transform(df)
+    cut = Bucketizer(splits=splits, inputCol=column, outputCol=out, handleInvalid="keep").transform(df)
+    return cut.withColumn(out, F.when(F.col(column).isNull(), F.lit(-1.0)).otherwise(F.col(out)))
 
 
 def global_rank(
-    df: DataFrame, by: str, ties: list[str], out: str = "rank", buckets: int = 256, one_task_bytes: int | None = None
+    df: DataFrame, by: str, ties: list[str], out: str = "rank", buckets: int = 256
 ) -> DataFrame:
-    """WN9: row number over the whole frame, ascending by ``by`` then ``ties``.
+    """WN9: row number over the whole frame, ascending by ``by`` (NULL first) then ``ties``.
 
-    A large frame is numbered inside value buckets and shifted by the bucket's offset, so no task sees all rows.
+    Rows are numbered inside value buckets and shifted by the bucket's offset, so no task sees all rows.
     """
-    if is_small_input(df, one_task_bytes):
-        return df.withColumn(out, F.row_number().over(Window.orderBy(by, *ties)))
     marked = value_buckets(cut_lineage(df), by, buckets)
     offsets = _offsets(marked, {"_offset": F.count("*")})
     local = F.row_number().over(Window.partitionBy("_bucket").orderBy(by, *ties))
-    ranked = marked.withColumn("_local", local).join(lookup_side(offsets), "_bucket")
-    return ranked.withColumn(out, (F.col("_local") + F.col("_offset")).cast("int")).drop("_local", "_offset", "_bucket")
+    ranked = marked.withColumn("_local", local).join(offsets, "_bucket")
+    return ranked.withColumn(out, F.col("_local") + F.col("_offset")).drop("_local", "_offset", "_bucket")
 
 
 def _offsets(marked: DataFrame, totals: dict[str, Column]) -> DataFrame:
@@ -63,17 +65,14 @@ def _offsets(marked: DataFrame, totals: dict[str, Column]) -> DataFrame:
 
 
 def running_total_before(
-    df: DataFrame, by: str, total: str, out: str, buckets: int = 256, one_task_bytes: int | None = None
+    df: DataFrame, by: str, total: str, out: str, buckets: int = 256
 ) -> DataFrame:
     """Sum of ``total`` over all rows with a smaller ``by`` (``by`` unique); used by the rank statistic ML9."""
-    if is_small_input(df, one_task_bytes):
-        w = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(out, F.coalesce(F.sum(total).over(w), F.lit(0)))
     marked = value_buckets(cut_lineage(df), by, buckets)
     offsets = _offsets(marked, {"_offset": F.sum(total)})
     w = Window.partitionBy("_bucket").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
     summed = marked.withColumn("_local", F.coalesce(F.sum(total).over(w), F.lit(0)))
-    return summed.join(lookup_side(offsets), "_bucket").withColumn(out, F.col("_local") + F.col("_offset")).drop(
+    return summed.join(offsets, "_bucket").withColumn(out, F.col("_local") + F.col("_offset")).drop(
         "_local", "_offset", "_bucket"
     )
 

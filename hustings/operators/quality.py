@@ -5,7 +5,7 @@ Each check returns the offending rows (or one row of figures); ``require_empty``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import ENTITY_CYCLE
@@ -83,5 +83,17 @@ def require_empty(check: DataFrame, message: str, show: int = 20) -> None:
 
 
 def require_unique(df: DataFrame, keys: list[str], name: str = "frame") -> DataFrame:
+    """Check now."""
     require_empty(duplicate_keys(df, keys), f"duplicate keys {keys} in {name}")
     return df
+
+
+def unique_keys(df: DataFrame, keys: list[str], name: str = "frame") -> DataFrame:
+    """The frame itself; a key that occurs twice fails the job that reads it. Keys with a NULL match nothing and may repeat."""
+    copies = F.count("*").over(Window.partitionBy(*keys))
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    problem = F.raise_error(F.concat(F.lit(f"duplicate keys in {name}: "), F.to_json(F.struct(*keys)))).cast("boolean")
+    checked = df.withColumn("_copies", copies)
+    return checked.where(F.when(known & (F.col("_copies") > 1), problem).otherwise(F.lit(True))).drop("_copies")

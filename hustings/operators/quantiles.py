@@ -5,28 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sizing import is_small_input, lookup_side
+from ..sizing import null_safe_join
 
 ACCURACY = 100_000
 
 
 def grouped_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], whole_group_bytes: int | None = None
+    df: DataFrame, keys: list[str], value: str, probs: dict[str, float]
 ) -> DataFrame:
     """Interpolated quantiles per group, one column per entry of ``probs``.
 
-    ``percentile`` keeps every distinct value of a group in memory, so it serves small inputs only. For large ones a
-    sketch with guaranteed rank error brackets each quantile, values outside the brackets are only counted, and the
+    ``percentile`` keeps every distinct value of a group in memory, so it is not used. A sketch with guaranteed rank error brackets each quantile, values outside the brackets are only counted, and the
     exact ranks are found among the few values inside. One pass feeds both counts and values.
     """
     if not keys:
         whole = df.withColumn("_all", F.lit(1))
-        return grouped_quantiles(whole, ["_all"], value, probs, whole_group_bytes).drop("_all")
+        return grouped_quantiles(whole, ["_all"], value, probs).drop("_all")
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    if is_small_input(df, whole_group_bytes):
-        cols = [F.percentile(value, F.lit(p)).alias(name) for name, p in probs.items()]
-        return rows.groupBy(*keys).agg(*cols)
-    margin = 2.0 / ACCURACY
+    # The sketch is off by 1 / ACCURACY of the rows at most; one rank more is needed on each side to interpolate, which is
+    # less than that beyond ACCURACY rows. Smaller groups are taken whole.
+    margin = 4.0 / ACCURACY
     low = [max(p - margin, 0.0) for p in probs.values()]
     high = [min(p + margin, 1.0) for p in probs.values()]
     bounds = rows.groupBy(*keys).agg(
@@ -39,15 +37,16 @@ def grouped_quantiles(
     v = F.col(value)
     brackets = []
     for i, p in enumerate(probs.values()):
-        lo = F.col("_min") if low[i] == 0.0 else F.col("_low")[i]
-        hi = F.col("_max") if high[i] == 1.0 else F.col("_high")[i]
+        few = F.col("_n") <= ACCURACY
+        lo = F.col("_min") if low[i] == 0.0 else F.when(few, F.col("_min")).otherwise(F.col("_low")[i])
+        hi = F.col("_max") if high[i] == 1.0 else F.when(few, F.col("_max")).otherwise(F.col("_high")[i])
         brackets.append((lo, hi))
     inside = F.lit(False)
     below = F.lit(float("-inf"))
     for lo, hi in brackets:
         inside = inside | ((v >= lo) & (v <= hi))
         below = F.greatest(below, F.when(hi < v, hi.cast("double")).otherwise(F.lit(float("-inf"))))
-    joined = rows.join(lookup_side(bounds), keys)
+    joined = null_safe_join(rows, bounds, keys)
     counted = (
         joined.withColumn("_v", F.when(inside, v.cast("double")).otherwise(below))
         .groupBy(*keys, "_v", "_n")
@@ -69,10 +68,10 @@ def grouped_quantiles(
     return found.select(*keys, *out)
 
 
-def box_summary(df: DataFrame, keys: list[str], value: str, whole_group_bytes: int | None = None) -> DataFrame:
+def box_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """AG31: five-number summary per group."""
     return grouped_quantiles(
-        df, keys, value, {"minimum": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "maximum": 1.0}, whole_group_bytes
+        df, keys, value, {"minimum": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "maximum": 1.0}
     )
 
 

@@ -25,7 +25,7 @@ from ..functions.text import (
     strip,
 )
 from ..session import cut_lineage
-from ..sizing import lookup_side, settled
+from ..sizing import settled
 from .ordering import first_n_non_null
 
 TABLE = ["source_table", "country", "election_year"]
@@ -137,7 +137,7 @@ def with_table_names(raw: DataFrame) -> DataFrame:
         F.count_if(data).alias("n_rows"), F.min(F.when(data, F.col("row_idx"))).alias("_start")
     )
     # Only the header line and the first data line of each table carry their cells into the aggregation.
-    heads = raw.join(lookup_side(sizes), TABLE).where((F.col("row_idx") == 0) | (F.col("row_idx") == F.col("_start")))
+    heads = raw.join(sizes, TABLE).where((F.col("row_idx") == 0) | (F.col("row_idx") == F.col("_start")))
     tables = heads.groupBy(*TABLE, "n_rows").agg(
         F.max(F.when(~data, F.col("cells"))).alias("_head"),
         F.max(F.when(data, F.struct("row_idx", "cells"))).alias("_first"),
@@ -169,7 +169,7 @@ def with_table_names(raw: DataFrame) -> DataFrame:
 
 def rows_with_names(raw: DataFrame, tables: DataFrame) -> DataFrame:
     """Data rows with their table's names; a row is junk when it repeats names or carries ``unnamed:`` (CL8)."""
-    named = raw.where(F.col("row_idx") > 0).join(lookup_side(tables), TABLE)
+    named = raw.where(F.col("row_idx") > 0).join(tables, TABLE)
     kept = named.where(F.col("row_idx") >= F.col("first_kept")).withColumn("cells", F.transform("cells", missing_to_null))
     junk = bind(
         _lower(F.col("cells")),
@@ -189,7 +189,7 @@ def profile_tables(raw: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFr
     tables = settled(with_table_names(raw))
     rows = rows_with_names(raw, tables)
     starts = settled(rows.where(~F.col("junk")).groupBy(*TABLE).agg(F.min("row_idx").alias("first_good")))
-    body = rows.join(lookup_side(starts), TABLE).where(F.col("row_idx") >= F.col("first_good"))
+    body = rows.join(starts, TABLE).where(F.col("row_idx") >= F.col("first_good"))
     sizes = body.groupBy(*TABLE).agg(
         F.count("*").alias("rows_after_junk"), F.count_if("national").alias("national_rows")
     )
@@ -214,7 +214,7 @@ def profile_tables(raw: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFr
         listed.where(~reserved)
         .join(percents.where(F.col("percent_share") > 0.5), [*TABLE, "col_idx"])
         .withColumn("_label", clean_label(F.col("name")))
-        .join(lookup_side(known), ["country", "_label"])
+        .join(known, ["country", "_label"])
         .select(*TABLE, "col_idx", "name")
     )
     series = settled(series)
@@ -245,7 +245,7 @@ def melt_tables(decided: DataFrame, series: DataFrame, body: DataFrame, labels:
         .groupBy(*TABLE)
         .agg(F.collect_list(F.struct("col_idx", "name")).alias("_series"))
     )
-    rows = body.where("national").join(lookup_side(wanted), TABLE)
+    rows = body.where("national").join(wanted, TABLE)
     long = rows.select(
         *TABLE,
         F.get("cells", F.col("date_idx")).alias("date_raw"),
@@ -271,7 +271,7 @@ def canonical_labels(df: DataFrame, labels: DataFrame, column: str, out: str) ->
     label, tag = label_and_tag(F.col(column))
     known = labels.select("country", F.col("label").alias("_label"), "canonical")
     keyed = df.withColumns({"_label": clean_label(label), "_tag": tag})
-    joined = keyed.join(lookup_side(known), ["country", "_label"], "left")
+    joined = keyed.join(known, ["country", "_label"], "left")
     named = F.coalesce("canonical", F.upper("_label"))
     return joined.withColumn(out, F.when(F.col("_tag") != "", F.concat_ws(" ", named, "_tag")).otherwise(named)).drop(
         "_label", "_tag", "canonical"

@@ -36,7 +36,7 @@ def fixed_matrix(df: DataFrame, row: str, rows: list[str], column: str, columns:
     """RS2: matrix with rows and columns in a given order; absent cells are NULL, absent rows stay."""
     order = df.sparkSession.createDataFrame([(r, i) for i, r in enumerate(rows)], f"{row} string, row_order int")
     wide = df.groupBy(row).pivot(column, columns).agg(F.first(value))
-    return F.broadcast(order).join(wide, row, "left").orderBy("row_order")
+    return order.join(wide, row, "left").orderBy("row_order")
 
 
 def entity_cycle_matrix(

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import lenient_number
-from ..sizing import lookup_side
 from .quality import QualityError
 
 # Nominees and their party; order decides last-name matches.
@@ -24,19 +25,28 @@ DISTRICT_SERIES = {
 
 
 def weighted_share(df: DataFrame, cycle: str, parts: dict[str, str], total: str, entity: Column) -> DataFrame:
-    """AG1: sum of a series' votes over the sum of all votes; cycles without votes are skipped."""
+    """AG1: sum of a series' votes over the sum of all votes; cycles without votes are skipped.
+
+    A series whose votes are all unreadable has a share of zero.
+    """
     present = {series: c for series, c in parts.items() if c in df.columns}
     sums = df.groupBy(cycle).agg(
         F.sum(lenient_number(F.col(total))).alias("_total"),
         *[F.sum(lenient_number(F.col(c))).alias(series) for series, c in present.items()],
     )
     long = sums.where(F.col("_total") != 0).unpivot([cycle, "_total"], list(present), "party", "_votes")
-    return long.where(F.col("_votes").isNotNull()).select(
+    return long.select(
         entity.alias("country"), F.col(cycle).cast("int").alias("election_year"), "party",
-        (F.col("_votes") / F.col("_total") * 100).alias("actual_pct"),
+        (F.coalesce("_votes", F.lit(0.0)) / F.col("_total") * 100).alias("actual_pct"),
     )
 
 
+def present_column_shares(files: list[tuple[DataFrame, int]], entity: Column, column_map: dict[str, str] = DISTRICT_SERIES) -> DataFrame:
+    """AG2 over several files, each with the columns it has and the cycle that its name gives."""
+    shares = [present_column_share(df.withColumn("_cycle", F.lit(cycle)), "_cycle", entity, column_map) for df, cycle in files]
+    return reduce(DataFrame.unionByName, shares)
+
+
 def present_column_share(
     df: DataFrame, cycle: str, entity: Column, column_map: dict[str, str] = DISTRICT_SERIES
 ) -> DataFrame:
@@ -64,8 +74,13 @@ def ready_shares(df: DataFrame, cycle: str, columns: dict[str, str], entity: Col
     return long.select(entity.alias("country"), F.col(cycle).cast("int").alias("election_year"), "party", "actual_pct")
 
 
-def share_by_label(df: DataFrame, cycle: str, label: str, votes: str, entity: Column) -> DataFrame:
-    """AG4: share of each mapped label among all votes of the cycle; the window runs over aggregated rows."""
+def share_by_label(df: DataFrame, cycle: str, label: str, votes: str, entity: Column, stage: str | None = None) -> DataFrame:
+    """AG4: share of each mapped label among all votes of the cycle; the window runs over aggregated rows.
+
+    ``stage`` names a column of which only ``general`` rows (in any case) count.
+    """
+    if stage:
+        df = df.where(F.lower(F.trim(stage)) == "general")
     sums = df.groupBy(cycle, label).agg(F.sum(lenient_number(F.col(votes))).alias("_votes"))
     whole = F.sum("_votes").over(Window.partitionBy(cycle))
     shared = sums.withColumn("_total", whole).where(F.col("_total") != 0)

@@ -1,8 +1,8 @@
 """Observation-ordered rolling mean and finite differences (WN1-WN3).
 
-A series can be far larger than one task should sort. Small inputs use one window per series. Larger inputs are cut
-into contiguous chunks of about ``rows_per_task`` rows; each chunk borrows the few rows before it, so every row sees
-exactly the rows it would see in the undivided series.
+A series can be far larger than one task should sort, so series can be cut into contiguous chunks of about
+``rows_per_task`` rows; each chunk borrows the few rows before it, and every row sees exactly the rows it would see in
+the undivided series. NULL keys, dates and ties are values like others (NULL sorts first).
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import SERIES_KEYS
-from ..sizing import is_small_input, lookup_side
+from ..sizing import null_safe_join
 
 CHUNK = ["_block", "_part"]
 
@@ -23,15 +23,15 @@ def rolling_features(
     keys: list[str] = SERIES_KEYS,
     value: str = "pct",
     window: int = 5,
-    rows_per_task: int = 4_000_000,
-    whole_series_bytes: int | None = None,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Add ``rolling_avg`` (last ``window`` observations, partial at the start) and both differences of ``value``.
 
     ``order`` must be a total order: the date first, then tie-breaking columns (the first of them numeric, so that a
-    single crowded date can be split as well).
+    single crowded date can be split as well). Without ``rows_per_task`` a series is one window, which Spark sorts with
+    spilling; with it series are cut, whatever their size.
     """
-    if is_small_input(df, whole_series_bytes):
+    if rows_per_task is None:
         return _rolling(df, keys, order, value, window)
     chunked = with_chunks(df, keys, order, rows_per_task)
     borrowed = _rows_before_chunk(chunked, keys, order, value, max(window - 1, 2))
@@ -72,11 +72,12 @@ def with_chunks(df: DataFrame, keys: list[str], order: list[str], rows_per_task:
             "_parts": F.ceil(F.col("_n") / rows_per_task),
         }
     ).drop("_n")
-    out = df.join(lookup_side(days), [*keys, date])
+    out = null_safe_join(df, days, [*keys, date])
     if split_by:
         share = (F.col(split_by).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
         divided = F.least(F.col("_parts") - 1, F.floor(share * F.col("_parts")))
-        part = F.when((F.col("_parts") > 1) & (F.col("_hi") > F.col("_lo")), divided)
+        cut = F.when(F.col(split_by).isNull(), F.lit(0)).otherwise(divided)
+        part = F.when((F.col("_parts") > 1) & (F.col("_hi") > F.col("_lo")), cut)
     else:
         part = F.lit(None).cast("bigint")
     return out.withColumn("_part", F.coalesce(part, F.lit(0))).drop("_parts", "_lo", "_hi")

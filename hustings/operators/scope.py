@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import series_alias
 from ..functions.text import is_result_row, marker_relevance, marker_text
+from .quality import unique_keys
 from ..schemas import ENTITY_CYCLE, LOT_KEYS
-from ..sizing import lookup_side
 from .aggregates import joined_labels
 from .ordering import best_row
 
@@ -54,7 +54,7 @@ def marker_candidates(polls: DataFrame, truth: DataFrame) -> DataFrame:
     actual = truth.dropna(subset=[*ENTITY_CYCLE, "party", "actual_pct"]).select(
         *ENTITY_CYCLE, F.col("party").alias("comparison_party"), "actual_pct"
     )
-    compared = vector.join(lookup_side(actual), [*ENTITY_CYCLE, "comparison_party"], "left")
+    compared = vector.join(actual, [*ENTITY_CYCLE, "comparison_party"], "left")
     matched = F.col("actual_pct").isNotNull()
     error = F.abs(F.col("pct") - F.col("actual_pct"))
     texts = F.array_sort(F.array_distinct(F.flatten(F.collect_list("_texts"))))
@@ -126,12 +126,12 @@ def scope_audit(polls: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def effective_scope(polls: DataFrame, audit: DataFrame, overrides: DataFrame) -> DataFrame:
-    """JN2 + SC8: override before audit before the fail-closed default."""
+    """JN2 + SC8: override before audit before the fail-closed default; a lot decided twice is an error."""
     decisions = (
-        audit.select(*LOT_KEYS, "scope_status", "scope_reason")
-        .join(overrides.select(*LOT_KEYS, "override_status", "reason", "evidence"), LOT_KEYS, "full")
+        unique_keys(audit.select(*LOT_KEYS, "scope_status", "scope_reason"), LOT_KEYS, "audit")
+        .join(unique_keys(overrides.select(*LOT_KEYS, "override_status", "reason", "evidence"), LOT_KEYS, "overrides"), LOT_KEYS, "full")
     )
-    return polls.join(lookup_side(decisions), LOT_KEYS, "left").withColumns(
+    return polls.join(decisions, LOT_KEYS, "left").withColumns(
         {
             "effective_scope_status": F.coalesce("override_status", "scope_status", F.lit("unclassified")),
             "effective_scope_reason": F.coalesce("reason", "scope_reason", F.lit(REASONS["absent"])),

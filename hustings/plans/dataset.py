@@ -11,7 +11,6 @@ from ..operators.joins import common_keys, many_to_one, one_to_one, past_cutoff,
 from ..operators.quality import QualityError, require_empty, require_unique
 from ..operators.rolling import rolling_features
 from ..schemas import ENTITY_CYCLE, SERIES_KEYS
-from ..sizing import lookup_side
 
 #: One value per cycle, carried along: grouping by the series keys alone keeps the window's partitioning and order.
 CYCLE_FACTS = ["election_date", "dataset_split"]
@@ -180,4 +179,4 @@ def model_audit(dated: DataFrame, dataset: DataFrame) -> DataFrame:
         F.min("last_poll_date").alias("earliest_model_poll"),
         F.max("last_poll_date").alias("latest_model_poll"),
     )
-    return source.join(lookup_side(model), ENTITY_CYCLE, "left")
+    return source.join(model, ENTITY_CYCLE, "left")

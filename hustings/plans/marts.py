@@ -12,7 +12,6 @@ from ..operators.joins import many_to_one
 from ..operators.ordering import best_row
 from ..operators.reshape import tagged_union
 from ..schemas import ENTITY_CYCLE, SERIES_KEYS
-from ..sizing import lookup_side
 
 
 def election_performance(development: DataFrame, holdout: DataFrame, holdout_errors: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -97,7 +96,7 @@ def party_errors(development: DataFrame, holdout: DataFrame, dataset: DataFrame,
         *SERIES_KEYS, "dataset_split", "is_winner", "n_poll_observations", "poll_std", "campaign_span_days",
         "recent_30d_observations",
     )
-    full = attach_metadata(both.join(lookup_side(features), SERIES_KEYS), metadata.select("country", "country_label"))
+    full = attach_metadata(both.join(features, SERIES_KEYS), metadata.select("country", "country_label"))
     role = status_text(F.col("is_winner"), "Election winner", "Other modelled party")
     return full.select(
         "country", "country_label", "election_year",
@@ -137,7 +136,7 @@ def trailing_range(df: DataFrame, months: int | None, by: list[str], date: str =
     if months is None:
         return df
     ends = df.groupBy(*by).agg(F.add_months(F.max(date), -months).alias("_from"))
-    return df.join(lookup_side(ends), by).where(F.col(date) >= F.col("_from")).drop("_from")
+    return df.join(ends, by).where(F.col(date) >= F.col("_from")).drop("_from")
 
 
 def case_study(results: DataFrame, predictions: DataFrame, country: str, year: int) -> DataFrame:

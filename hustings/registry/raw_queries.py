@@ -52,10 +52,10 @@ def _lines(body: str) -> str:
 
 
 @query("CL1", _lines("""SELECT source_table, country, election_year, n + CASE kind WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 0 END AS n_rows,
-  n + CASE kind WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 0 END >= 3 AS enough FROM tables"""))
+  n + CASE kind WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 0 END >= 3 AS admitted FROM tables"""))
 def scrape_admission(spark, sf):
-    out = RT.admissible_scrape(A.raw_rows(spark, sf))
-    return out.select("source_table", "country", "election_year", "n_rows", (F.col("admitted") | (F.col("numeric_columns") < 2) & (F.col("n_rows") >= 3)).alias("enough"))
+    """Every table of the adapter has two columns with digits, its dates and a count, so that the rows decide."""
+    return RT.admissible_scrape(A.raw_rows(spark, sf)).select("source_table", "country", "election_year", "n_rows", "admitted")
 
 
 @query("CL2 CL3 CL4 CL5 CL6 CL7 CL8 CL9 CL10 CL11 CL12 CL13 CL14 CL16 CL17 WN12", _lines("SELECT source_table, country, election_year, status FROM decided"))
@@ -115,11 +115,12 @@ def label_canon(spark, sf):
     return RT.canonical_labels(rows, RT.label_table(spark), "name", "party").select("event_id", "party")
 
 
-@query("CL21", "SELECT event_id, CASE event_id % 6 WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE round(value, 2) END AS pct FROM events")
+@query("CL21", "SELECT event_id, CASE WHEN event_id % 9 < 4 THEN round(value, 2) END AS pct FROM events")
 def pct_parse(spark, sf):
     value = F.format_string("%.2f", "value")
-    forms = [F.concat(value, F.lit("%")), F.concat(F.lit(" "), value, F.lit(" % ")), F.concat(F.lit("–"), value), value, F.lit("—"), F.concat(value, F.lit("[a]"))]
-    kind = F.col("event_id") % 6
+    forms = [F.concat(value, F.lit("%")), F.concat(F.lit(" "), value, F.lit(" % ")), F.concat(F.lit("–"), value), value, F.lit("—"), F.concat(value, F.lit("[a]")),
+        F.concat(value, F.lit("d")), F.concat(value, F.lit("f%")), F.lit("0x1p3")]
+    kind = F.col("event_id") % 9
     cell = F.when(kind == 0, forms[0])
     for i, f in enumerate(forms[1:], 1):
         cell = cell.when(kind == i, f)

@@ -108,23 +108,26 @@ def country_totals(spark, sf):
 # ---- true outcomes ---------------------------------------------------------------------------------------------
 
 @query("AG1", sql("polls", """SELECT 'all' AS country, election_year, party, round(100.0 * v / t, 6) AS actual_pct FROM (
-   SELECT election_year, sum(l_extendedprice) FILTER (party = 'AF') AS "AF", sum(l_extendedprice) FILTER (party = 'NO') AS "NO", sum(l_extendedprice) AS t
-   FROM polls GROUP BY election_year) UNPIVOT (v FOR party IN ("AF", "NO"))"""))
+   SELECT election_year, sum(l_extendedprice) FILTER (party = 'AF') AS "AF", sum(l_extendedprice) FILTER (party = 'NO') AS "NO", 0.0::DOUBLE AS "ZZ", sum(l_extendedprice) AS t
+   FROM polls GROUP BY election_year) UNPIVOT (v FOR party IN ("AF", "NO", "ZZ"))"""))
 def weighted_share(spark, sf):
-    """Districts are suppliers' lines; two series' votes over all votes, blanks where a series did not stand."""
+    """Districts are suppliers' lines; series' votes over all votes, blanks where a series did not stand, one unreadable."""
     votes = [F.when(F.col("party") == p, F.col("l_extendedprice")).cast("string").alias(f"{p}_votes") for p in ("AF", "NO")]
-    wide = A.polls(spark, sf).select("election_year", "l_extendedprice", *votes)
-    return rounded(RE.weighted_share(wide, "election_year", {"AF": "AF_votes", "NO": "NO_votes"}, "l_extendedprice", F.lit("all")))
+    wide = A.polls(spark, sf).select("election_year", "l_extendedprice", *votes, F.lit("n/a").alias("ZZ_votes"))
+    return rounded(RE.weighted_share(wide, "election_year", {"AF": "AF_votes", "NO": "NO_votes", "ZZ": "ZZ_votes"}, "l_extendedprice", F.lit("all")))
 
 
-@query("AG2", sql("polls", """SELECT 'all' AS country, election_year, party, round(100.0 * v / (b + c + l), 6) AS actual_pct FROM (
+@query("AG2", sql("polls", """SELECT 'all' AS country, election_year, party, round(100.0 * v / (b + coalesce(c, 0) + l), 6) AS actual_pct FROM (
    SELECT election_year, b, c, l, b AS "BQ", c AS "CPC", l AS "LPC" FROM (
-   SELECT election_year, sum(l_extendedprice) FILTER (party = 'AF') AS b, sum(l_extendedprice) FILTER (party = 'AO') AS c,
+   SELECT election_year, sum(l_extendedprice) FILTER (party = 'AF') AS b, sum(l_extendedprice) FILTER (party = 'AO' AND election_year % 2 = 1) AS c,
      sum(l_extendedprice) FILTER (party = 'NF') AS l FROM polls GROUP BY election_year)) UNPIVOT (v FOR party IN ("BQ", "CPC", "LPC"))"""))
 def share_of_present_columns(spark, sf):
+    """A file per cycle; those of even years lack one of the columns."""
     columns = {"Bloc": "AF", "ConParty": "AO", "Lib": "NF"}
-    votes = [F.when(F.col("party") == p, F.col("l_extendedprice")).alias(c) for c, p in columns.items()]
-    return rounded(RE.present_column_share(A.polls(spark, sf).select("election_year", *votes), "election_year", F.lit("all")))
+    votes = {c: F.when(F.col("party") == p, F.col("l_extendedprice")).alias(c) for c, p in columns.items()}
+    polls = A.polls(spark, sf)
+    files = [(polls.where(F.col("election_year") == y).select(*[v for c, v in votes.items() if y % 2 or c != "ConParty"]), y) for y in range(1995, 2002)]
+    return rounded(RE.present_column_shares(files, F.lit("all")))
 
 
 @query("AG3 RS1", sql("polls", """SELECT 'all' AS country, election_year, UNNEST([{'party': 'A (2PP)', 'actual_pct': round(a, 6)}, {'party': 'B (2PP)', 'actual_pct': round(100 - a, 6)}], recursive := true)
@@ -150,16 +153,16 @@ def _candidates(spark, sf):
         who = who.when(kind == i, n)
     return A.load(spark, sf, "lineitem").select(
         F.year("l_shipdate").alias("cycle"), who.alias("candidate_name"), F.col("l_extendedprice").alias("votes"),
-        F.when(F.col("l_linenumber") == 1, "National").otherwise("Ohio").alias("state"),
+        F.when(F.col("l_linenumber") == 1, "National").otherwise("Ohio").alias("state"), F.when(F.col("l_linenumber") % 3 == 0, "primary").otherwise("General").alias("stage"),
         F.col("l_shipdate").cast("date").cast("string").alias("modeldate"), F.col("l_quantity").alias("pct_estimate"),
     )
 
 
 @query("AG4 CL26", f"""SELECT 'us' AS country, CAST(cycle AS INTEGER) AS election_year, party, round(100.0 * v / sum(v) OVER (PARTITION BY cycle), 6) AS actual_pct
-  FROM (SELECT year(l_shipdate) AS cycle, {MAPPED} AS party, sum(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2)""")
+  FROM (SELECT year(l_shipdate) AS cycle, {MAPPED} AS party, sum(l_extendedprice) AS v FROM lineitem WHERE l_linenumber % 3 <> 0 GROUP BY 1, 2)""")
 def share_by_mapped_label(spark, sf):
     named = RE.map_names(_candidates(spark, sf), "candidate_name", "party")
-    return rounded(RE.share_by_label(named, "cycle", "party", "votes", F.lit("us")))
+    return rounded(RE.share_by_label(named, "cycle", "party", "votes", F.lit("us"), stage="stage"))
 
 
 @query("CL25 CL26", f"""SELECT 'us' AS country, CAST(year(l_shipdate) AS INTEGER) AS election_year, strftime(l_shipdate, '%Y-%m-%d') AS date_raw, NULL::VARCHAR AS pollster,

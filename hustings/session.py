@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,11 +32,14 @@ def get_spark(app: str = "hustings", master: str | None = None, **conf: str) ->
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for cut lineage and written tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) a
-    temporary folder is made and remembered for the session.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the master is local (tests on one
+    machine) a temporary folder is made and remembered for the session; on a cluster it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not configured:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
         configured = tempfile.mkdtemp(prefix="hustings-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -48,6 +52,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(scratch_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def written(df, name: str = "settled"):
+    """``df`` written once to the shared folder and read again, so that Spark knows its real size."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df):
     """Materialise ``df`` once in the reliable shared folder (survives lost executors)."""
     scratch_dir(df.sparkSession)

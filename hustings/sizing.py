@@ -1,61 +1,35 @@
-"""Size checks behind every broadcast and every choice between two exact plans.
-
-Both plans of a choice give the same rows; a check only picks the cheaper one.
-"""
+"""Frames that several later steps read, and plan-time value lists."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut_lineage
-
-#: Lookup sides above this many rows are joined by shuffle instead of broadcast.
-BROADCAST_ROWS = 200_000
-#: Inputs whose files are smaller than this may keep one whole group in one task.
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
-#: Lookups derived from files smaller than this are broadcast without a counting job.
-LOOKUP_INPUT_BYTES = 32 * 1024 * 1024
-
-
-def source_bytes(df: DataFrame) -> int:
-    """Bytes under the leaves of the optimised plan (file sizes, no job). Unknown leaves count as huge."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
-    total = 0
-    while leaves.hasNext():
-        total += int(str(leaves.next().stats().sizeInBytes()))
-    return total
-
+from .session import written
 
-def is_small_input(df: DataFrame, limit: int | None = None) -> bool:
-    return source_bytes(df) <= (SMALL_INPUT_BYTES if limit is None else limit)
 
+def settled(df: DataFrame) -> DataFrame:
+    """Compute a frame that several later steps read once.
 
-def lookup_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The unique-key side of a many-to-one join, broadcast only when proven small.
-
-    Derived from small files: its rows cannot exceed the input, so the hint is safe. Otherwise at most
-    ``max_rows + 1`` rows are fetched: if that is all of them they become a local relation (computed once, reused by
-    every consumer); if not, the frame is returned as it is and Spark joins by shuffle with AQE skew handling.
+    It is written to the shared folder, which survives lost executors, and read back: no row passes through the driver,
+    and joins with it are sized by its files.
     """
-    if is_small_input(df, LOOKUP_INPUT_BYTES):
-        return F.broadcast(df)
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
-        return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))
-    return df
+    return written(df)
 
 
-def settled(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Compute a frame that several later steps read once.
+def same_keys(keys: list[str], left: str = "l", right: str = "r") -> Column:
+    """Null-safe equality of the keys of two aliased frames."""
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return on
 
-    Up to ``max_rows`` rows become a local relation whose exact size Catalyst knows; a larger frame is checkpointed
-    in the shared folder, so lost executors do not recompute it.
-    """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
-        return df.sparkSession.createDataFrame(head, schema=df.schema)
-    return cut_lineage(df)
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join in which NULL keys meet; the keys of the left side are kept once."""
+    added = [c for c in right.columns if c not in keys]
+    joined = left.alias("l").join(right.alias("r"), same_keys(keys), how)
+    return joined.select("l.*", *[F.col(f"r.`{c}`").alias(c) for c in added])
 
 
 def bounded_values(df: DataFrame, column: str, max_values: int = 1000) -> list:

@@ -9,29 +9,56 @@ from hustings.operators import ordering as O
 from hustings.operators.quantiles import box_summary, grouped_quantiles, histogram
 
 
-@pytest.mark.parametrize("one_task", [2**62, 0])
-def test_global_rank(spark, one_task):
+@pytest.mark.parametrize("buckets", [1, 16, 256])
+def test_global_rank(spark, buckets):
     rnd = random.Random(3)
-    data = [(rnd.choice([0.5, 1.5, rnd.random()]), i) for i in range(500)]
+    data = [(rnd.choice([None, 0.5, 1.5, rnd.random()]), i) for i in range(500)]
     df = spark.createDataFrame(data, "v double, id int")
-    got = {r.id: r["rank"] for r in O.global_rank(df, "v", ["id"], buckets=16, one_task_bytes=one_task).collect()}
-    assert got == {i: n for n, (_, i) in enumerate(sorted(data), 1)}
+    got = {r.id: r["rank"] for r in O.global_rank(df, "v", ["id"], buckets=buckets).collect()}
+    assert got == {i: n for n, (_, i) in enumerate(sorted(data, key=lambda x: (x[0] is not None, x[0] or 0, x[1])), 1)}
 
 
-@pytest.mark.parametrize("whole", [2**62, 0])
-def test_quantiles_match_numpy(spark, whole):
+def test_global_rank_of_nulls_only_and_of_nothing(spark):
+    df = spark.createDataFrame([(None, i) for i in range(5)], "v double, id int")
+    assert {r.id: r["rank"] for r in O.global_rank(df, "v", ["id"]).collect()} == {i: i + 1 for i in range(5)}
+    assert O.global_rank(df.where("false"), "v", ["id"]).count() == 0
+
+
+@pytest.mark.parametrize("buckets", [1, 16])
+def test_running_total_counts_null_first(spark, buckets):
+    data = [(None, 4)] + [(i * 0.5, i % 7) for i in range(200)]
+    df = spark.createDataFrame(data, "v double, n int")
+    got = {r.v: r.below for r in O.running_total_before(df, "v", "n", "below", buckets=buckets).collect()}
+    total, want = 0, {}
+    for v, n in data:
+        want[v] = total
+        total += n
+    assert got == want
+
+
+def test_quantiles_match_numpy(spark):
     rnd = random.Random(4)
     data = [("hot", rnd.choice([1.0, rnd.gauss(0, 5)])) for _ in range(4000)] + [("one", 2.5)] + [("two", 1.0), ("two", 4.0)]
+    data += [(None, rnd.gauss(0, 1)) for _ in range(50)]
     df = spark.createDataFrame(data + [("hot", None)], "k string, v double")
-    got = {r.k: r for r in box_summary(df, ["k"], "v", whole).collect()}
-    for k in ("hot", "one", "two"):
+    got = {r.k: r for r in box_summary(df, ["k"], "v").collect()}
+    assert got.keys() == {"hot", "one", "two", None}
+    for k in ("hot", "one", "two", None):
         v = np.array([x for g, x in data if g == k])
         for name, p in (("minimum", 0), ("q1", 25), ("median", 50), ("q3", 75), ("maximum", 100)):
             assert abs(got[k][name] - np.percentile(v, p)) < 1e-9
-    overall = grouped_quantiles(df, [], "v", {"m": 0.5}, whole).first().m
+    overall = grouped_quantiles(df, [], "v", {"m": 0.5}).first().m
     assert abs(overall - np.median([x for _, x in data])) < 1e-9
 
 
+def test_quantiles_of_a_group_beyond_the_sketch(spark):
+    df = spark.range(300_000).selectExpr("id % 2 AS k", "cast(id * 7919 % 300007 as double) AS v")
+    got = {r.k: r for r in box_summary(df, ["k"], "v").collect()}
+    for k in (0, 1):
+        v = np.array([i * 7919 % 300007 for i in range(k, 300_000, 2)], float)
+        assert [got[k][n] for n in ("minimum", "q1", "median", "q3", "maximum")] == pytest.approx([np.percentile(v, p) for p in (0, 25, 50, 75, 100)])
+
+
 def test_histogram_covers_every_row(spark):
     df = spark.createDataFrame([(float(i),) for i in range(100)], "v double")
     bins = histogram(df, "v", 24).collect()

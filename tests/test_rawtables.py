@@ -61,6 +61,13 @@ def test_scrape_admission(raw):
     assert got["uk_1997_table3.csv"] and not got.get("missing", False)
 
 
+def test_scrape_without_digits_is_rejected(spark):
+    lines = {"few_digits": [["a 1", "x"], ["b", "y"], ["c", "z"], ["d", "4"]], "short": [["1", "2"]], "numbers": [["1", "2"], ["3", "n"], ["5", None]]}
+    rows = [(t, "uk", 1997, i, cells) for t, own in lines.items() for i, cells in enumerate([["h", "k"], *own])]
+    raw = spark.createDataFrame(rows, "source_table string, country string, election_year int, row_idx bigint, cells array<string>")
+    assert {r.source_table: r.admitted for r in R.admissible_scrape(raw).collect()} == {"few_digits": False, "short": False, "numbers": True}
+
+
 def test_repeated_headers(spark):
     df = spark.createDataFrame([(["X", "Y", "X", None, "X"],)], "h array<string>")
     assert df.select(R.header_names(df.h)).first()[0] == ["X", "Y", "X.1", "Unnamed: 3", "X.2"]

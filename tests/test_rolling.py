@@ -32,12 +32,11 @@ def expected(rows, n):
 
 
 @pytest.mark.parametrize("hot_day", [False, True])
-@pytest.mark.parametrize("whole,per_task,n", [(None, 10**9, 5), (0, 7, 5), (0, 1, 3), (0, 50, 1), (0, 13, 8), (0, 10**6, 5)])
-def test_whole_and_chunked_series_agree(spark, hot_day, whole, per_task, n):
+@pytest.mark.parametrize("per_task,n", [(None, 5), (7, 5), (1, 3), (50, 1), (13, 8), (10**6, 5)])
+def test_whole_and_chunked_series_agree(spark, hot_day, per_task, n):
     rows = observations(n, hot_day)
     df = spark.createDataFrame(rows, "country string, election_year int, party string, poll_date date, id int, pct double")
-    limit = 2**62 if whole is None else whole
-    out = rolling_features(df, ["poll_date", "id"], KEYS, window=n, rows_per_task=per_task, whole_series_bytes=limit)
+    out = rolling_features(df, ["poll_date", "id"], KEYS, window=n, rows_per_task=per_task)
     got = {r.id: (r.rolling_avg, r.momentum_1st_diff, r.momentum_2nd_diff) for r in out.collect()}
     want = expected(rows, n)
     assert got.keys() == want.keys()
@@ -55,3 +54,12 @@ def test_crowded_day_is_divided(spark):
 def test_last_observation(spark):
     df = spark.createDataFrame([("x", 1, "p", 1, 5.0), ("x", 1, "p", 2, 7.0)], "country string, election_year int, party string, at int, v double")
     assert last_observation(df, ["at"], ["v"]).first().v == 7.0
+
+
+def test_null_keys_dates_and_ties_are_kept_by_both_plans(spark):
+    day = [None, "2020-01-01", "2020-01-02"]
+    rows = [("x" if i % 5 else None, 1, "p" if i % 3 else None, day[i % 7 % 3], i if i % 11 else None, float(i * i % 37)) for i in range(200)]
+    df = spark.createDataFrame(rows, "country string, election_year int, party string, d string, id int, pct double").selectExpr("*", "cast(d as date) as poll_date")
+    plans = [rolling_features(df, ["poll_date", "id", "pct"], KEYS, rows_per_task=n) for n in (None, 5, 1)]
+    got = [sorted(map(str, p.select(*KEYS, "poll_date", "id", "pct", "rolling_avg", "momentum_2nd_diff").collect())) for p in plans]
+    assert len(got[0]) == 200 and got[0] == got[1] == got[2]
