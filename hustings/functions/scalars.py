@@ -7,25 +7,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sizing import lookup_side
+from .text import plain_number
+
 
 # Metrics bounded by one that are shown as percentages.
 BOUNDED_METRICS = ["election_winner_accuracy", "OOF_ROC_AUC", "row_accuracy_at_0.5"]
 
 
 def lenient_number(col: Column) -> Column:
-    """SC2: unreadable text and NaN become NULL."""
-    value = col.try_cast("double")
+    """SC2: unreadable text and NaN become NULL; infinities of numeric columns stay."""
+    value = F.coalesce(plain_number(col.cast("string")), F.when(col.cast("string").isin("Infinity", "-Infinity"), col.try_cast("double")))
     return F.when(~F.isnan(value), value)
 
 
 def lenient_year(col: Column) -> Column:
     """Years may arrive as ``2010`` or ``2010.0``."""
-    return col.try_cast("double").try_cast("int")
-
-
-def nan_to_null(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({c: F.when(~F.isnan(F.col(c)), F.col(c)) for c in columns})
+    return plain_number(col.cast("string")).try_cast("int")
 
 
 def lookup_text(col: Column, mapping: dict[str, str], default: Column | None = None) -> Column:
@@ -70,7 +67,7 @@ def title_label(col: Column) -> Column:
 
 def attach_metadata(df: DataFrame, metadata: DataFrame, key: str = "country") -> DataFrame:
     """SC13: join entity labels; an entity without metadata fails the job instead of vanishing."""
-    known = lookup_side(metadata.withColumn("_known", F.lit(True)))
+    known = metadata.withColumn("_known", F.lit(True))
     problem = F.raise_error(F.concat(F.lit(f"missing metadata for {key}: "), F.col(key)))
     return (
         df.join(known, key, "left")

@@ -15,6 +15,7 @@ LOOSE_MARKER = r"(?i)election|voting result"
 DATE_MARKER = r"(?i)^\s*(?:voting results?|election(?: results?)?)(?:\s*\[[^\]]+\])?\s*$"
 SOURCE_MARKER = r"(?i)^\s*(?:(?:19|20)\d{2}\s+)?(?:general\s+)?election(?:\s*\[[^\]]+\])?\s*$"
 YEAR_TOKEN = r"\b(?:19|20)\d{2}\b"
+NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 PERCENT_CELL = r"^\s*\d{1,2}(\.\d+)?\s*%?\s*$"
 # Double-encoded dash and apostrophe sequences and what they stand for.
 MOJIBAKE = [("â€“", "–"), ("â€”", "—"), ("â€™", "'")]
@@ -60,11 +61,15 @@ def label_and_tag(label: Column) -> tuple[Column, Column]:
     return F.when(tag != "", F.regexp_replace(label, r"\s*\([^)]*\)\s*$", "")).otherwise(label), tag
 
 
+def plain_number(text: Column) -> Column:
+    """A decimal number as text, else NULL; a cast alone would also take ``12d``, ``12f`` and ``0x1p3``."""
+    s = strip(text)
+    return F.when(s.rlike(NUMBER), s.try_cast("double"))
+
+
 def parse_percent(cell: Column) -> Column:
     """CL21: number from ``'43.5%'``-like text; anything else becomes NULL."""
-    s = F.regexp_replace(strip(cell), "[%–—]", "")
-    value = strip(s).try_cast("double")
-    return F.when(~F.isnan(value), value)
+    return plain_number(F.regexp_replace(strip(cell), "[%–—]", ""))
 
 
 def repair_mojibake(col: Column) -> Column:

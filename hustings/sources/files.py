@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import missing_to_null
-from ..sizing import lookup_side
 
 # Fixed pattern: raw files are named <entity>_<cycle>_table<n>.csv.
 RAW_NAME = r"^([a-z]+)_(\d{4})_table\d+\.csv$"
@@ -47,7 +46,7 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = No
 def _strict_cast(col, kind: str):
     value = missing_to_null(col) if kind != "string" else col
     if kind in ("int", "bigint"):
-        return value.cast("double").cast(kind)  # years may be stored as 2010.0
+        return F.regexp_replace(value, r"\.0+$", "").cast(kind)  # years may be stored as 2010.0; 2010.7 is an error
     return value.cast(kind)
 
 
@@ -87,7 +86,7 @@ def read_raw_rows(
     files = lines.groupBy("source_table").agg(F.min("_id").alias("_first"), F.max("_width").alias("_cols"))
     too_wide = F.raise_error(F.concat(F.lit("more columns than max_columns in "), F.col("source_table")))
     width = F.when(F.col("_cols") > max_columns, too_wide.cast("int")).otherwise(F.col("_cols"))
-    return lines.join(lookup_side(files), "source_table").select(
+    return lines.join(files, "source_table").select(
         "source_table",
         F.regexp_extract("source_table", RAW_NAME if by_folder else name_pattern, 1).alias("country"),
         F.regexp_extract("source_table", RAW_NAME if by_folder else name_pattern, 2).cast("int").alias("election_year"),
