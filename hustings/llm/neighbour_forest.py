@@ -162,7 +162,7 @@ def nearest(
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], []]
         if left.num_rows and right.num_rows:
-            ids = np.asarray(left.column("vec_id"))
+            ids, place = np.unique(np.asarray(left.column("vec_id")), return_inverse=True)
             v = np.frombuffer(b"".join(left.column("v").to_pylist()), np.float32).reshape(-1, width).astype(np.float64)
             seen = set()
             for query, q in zip(right.column("query_id").to_pylist(), right.column("q").to_pylist()):
@@ -170,7 +170,8 @@ def nearest(
                     continue
                 seen.add((query, q))
                 gap = v - np.frombuffer(q, np.float32).astype(np.float64)
-                distance = np.sqrt((gap * gap).sum(axis=1))
+                distance = np.full(len(ids), np.inf)
+                np.minimum.at(distance, place, np.sqrt((gap * gap).sum(axis=1)))  # an id may stand in several rows
                 other = np.flatnonzero(ids != query)
                 best = other[np.lexsort((ids[other], distance[other]))[:k]] if len(other) <= 4 * k else _least(distance, ids, other, k)
                 out[0].append(np.full(len(best), query)), out[1].append(ids[best]), out[2].append(distance[best])
