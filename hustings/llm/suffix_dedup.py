@@ -30,7 +30,7 @@ LENGTH = 50
 GRAM = 20
 #: Bytes of contents put into one suffix array, but for a key with more.
 ARRAY_BYTES = 400_000
-#: Documents and key buckets are dealt into this many groups for each shuffle partition.
+#: Documents are dealt into this many groups for each shuffle partition; keys into one.
 GROUPS_PER_PARTITION = 4
 LAST_ID = np.iinfo(np.int64).max
 _KEY_BITS = np.uint64(48)
@@ -193,7 +193,7 @@ def _arranged(docs: pa.Table, side: pa.Table) -> tuple[np.ndarray, pa.Array, np.
     return ids, docs.column("text").combine_chunks().cast(pa.large_string()).take(pa.array(by)), is_copy
 
 
-def _send_keys(groups: int):
+def _send_keys(buckets: int):
     """Keys of a group of documents: a row per key bucket with the keys and the documents they are from."""
 
     def run(docs: pa.Table, side: pa.Table) -> pa.Table:
@@ -212,7 +212,7 @@ def _send_keys(groups: int):
                 keys.append(both & np.uint64((1 << 48) - 1))
                 rows_.append((both >> _KEY_BITS).astype(np.int64) + a)
             key, row = np.concatenate(keys), np.concatenate(rows_)
-            for bucket, rows in _by_group((key % np.uint64(groups)).astype(np.int64)):
+            for bucket, rows in _by_group((key % np.uint64(buckets)).astype(np.int64)):
                 r, k = row[rows], key[rows]  # in the order of documents
                 new = np.concatenate([[True], r[1:] != r[:-1]])
                 at = np.cumsum(new) - 1
@@ -421,7 +421,8 @@ def _texts(docs: pa.Table, removals: pa.Table) -> pa.Table:
 
 def _deduplicated(docs: DataFrame, finish, schema: str) -> DataFrame:
     spark = docs.sparkSession
-    groups = GROUPS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = GROUPS_PER_PARTITION * buckets
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("home"), "text", F.xxhash64("text").alias("mark"))
@@ -433,7 +434,7 @@ def _deduplicated(docs: DataFrame, finish, schema: str) -> DataFrame:
     copies = prints.join(firsts, ["mark", "more", "size"]).where(F.coalesce("doc_id", last) > F.col("first"))
     copies = copies.select("home", "doc_id", "mark").mapInArrow(_send_copies, side)
     dealt = rows.groupBy("home")
-    sent = dealt.cogroup(copies.groupBy("home")).applyInArrow(_send_keys(groups), "bucket int, home int, keys binary, at binary, ids binary")
+    sent = dealt.cogroup(copies.groupBy("home")).applyInArrow(_send_keys(buckets), "bucket int, home int, keys binary, at binary, ids binary")
     shared = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_share_keys, side)
     held = dealt.cogroup(shared.unionByName(copies).groupBy("home")).applyInArrow(_send_segments, "key long, least long, content binary, home int, places binary")
     removals = held.repartition("key").sortWithinPartitions("key", "least").mapInArrow(_find_removals, side)
