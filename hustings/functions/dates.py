@@ -121,9 +121,17 @@ def closing_months(dated: DataFrame, order: list[str], keys: list[str] = ENTITY_
     return marks.groupBy(*keys).agg(F.min_by(F.month("poll_date"), F.struct(*order)).alias("closing_month"))
 
 
-def with_poll_date_two_pass(df: DataFrame, order: list[str], keys: list[str] = ENTITY_CYCLE) -> DataFrame:
-    """DT20: parse, learn each cycle's closing month from its dated result rows, parse again with that hint."""
+def with_poll_date_two_pass(
+    df: DataFrame, order: list[str], keys: list[str] = ENTITY_CYCLE, known: DataFrame | None = None
+) -> DataFrame:
+    """DT20: parse, learn each cycle's closing month from its dated result rows, parse again with that hint.
+
+    ``known`` holds closing months (keys, closing_month) that are certain; they win over the learned ones.
+    """
     months = closing_months(with_poll_date(df), order, keys)
+    if known is not None:
+        sure = known.select(*keys, F.col("closing_month").alias("_known"))
+        months = months.join(sure, keys, "full").select(*keys, F.coalesce("_known", "closing_month").alias("closing_month"))
     return with_poll_date(df.join(months, keys, "left"), month_hint="closing_month").drop("closing_month")
 
 

@@ -1,25 +1,22 @@
 """Leave-one-cycle-out models and their scores (ML1-ML14).
 
 Ridge needs no refit per fold: per-cycle moments are aggregated once, a fold's training moments are total minus own,
-and the small systems are solved row by row inside tasks. Logistic fits are Spark ML jobs, a few at a time.
+and the small systems are solved row by row inside tasks. Logistic fits of all folds share their passes over the rows.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import ENTITY_CYCLE
 from ..session import cut_lineage
-from ..sizing import bounded_values
+from ..sizing import bounded_values, null_safe_join
 from .ordering import best_row, numbered_folds, running_total_before, top_two_margin
-from .quality import QualityError
 
 # Feature sets and regularisation strengths.
 FEATURE_SETS = {
@@ -35,8 +32,8 @@ FEATURE_SETS = {
 }
 RIDGE_ALPHA = 10.0
 LOGISTIC_C = 0.5
-MAX_FOLDS = 1000
-ROWS_PER_FIT_TASK = 100_000
+#: Folds whose sums a task holds at once; more are fitted block by block.
+FOLDS_PER_PASS = 512
 
 
 def _design(features: list[str], entity: str, categories: list[str], centre: dict[str, float]) -> list[Column]:
@@ -115,56 +112,97 @@ def ridge_predictions(
 
 def logistic_predictions(
     df: DataFrame, features: list[str], out: str = "logistic_win_probability", label: str = "is_winner",
-    keys: list[str] = ENTITY_CYCLE, entity: str = "country", c: float = LOGISTIC_C, parallelism: int = 8,
+    keys: list[str] = ENTITY_CYCLE, entity: str = "country", c: float = LOGISTIC_C,
 ) -> DataFrame:
-    """ML5: out-of-fold win probabilities; balanced class weights, penalty 1/C on standardised features."""
+    """ML5: out-of-fold win probabilities; balanced class weights, penalty 1/C on standardised features.
+
+    All folds are fitted together: a Newton step of every fold is one pass over the rows, in which each task adds up
+    gradients and Hessians. One row per fold comes to the driver. A fold whose training rows have one class has NULL.
+    """
     categories = bounded_values(df, entity)
     centre = _centre(df, features)
     x = _design(features, entity, categories, centre)
     q = len(features)
     rows = cut_lineage(df.select(*keys, F.col(label).cast("double").alias("y"), F.array(*x).alias("x")))
-    rows = rows.coalesce(max(1, -(-rows.count() // ROWS_PER_FIT_TASK)))
-    squares = [F.sum(F.col("x")[i] * F.col("x")[i]).alias(f"q{i}") for i in range(q)]
-    own = (
-        rows.groupBy(*keys)
-        .agg(F.count("*").alias("n"), F.sum("y").alias("pos"), *[F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(q)], *squares)
-        .limit(MAX_FOLDS + 1)
-        .collect()
-    )
-    if len(own) > MAX_FOLDS:
-        raise QualityError(f"more than {MAX_FOLDS} folds; group cycles before fitting")
-    names = ["n", "pos", *[f"s{i}" for i in range(q)], *[f"q{i}" for i in range(q)]]
-    table = np.array([[float(r[name]) for name in names] for r in own])
-    total = table.sum(axis=0)
-
-    def fit(i: int):
-        n, pos, *rest = total - table[i]
-        if pos <= 0 or pos >= n:
-            return None
-        mean = np.array(rest[:q]) / n
-        variance = np.array(rest[q:]) / n - mean**2
-        scale = np.where(variance > 1e-12, np.sqrt(np.maximum(variance, 0.0)), 1.0)
-        other = reduce(lambda a, b: a | b, [~F.col(k).eqNullSafe(F.lit(own[i][k])) for k in keys])
-        z = [(F.col("x")[j] - F.lit(float(mean[j]))) / F.lit(float(scale[j])) for j in range(q)]
-        z += [F.col("x")[j] for j in range(q, len(x))]
-        weight = F.when(F.col("y") == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos)))
-        train = rows.where(other).select("y", weight.alias("w"), *[e.alias(f"z{j}") for j, e in enumerate(z)])
-        train = VectorAssembler(inputCols=[f"z{j}" for j in range(len(z))], outputCol="features").transform(train)
-        model = LogisticRegression(
-            labelCol="y", weightCol="w", regParam=1.0 / (c * n), standardization=False, maxIter=2000, tol=1e-9
-        ).fit(train)
-        slope = np.array(model.coefficients.toArray())
-        slope[:q] = slope[:q] / scale
-        return [float(model.intercept - slope[:q] @ mean), *map(float, slope)]
-
-    with ThreadPool(parallelism) as pool:
-        fits = pool.map(fit, range(len(own)))
-    betas = [(*[r[k] for k in keys], b) for r, b in zip(own, fits)]
+    sums = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(q)] + [F.sum(F.col("x")[i] * F.col("x")[i]).alias(f"q{i}") for i in range(q)]
+    own = rows.groupBy(*keys).agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("pos"), *sums).collect()
+    table = np.array([[float(v or 0.0) for v in r[len(keys) :]] for r in own]).reshape(len(own), 2 + 2 * q)
+    rest = table.sum(axis=0) - table
+    n, pos = rest[:, 0], rest[:, 1]
+    mean = rest[:, 2 : 2 + q] / np.maximum(n, 1)[:, None]
+    variance = rest[:, 2 + q :] / np.maximum(n, 1)[:, None] - mean**2
+    scale = np.ones((len(own), len(x)))
+    scale[:, :q] = np.where(variance > 1e-12, np.sqrt(np.maximum(variance, 0.0)), 1.0)
+    two = (pos > 0) & (pos < n)
     types = dict(df.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", beta array<double>"
-    coefficients = F.broadcast(df.sparkSession.createDataFrame(betas, schema))  # at most MAX_FOLDS rows
+    schema = ", ".join(f"{k} {types[k]}" for k in keys)
+    spark = df.sparkSession
+    number = spark.createDataFrame([(*[r[k] for k in keys], i) for i, r in enumerate(own)], schema + ", fold int")
+    numbered = null_safe_join(rows, number, keys).select("fold", "y", "x")
+    beta = np.full((len(own), len(x) + 1), np.nan)
+    for start in range(0, len(own), FOLDS_PER_PASS):
+        block = np.arange(start, min(start + FOLDS_PER_PASS, len(own)))
+        block = block[two[block]]
+        if len(block):
+            weights = np.stack([n / (2 * np.maximum(n - pos, 1)), n / (2 * np.maximum(pos, 1))], axis=1)[block]
+            beta[block] = _newton(numbered, block, weights, scale[block] ** 2 / c)
+    betas = [(*[r[k] for k in keys], None if np.isnan(b).any() else list(map(float, b))) for r, b in zip(own, beta)]
+    coefficients = spark.createDataFrame(betas, schema + ", beta array<double>")
     score = _linear(F.col("beta"), x)
-    return df.join(coefficients, keys).withColumn(out, 1.0 / (1.0 + F.exp(-score))).drop("beta")
+    return null_safe_join(df, coefficients, keys).withColumn(out, 1.0 / (1.0 + F.exp(-score))).drop("beta")
+
+
+def _newton(rows: DataFrame, folds: np.ndarray, weights: np.ndarray, penalty: np.ndarray, most: int = 100) -> np.ndarray:
+    """Intercept and coefficients of each fold, fitted on the rows (fold, y, x) of all others.
+
+    ``weights``: of the two classes, by fold; ``penalty``: of each squared coefficient, halved, by fold. A step that makes
+    a fold worse is halved.
+    """
+    m = penalty.shape[1] + 1
+    ridge = np.concatenate([np.zeros((len(folds), 1)), penalty], axis=1)
+    sides = [(i, j) for i in range(m) for j in range(i, m)]
+    low, high = np.array(sides).T
+
+    def sums(beta: np.ndarray) -> np.ndarray:
+        def part(batches):
+            total = np.zeros((len(folds), 1 + m + len(sides)))
+            for pdf in batches:
+                if len(pdf):
+                    a = np.hstack([np.ones((len(pdf), 1)), np.stack(pdf["x"].to_numpy())])
+                    y, g = pdf["y"].to_numpy(float), pdf["fold"].to_numpy()
+                    z = a @ beta.T
+                    w = np.where(y[:, None] == 1, weights[:, 1], weights[:, 0]) * (g[:, None] != folds[None, :])
+                    p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+                    total[:, 0] += (w * (np.logaddexp(0, z) - y[:, None] * z)).sum(axis=0)
+                    total[:, 1 : 1 + m] += (w * (p - y[:, None])).T @ a
+                    total[:, 1 + m :] += (w * p * (1 - p)).T @ (a[:, low] * a[:, high])
+            yield pd.DataFrame({"at": np.arange(len(folds), dtype=np.int32), "s": list(total)})
+
+        def add(key, pdf):
+            return pd.DataFrame({"at": [key[0]], "s": [np.sum(np.stack(pdf["s"].to_numpy()), axis=0)]})
+
+        kind = "at int, s array<double>"
+        got = rows.mapInPandas(part, kind).groupBy("at").applyInPandas(add, kind).collect()
+        return np.array([r.s for r in sorted(got)])
+
+    held = np.zeros((len(folds), m))
+    step, best, state = np.zeros_like(held), np.full(len(folds), np.inf), None
+    for _ in range(most):
+        trial = held + step
+        s = sums(trial)
+        value = s[:, 0] + 0.5 * (ridge * trial**2).sum(axis=1)
+        worse = value > best + 1e-9 * np.abs(best)
+        state = s if state is None else np.where(worse[:, None], state, s)
+        held = np.where(worse[:, None], held, trial)
+        best = np.where(worse, best, value)
+        hessian = np.zeros((len(folds), m, m))
+        hessian[:, low, high] = hessian[:, high, low] = state[:, 1 + m :]
+        hessian += np.eye(m) * (ridge[:, None, :] + 1e-12)
+        newton = -np.linalg.solve(hessian, (state[:, 1 : 1 + m] + ridge * held)[:, :, None])[:, :, 0]
+        step = np.where(worse[:, None], step / 2, newton)
+        if np.abs(step).max() < 1e-10 * (1 + np.abs(held).max()):
+            break
+    return held
 
 
 def out_of_fold(df: DataFrame, features: list[str], keys: list[str] = ENTITY_CYCLE) -> DataFrame:

@@ -83,6 +83,29 @@ def _broadcast_search(points: DataFrame, dims: list[str], k: int, n: int) -> Dat
     return points.select("pid", *dims).mapInPandas(search, "pid bigint, _other bigint, distance double")
 
 
+def _nearest_in_cell(dims: list[str], k: int):
+    """Of each asking point, the k + 1 nearest targets of the cell with their ties; distances never leave the task."""
+
+    def search(asked: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
+        parts = [pd.DataFrame({"pid": np.zeros(0, np.int64), "_other": np.zeros(0, np.int64), "distance": np.zeros(0)})]
+        if len(asked) and len(targets):
+            q, o = asked[dims].to_numpy(float), targets[[f"o_{d}" for d in dims]].to_numpy(float)
+            pid, other = asked["pid"].to_numpy(), targets["_other"].to_numpy()
+            want = min(k + 1, len(o))
+            step = max(1, 2_000_000 // len(o))
+            for start in range(0, len(q), step):
+                block = q[start : start + step]
+                square = np.zeros((len(block), len(o)))
+                for i in range(len(dims)):
+                    square += (block[:, i, None] - o[None, :, i]) ** 2
+                dist = np.sqrt(square)
+                at, to = np.nonzero(dist <= np.partition(dist, want - 1, axis=1)[:, want - 1, None])
+                parts.append(pd.DataFrame({"pid": pid[start + at], "_other": other[to], "distance": dist[at, to]}))
+        return pd.concat(parts)
+
+    return search
+
+
 def _grid_search(points: DataFrame, dims: list[str], k: int, per_cell: int) -> DataFrame:
     """Neighbouring-cell search with cells that double until every point's answer is proven.
 
@@ -106,8 +129,9 @@ def _grid_search(points: DataFrame, dims: list[str], k: int, per_cell: int) -> D
         asked = open_points.select("*", F.explode(shifts).alias("_s")).select(
             "pid", *dims, *[(F.floor(F.col(d) / width) + F.col("_s")[i]).alias(f"c_{d}") for i, d in enumerate(dims)]
         )
-        square = sum(((F.col(d) - F.col(f"o_{d}")) ** 2 for d in dims[1:]), (F.col(dims[0]) - F.col(f"o_{dims[0]}")) ** 2)
-        met = asked.join(targets, [f"c_{d}" for d in dims]).select("pid", "_other", F.sqrt(square).alias("distance"))
+        where = [f"c_{d}" for d in dims]
+        kind = "pid bigint, _other bigint, distance double"
+        met = asked.groupBy(*where).cogroup(targets.groupBy(*where)).applyInPandas(_nearest_in_cell(dims, k), kind)
         ranked = met.withColumn("_r", F.rank().over(Window.partitionBy("pid").orderBy("distance"))).where(
             F.col("_r") <= k + 1
         )

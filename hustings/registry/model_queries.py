@@ -245,33 +245,48 @@ def wrong_winner(spark, sf):
 
 # ---- fitted models: no SQL equivalent, checked against numpy in the tests ---------------------------------------
 
-def _complete(spark, sf):
-    """Development rows whose recent window is not empty, as the feature sets need every figure."""
-    return FR.settled_dataset(spark, sf).where("dataset_split = 'development' AND recent_30d_observations > 0")
+def _development(spark, sf):
+    """All development rows. Without an observation in the recent window, its mean is the final average and the rest is 0."""
+    df = FR.settled_dataset(spark, sf).where("dataset_split = 'development'")
+    zero = ["recent_30d_std", "recent_30d_observations", "recent_30d_trend_per_day", "final_vs_recent_30d_mean"]
+    return df.withColumns({"recent_30d_mean": F.coalesce("recent_30d_mean", "final_rolling_avg"), **{c: F.coalesce(c, F.lit(0)) for c in zero}})
 
 
 @query("ML2 ML3 ML4")
 def loeo_ridge(spark, sf):
-    out = M.ridge_predictions(_complete(spark, sf), M.FEATURE_SETS["legacy_broad"])
+    out = M.ridge_predictions(_development(spark, sf), M.FEATURE_SETS["legacy_broad"])
     return rounded(out.select(*KEYS, "actual_pct", "ridge_vote_prediction"))
 
 
+ONE = """, d AS (SELECT country, election_year, party, final_rolling_avg AS x, actual_pct AS y FROM dataset WHERE dataset_split = 'development'),
+  own AS (SELECT country, election_year, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM d GROUP BY 1, 2),
+  other AS (SELECT country, election_year, sum(n) OVER () - n AS n, sum(sx) OVER () - sx AS sx, sum(sy) OVER () - sy AS sy,
+    sum(sxx) OVER () - sxx AS sxx, sum(sxy) OVER () - sxy AS sxy FROM own),
+  fit AS (SELECT *, sqrt(sxx / n - pow(sx / n, 2)) AS s FROM other),
+  slope AS (SELECT *, ((sxy - sx * sy / n) / s) / (n + 10) / s AS b FROM fit)
+  SELECT d.country, d.election_year, party, round(sy / n + b * (x - sx / n), 6) AS ridge_vote_prediction FROM d JOIN slope USING (country, election_year)"""
+
+
+@query("ML2 ML4", sql("dataset", ONE))
+def loeo_ridge_one_feature(spark, sf):
+    """The same operator on one feature and one entity, where the fit has a closed form."""
+    df = _development(spark, sf).withColumn("everywhere", F.lit("all"))
+    out = M.ridge_predictions(df, ["final_rolling_avg"], entity="everywhere")
+    return rounded(out.select(*KEYS, "ridge_vote_prediction"))
+
+
 @query("ML2 ML5")
 def loeo_logistic(spark, sf):
-    out = M.logistic_predictions(_complete(spark, sf), M.FEATURE_SETS["legacy_broad"])
+    out = M.logistic_predictions(_development(spark, sf), M.FEATURE_SETS["legacy_broad"])
     return rounded(out.select(*KEYS, "is_winner", "logistic_win_probability"), 4)
 
 
-@query("ML6 ML2 ML11")
+@query("ML6 ML2 ML7 ML8 ML9 ML10 ML11")
 def feature_ablation(spark, sf):
-    base = _complete(spark, sf)
-    parts = [
-        M.regression_metrics(M.ridge_predictions(base, features), "actual_pct", "ridge_vote_prediction").select(
-            F.lit(name).alias("feature_set"), "MAE", "RMSE"
-        )
-        for name, features in M.FEATURE_SETS.items()
-    ]
-    return rounded(RS.union_all(*parts))
+    """Every score of benchmark, ridge and logistic for each feature set, over out-of-fold predictions of all rows."""
+    base = _development(spark, sf)
+    parts = [M.evaluation_metrics(settled(M.out_of_fold(base, features)), {"feature_set": name}) for name, features in M.FEATURE_SETS.items()]
+    return rounded(RS.union_all(*parts), 5)
 
 
 # ---- similar cycles --------------------------------------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars as SC
 from ..operators import aggregates as AG
 from ..operators import ordering as WN
 from ..operators import reshape as RS
@@ -122,9 +123,10 @@ def volume_summary(spark, sf):
     return AG.volume_summary(FR.dataset(spark, sf), ["country"])
 
 
-@query("AG23", sql("calls", "SELECT country, count(*) AS elections, CAST(sum(winner_correct) AS BIGINT) AS correct_winners, CAST(count(*) - sum(winner_correct) AS BIGINT) AS wrong_winners, round(avg(winner_correct), 6) AS winner_accuracy FROM calls GROUP BY 1"))
+@query("AG23", sql("calls", "SELECT country, count(*) AS elections, CAST(sum(winner_correct) AS BIGINT) AS correct_winners, CAST(count(*) - sum(winner_correct) AS BIGINT) AS wrong_winners, round(avg(winner_correct), 6) AS winner_accuracy, CAST(sum(winner_correct) AS BIGINT) || '/' || count(*) || ' correct' AS record FROM calls GROUP BY 1"))
 def winner_record(spark, sf):
-    return rounded(AG.winner_record(FR.performance(spark, FR.settled_dataset(spark, sf)), ["country"]))
+    record = AG.winner_record(FR.performance(spark, FR.settled_dataset(spark, sf)), ["country"])
+    return rounded(record.withColumn("record", SC.winner_record_text(F.col("correct_winners"), F.col("elections"))))
 
 
 @query("WN6", sql("calls", "SELECT country, election_year, round(election_mae, 6) AS election_mae FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY election_mae DESC, election_year) AS rn FROM calls) WHERE rn = 1"))
@@ -208,7 +210,9 @@ def decision_record(spark, sf):
     from .model_queries import _metrics
 
     record = sinks.decision_record(_metrics(spark, sf), "final_polling_average", "final_rolling_avg", "lowest error", "rejected", "once")
-    return rounded(record.drop("record"))
+    # The JSON record is read back field by field; numbers in its text carry all digits.
+    fields = "selected_model string, prediction_column string, selection_basis string, development_mae double, development_rmse double, development_winner_accuracy double, challenger_decision string, holdout_usage string"
+    return rounded(record.select(F.from_json("record", fields).alias("r")).select("r.*"))
 
 
 @query("IO9", sql("calls", "SELECT country, election_year, winner_correct FROM calls WHERE dataset_split = 'holdout'"))

@@ -27,13 +27,17 @@ def require_columns(df: DataFrame, columns: list[str], name: str = "input") -> D
     return df
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = None, required: list[str] | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str | list[str], schema: str | None = None, required: list[str] | None = None,
+    multi_line: bool = False,
+) -> DataFrame:
     """IO2 / IO4 / IO12: headed CSV with a declared schema; columns are matched by name.
 
     Files are read as text by their own header, then cast: strict for declared types, so bad numbers fail the job.
     A missing path fails when the plan is analysed. A byte-order mark before the first header is dropped.
+    ``multi_line`` lets a quoted cell span lines, which ties a file to one task.
     """
-    raw = spark.read.csv(path, header=True, multiLine=True, inferSchema=False)
+    raw = spark.read.csv(path, header=True, multiLine=multi_line, inferSchema=False)
     raw = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
     if schema is None:
         return require_columns(raw, required or [])
@@ -60,28 +64,31 @@ def read_many(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
 
 
 def read_raw_rows(
-    spark: SparkSession, path: str | list[str], max_columns: int = 64, name_pattern: str = RAW_NAME, multi_line: bool = True,
+    spark: SparkSession, path: str | list[str], max_columns: int = 64, name_pattern: str = RAW_NAME, multi_line: bool = False,
     by_folder: bool = False,
 ) -> DataFrame:
     """IO1: every line of many wide files with differing headers; entity and cycle come from the file name.
 
-    All files share one all-text schema; ragged lines are padded with NULL and cut to the file's own width. A quoted
-    cell may span lines, which ties a file to one task; ``multi_line=False`` lets large files be split.
+    All files share one all-text schema; ragged lines are padded with NULL and cut to the file's own width. A file of
+    more than ``max_columns`` columns is an error, also when the columns beyond are blank. ``multi_line`` lets a quoted
+    cell span lines, which ties a file to one task.
     ``by_folder`` takes the table's name from a ``source_table=`` folder instead.
     """
-    schema = ", ".join(f"c{i} string" for i in range(max_columns + 1)) + (", source_table string" if by_folder else "")
+    schema = ", ".join(f"c{i} string" for i in range(max_columns + 1)) + ", _line string" + (", source_table string" if by_folder else "")
     read = (
         spark.read.schema(schema)
-        .csv(path, header=False, multiLine=multi_line, quote='"', escape='"', ignoreLeadingWhiteSpace=False)
+        .csv(path, header=False, multiLine=multi_line, quote='"', escape='"', ignoreLeadingWhiteSpace=False, columnNameOfCorruptRecord="_line")
         .withColumns({"_file": F.col("_metadata.file_name"), "_id": F.monotonically_increasing_id()})
         .where(F.col("_file").rlike(name_pattern))
     )
     if not by_folder:
         read = read.withColumn("source_table", F.col("_file"))
     places = F.array(*[F.when(F.col(f"c{i}").isNotNull(), F.lit(i + 1)) for i in range(max_columns + 1)])
+    # A line with another number of cells than the schema comes whole as well.
+    cells = F.size(F.split(F.regexp_replace("_line", '"[^"]*"', ""), ","))
     lines = read.select(
         "source_table", "_id", F.array(*[f"c{i}" for i in range(max_columns + 1)]).alias("cells"),
-        F.coalesce(F.array_max(places), F.lit(0)).alias("_width"),
+        F.greatest(F.coalesce(F.array_max(places), F.lit(0)), F.when(cells > max_columns, cells)).alias("_width"),
     )
     files = lines.groupBy("source_table").agg(F.min("_id").alias("_first"), F.max("_width").alias("_cols"))
     too_wide = F.raise_error(F.concat(F.lit("more columns than max_columns in "), F.col("source_table")))

@@ -36,6 +36,10 @@ def test_two_passes_learn_the_closing_month(spark):
     got = {r["at"]: r.poll_date for r in D.with_poll_date_two_pass(df, ["at"]).collect()}
     assert got == {1: dt.date(2019, 5, 18), 2: dt.date(2018, 12, 20), 3: dt.date(2019, 4, 3), 4: dt.date(2019, 12, 20)}
 
+    known = spark.createDataFrame([("b", 2019, 2), ("c", 2019, 1)], "country string, election_year int, closing_month int")
+    got = {r["at"]: r.poll_date for r in D.with_poll_date_two_pass(df, ["at"], known=known).collect()}
+    assert got[4] == dt.date(2018, 12, 20) and got[2] == dt.date(2018, 12, 20)
+
 
 def test_rate_and_failures(spark):
     df = D.with_poll_date(spark.createDataFrame([("x", 2000, "1 May"), ("x", 2000, "??"), ("x", 2000, "??")], "country string, election_year int, date_raw string"))

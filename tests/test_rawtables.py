@@ -25,7 +25,7 @@ def raw(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("raw")
     for name, text in FILES.items():
         (folder / name).write_text(text, encoding="utf-8")
-    return read_raw_rows(spark, str(folder), 20)
+    return read_raw_rows(spark, str(folder), 20, multi_line=True)
 
 
 def test_lines_keep_order_width_and_quotes(raw):

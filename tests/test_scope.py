@@ -46,3 +46,28 @@ def test_audit_and_fail_closed_filter(spark):
     assert {r.source_table for r in approved.collect()} == {"t1", "t2"}
     assert rows(dropped, "source_table", "effective_scope_status") == [("t3", "review"), ("t9", "unclassified")]
     assert approved.columns == polls.columns
+
+
+def test_duplicate_keys_of_a_lookup_fail(spark):
+    from hustings.operators.joins import many_to_one, one_to_one
+
+    left = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, v int")
+    right = spark.createDataFrame([("a", 10), ("c", 11), (None, 12), (None, 13)], "k string, w int")
+    assert sorted((r.v, r.w) for r in many_to_one(left, right, ["k"]).collect() if r.k) == [(1, 10)]
+    twice = right.unionByName(right)
+    for join in (lambda: many_to_one(left, twice, ["k"]), lambda: one_to_one(left, twice, ["k"])):
+        with pytest.raises(Exception, match="duplicate keys"):
+            join().collect()
+    assert many_to_one(left, twice, ["k"], check=False).count() == 2
+
+
+def test_a_lot_decided_twice_fails(spark):
+    from hustings.operators import scope as S
+
+    keys = ", ".join(f"{k} {'int' if k == 'election_year' else 'string'}" for k in S.LOT_KEYS)
+    lot = tuple(1997 if k == "election_year" else "x" for k in S.LOT_KEYS)
+    polls = spark.createDataFrame([lot], keys)
+    audit = spark.createDataFrame([(*lot, "auto_review", "r")], keys + ", scope_status string, scope_reason string")
+    override = spark.createDataFrame([(*lot, "approved", "r", "e")] * 2, keys + ", override_status string, reason string, evidence string")
+    with pytest.raises(Exception, match="duplicate keys in overrides"):
+        S.effective_scope(polls, audit, override).collect()

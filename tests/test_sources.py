@@ -74,3 +74,22 @@ def test_names_and_averages(spark):
     raw = spark.createDataFrame([(2016, "National", "11/1/2016", "Trump", 44.0), (2016, "Ohio", "11/1/2016", "Trump", 50.0)], "cycle int, state string, modeldate string, candidate_name string, pct_estimate double")
     out = candidate_averages(raw, "us", "f.csv").collect()
     assert len(out) == 1 and out[0].party == "REP" and out[0].pollster is None
+
+
+def test_wide_raw_file_is_an_error(spark, tmp_path):
+    good, bad = tmp_path / "good", tmp_path / "bad"
+    good.mkdir(), bad.mkdir()
+    (good / "uk_1997_table1.csv").write_text('a,"b,c,d,e",f\n1,2\n')
+    (bad / "uk_1997_table1.csv").write_text("a,b,c,d,e\n1,2,3,,5\n")
+    assert sorted((r.cells for r in files.read_raw_rows(spark, str(good), 3).collect()), reverse=True) == [["a", "b,c,d,e", "f"], ["1", "2", None]]
+    with pytest.raises(Exception, match="more columns than max_columns"):
+        files.read_raw_rows(spark, str(bad), 3).collect()
+
+
+def test_whole_numbers_are_read_strictly(spark, tmp_path):
+    path = tmp_path / "n.csv"
+    path.write_text("a,b\n2010.0,9007199254740993\n")
+    assert files.read_csv(spark, str(path), "a int, b bigint").first() == (2010, 9007199254740993)
+    path.write_text("a,b\n2010.7,1\n")
+    with pytest.raises(Exception):
+        files.read_csv(spark, str(path), "a int, b bigint").collect()
