@@ -118,7 +118,7 @@ def equal_classes(symbols: np.ndarray, order: np.ndarray, length: int = LENGTH)
     boundary = np.zeros(n + 1, bool)
     boundary[0] = boundary[n] = True
     lo, hi = np.array([0]), np.array([n])
-    for step in range(length):
+    for _ in range(length):
         single = hi - lo == 1
         new_lo = [back[lo[single]]]
         new_hi = [new_lo[0] + 1]
@@ -131,11 +131,8 @@ def equal_classes(symbols: np.ndarray, order: np.ndarray, length: int = LENGTH)
             new_lo.append(np.minimum.reduceat(back[at][by], cut))
             new_hi.append(np.maximum.reduceat(back[at][by], cut) + 1)
         lo, hi = np.concatenate(new_lo), np.concatenate(new_hi)
-        fresh = ~boundary[hi] | (hi == n) & (step == 0)
+        fresh = ~boundary[hi]  # intervals of one step are disjoint, so no end occurs twice
         lo, hi = lo[fresh], hi[fresh]
-        # Two intervals may end at one place; the first counts.
-        hi, first = np.unique(hi, return_index=True)
-        lo = lo[first]
         boundary[hi] = True
         if not len(lo):
             break
@@ -321,9 +318,16 @@ def _find_removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         many = [(k, c, v) for k, g in groups.items() if len(g) > 1 for c, v in g.items()]
         runs = {}
         if many:
-            for (k, c, _), lim in zip(many, least_ids([c for _, c, _ in many], np.array([v for _, _, v in many], np.int64))):
-                cut = np.flatnonzero(np.concatenate([[True], lim[1:] != lim[:-1]]))
-                runs[k, c] = lim[cut], cut, np.diff(np.append(cut, len(lim)))
+            limits = least_ids([c for _, c, _ in many], np.array([v for _, _, v in many], np.int64))
+            sizes = np.array([len(lim) for lim in limits])
+            flat, at = np.concatenate(limits), np.cumsum(sizes) - sizes
+            lowest, highest = np.minimum.reduceat(flat, at).tolist(), np.maximum.reduceat(flat, at).tolist()
+            for (k, c, _), lim, x, y in zip(many, limits, lowest, highest):
+                if x == y:
+                    groups[k][c] = x  # one limit throughout
+                else:
+                    cut = np.flatnonzero(np.concatenate([[True], lim[1:] != lim[:-1]]))
+                    runs[k, c] = lim[cut], cut, np.diff(np.append(cut, len(lim)))
         places = np.frombuffer(b"".join(r[4] for r in rows), PLACE)
         count = np.array([len(r[4]) for r in rows]) // PLACE.itemsize
         row = np.repeat(np.arange(len(rows)), count)
@@ -333,8 +337,6 @@ def _find_removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             run = runs.get((key, content))
             if run is None:
                 limit[i] = groups[key][content]
-            elif len(run[0]) == 1:
-                limit[i] = run[0][0]
             else:
                 several.append(i)
         size = np.array([len(r[2]) for r in rows])
