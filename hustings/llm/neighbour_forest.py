@@ -21,8 +21,10 @@ from pyspark.sql.window import Window
 SAMPLE = 16_384
 #: Trees of the forest.
 TREES = 6
-#: Rows that a leaf should hold; leaves of the sample keep at least an eighth of it.
-LEAF_ROWS = 256
+#: Leaves of a tree, so that a query takes as many leaves at every size of the table; a leaf is made for ``LEAF_ROWS`` rows
+#: of the sample at least.
+LEAVES = 64
+LEAF_ROWS = 16
 #: Share of all rows that a query looks at, counted over the leaves it takes (a row may come from several trees).
 SHARE = 1.2
 #: Rows of one leaf that meet the queries in one task; larger leaves are cut by a hash of the id.
@@ -69,13 +71,11 @@ class Forest:
         return found
 
 
-def fit_forest(sample: np.ndarray, rows: int, trees: int = TREES, leaf_rows: int = LEAF_ROWS, seed: int = 7) -> Forest:
+def fit_forest(sample: np.ndarray, trees: int = TREES, leaves: int = LEAVES, seed: int = 7) -> Forest:
     """Split at the median along the line through two random points of a node."""
     rng = np.random.default_rng(seed)
     sample = np.unique(sample, axis=0)
-    want = int(np.ceil(np.log2(max(rows / leaf_rows, 1))))
-    most = int(np.floor(np.log2(max(len(sample) / max(leaf_rows // 8, 1), 1))))
-    depth = max(min(want, most), 0)
+    depth = int(np.log2(max(min(leaves, len(sample) / LEAF_ROWS), 1)))
     inner = (1 << depth) - 1
     normals = np.zeros((trees, max(inner, 1), sample.shape[1]), np.float32)
     offsets = np.zeros((trees, max(inner, 1)), np.float32)
@@ -108,7 +108,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
 
 def nearest(
     table: DataFrame, k: int = 10, every: int = 100, trees: int = TREES, share: float = SHARE, sample: int = SAMPLE,
-    leaf_rows: int = LEAF_ROWS, id_col: str = "vec_id", vector_col: str = "embedding",
+    leaves: int = LEAVES, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found for each row whose id is divisible by ``every``.
 
@@ -128,7 +128,7 @@ def nearest(
     first = picked.filter(pa.array(sizes == width)) if picked.num_rows else picked
     rows = rows.where(F.size("v") == width)
     n = rows.count()
-    forest = fit_forest(_matrix(first.column("v"), max(width, 1)), n, trees, leaf_rows)
+    forest = fit_forest(_matrix(first.column("v"), max(width, 1)), trees, leaves)
     parts = max(1, -(-n // (forest.leaves * PART_ROWS)))
     expected = n / forest.leaves
 
@@ -178,9 +178,9 @@ def nearest(
         cols = [np.concatenate(x) if x else np.zeros(0) for x in out]
         return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(np.float64))})
 
-    leaves = index.mapInArrow(to_leaves, "tree int, leaf int, part int, vec_id long, v binary")
+    filled = index.mapInArrow(to_leaves, "tree int, leaf int, part int, vec_id long, v binary")
     visits = queries.mapInArrow(to_visits, "tree int, leaf int, part int, query_id long, q binary")
-    met = leaves.groupBy("tree", "leaf", "part").cogroup(visits.groupBy("tree", "leaf", "part")).applyInArrow(meet, "query_id long, vec_id long, score double")
+    met = filled.groupBy("tree", "leaf", "part").cogroup(visits.groupBy("tree", "leaf", "part")).applyInArrow(meet, "query_id long, vec_id long, score double")
     once = met.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -41,7 +41,7 @@ def test_structured_vectors_need_a_small_share(spark):
     centres = rng.normal(size=(60, 16)) * 4
     rows = [(i, (centres[i % 60] + rng.normal(size=16)).astype(np.float32).tolist()) for i in range(6000)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    want, got = brute(rows), found(N.nearest(table, share=0.1, leaf_rows=64))
+    want, got = brute(rows), found(N.nearest(table, share=0.1, leaves=128))
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want]) > 0.9
 
 
