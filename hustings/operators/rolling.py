@@ -1,6 +1,6 @@
 """Observation-ordered rolling mean and finite differences (WN1-WN3).
 
-A series can be far larger than one task should sort, so series can be cut into contiguous chunks of about
+A series can be far larger than one task should sort, so series are cut into contiguous chunks of about
 ``rows_per_task`` rows; each chunk borrows the few rows before it, and every row sees exactly the rows it would see in
 the undivided series. NULL keys, dates and ties are values like others (NULL sorts first).
 """
@@ -15,6 +15,8 @@ from ..schemas import SERIES_KEYS
 from ..sizing import null_safe_join
 
 CHUNK = ["_block", "_part"]
+#: Rows of a chunk, about as many as one task sorts well.
+ROWS_PER_TASK = 4_000_000
 
 
 def rolling_features(
@@ -23,13 +25,13 @@ def rolling_features(
     keys: list[str] = SERIES_KEYS,
     value: str = "pct",
     window: int = 5,
-    rows_per_task: int | None = None,
+    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add ``rolling_avg`` (last ``window`` observations, partial at the start) and both differences of ``value``.
 
     ``order`` must be a total order: the date first, then tie-breaking columns (the first of them numeric, so that a
-    single crowded date can be split as well). Without ``rows_per_task`` a series is one window, which Spark sorts with
-    spilling; with it series are cut, whatever their size.
+    single crowded date can be split as well). With ``rows_per_task=None``, for callers who know their series to be
+    short, a series is one window.
     """
     if rows_per_task is None:
         return _rolling(df, keys, order, value, window)
