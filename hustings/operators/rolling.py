@@ -61,28 +61,34 @@ def with_chunks(df: DataFrame, keys: list[str], order: list[str], rows_per_task:
     """Label rows with chunk columns that never decrease along ``order`` within a series.
 
     Days are counted (map-side combined) and packed into blocks; a day larger than a block is divided by equal
-    ranges of the first tie-breaking column. All figures are exact, so recomputation gives the same chunks.
+    ranges of the time within the day, where ``order`` starts with a timestamp, or of the first tie-breaking column. All
+    figures are exact, so recomputation gives the same chunks.
     """
     date, *ties = order
-    split_by = ties[0] if ties and isinstance(df.schema[ties[0]].dataType, T.NumericType) else None
-    ends = [F.min(split_by).cast("double").alias("_lo"), F.max(split_by).cast("double").alias("_hi")] if split_by else []
-    days = df.groupBy(*keys, date).agg(F.count("*").alias("_n"), *ends)
-    earlier = Window.partitionBy(*keys).orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
+    timed = isinstance(df.schema[date].dataType, (T.TimestampType, T.TimestampNTZType))
+    if timed:
+        split_by = F.unix_micros(F.col(date).cast("timestamp")).cast("double")
+    else:
+        split_by = F.col(ties[0]).cast("double") if ties and isinstance(df.schema[ties[0]].dataType, T.NumericType) else None
+    df = df.withColumn("_day", F.to_date(date) if timed else F.col(date))
+    ends = [F.min(split_by).alias("_lo"), F.max(split_by).alias("_hi")] if split_by is not None else []
+    days = df.groupBy(*keys, "_day").agg(F.count("*").alias("_n"), *ends)
+    earlier = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     days = days.withColumns(
         {
             "_block": F.floor(F.coalesce(F.sum("_n").over(earlier), F.lit(0)) / rows_per_task),
             "_parts": F.ceil(F.col("_n") / rows_per_task),
         }
     ).drop("_n")
-    out = null_safe_join(df, days, [*keys, date])
-    if split_by:
-        share = (F.col(split_by).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    out = null_safe_join(df, days, [*keys, "_day"])
+    if split_by is not None:
+        share = (split_by - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
         divided = F.least(F.col("_parts") - 1, F.floor(share * F.col("_parts")))
-        cut = F.when(F.col(split_by).isNull(), F.lit(0)).otherwise(divided)
+        cut = F.when(split_by.isNull(), F.lit(0)).otherwise(divided)
         part = F.when((F.col("_parts") > 1) & (F.col("_hi") > F.col("_lo")), cut)
     else:
         part = F.lit(None).cast("bigint")
-    return out.withColumn("_part", F.coalesce(part, F.lit(0))).drop("_parts", "_lo", "_hi")
+    return out.withColumn("_part", F.coalesce(part, F.lit(0))).drop("_parts", "_lo", "_hi", "_day")
 
 
 def _rows_before_chunk(chunked: DataFrame, keys: list[str], order: list[str], value: str, n: int) -> DataFrame:

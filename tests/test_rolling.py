@@ -63,3 +63,15 @@ def test_null_keys_dates_and_ties_are_kept_by_both_plans(spark):
     plans = [rolling_features(df, ["poll_date", "id", "pct"], KEYS, rows_per_task=n) for n in (None, 5, 1)]
     got = [sorted(map(str, p.select(*KEYS, "poll_date", "id", "pct", "rolling_avg", "momentum_2nd_diff").collect())) for p in plans]
     assert len(got[0]) == 200 and got[0] == got[1] == got[2]
+
+
+def test_timestamps_are_cut_by_day_and_time_of_day(spark):
+    df = spark.range(500).selectExpr(
+        "'x' AS country", "1 AS election_year", "CASE WHEN id % 4 = 0 THEN NULL ELSE 'p' END AS party", "cast(id as int) AS id",
+        "CASE WHEN id % 50 = 7 THEN NULL ELSE timestamp_seconds(1000000000 + id * id * 3 % 400000) END AS at", "cast(id * 37 % 101 as double) AS pct",
+    )
+    plans = [rolling_features(df, ["at", "id"], KEYS, rows_per_task=n) for n in (None, 20, 3)]
+    got = [sorted(map(str, p.select(*KEYS, "at", "id", "rolling_avg", "momentum_2nd_diff").collect())) for p in plans]
+    assert len(got[0]) == 500 and got[0] == got[1] == got[2]
+    sizes = with_chunks(df, KEYS, ["at", "id"], 20).groupBy(*KEYS, "_block", "_part").count()
+    assert sizes.agg(F.max("count")).first()[0] < 60 and with_chunks(df, KEYS, ["at", "id"], 20).select("_block").distinct().count() > 5
