@@ -132,3 +132,22 @@ def running_before(df: DataFrame, group: list[str], bucket: str, order: list[Col
         .withColumn(name, F.col(base) + F.coalesce(F.sum(value).over(inside), F.lit(0)))
         .drop(base, *[f"__{k}" for k in keys])
     )
+
+
+def bounded_sample(rows: DataFrame, group: str, most: int, most_groups: int = 1000, id_col: str = "doc_id") -> tuple[DataFrame, dict]:
+    """At most ``most`` rows of each group, those with the least hashes of their ids, and the size of each group before.
+
+    The share to keep follows from the size, so what is sorted for the exact cut is little more than what is kept. Rows
+    without a group or an id are left out; more than ``most_groups`` groups are an error.
+    """
+    named = rows.where(F.col(group).isNotNull() & F.col(id_col).isNotNull())
+    sizes = dict(named.groupBy(group).count().limit(most_groups + 1).collect())
+    if len(sizes) > most_groups:
+        raise ValueError(f"more than {most_groups} values of {group}")
+    place = F.xxhash64(id_col)
+    share = F.lit(0.0)
+    for value, n in sorted(sizes.items()):
+        share = F.when(F.col(group) == value, F.lit(min(1.0, 1.2 * most / n))).otherwise(share)
+    near = named.where(F.pmod(place, F.lit(1 << 30)) < share * (1 << 30))
+    first = Window.partitionBy(group).orderBy(F.pmod(place, F.lit(1 << 30)), id_col)
+    return near.withColumn("__nth", F.row_number().over(first)).where(F.col("__nth") <= most).drop("__nth"), sizes

@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .common import bounded_sample
 
 #: Labelled documents of each language that the model learns from, at most.
 SAMPLE_PER_LANGUAGE = 1500
@@ -159,12 +160,8 @@ def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageM
     The sample is taken in the order of a hash of the ids. Spark sums trigram counts; the driver gets the counted cells
     (``CELLS`` for each language at most) and no text.
     """
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    ids = ids.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_language).select("doc_id", "lang").distinct()
-    names = sorted(r[0] for r in ids.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    ids, sizes = bounded_sample(docs.select("doc_id", "lang"), "lang", per_language, MOST_LANGUAGES)
+    names = sorted(sizes)
     if not names:
         return LanguageModel([], np.zeros((CELLS, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool))
     number = {name: i for i, name in enumerate(names)}

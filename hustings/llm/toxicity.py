@@ -16,7 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .common import bounded_sample
 
 #: Labelled documents of each grade that the model is fitted on, at most.
 SAMPLE_PER_GRADE = 4000
@@ -97,12 +98,6 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int =
     return par[:k], par[k:]
 
 
-def _sample(labels: DataFrame, grade: str, per_grade: int) -> DataFrame:
-    graded = labels.where(F.col(grade).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(grade).cast("int").alias("grade"))
-    first = Window.partitionBy("grade").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return graded.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_grade).select("doc_id", "grade")
-
-
 def _counted(texts: pa.Array, wanted: dict[str, int], begins: set[str]) -> Iterator[dict[int, int]]:
     """Counts of the wanted features in each text."""
     short = STEMS[0]
@@ -124,8 +119,10 @@ def fit_severity(docs: DataFrame, labels: DataFrame, grade: str = "toxic", per_g
     by Spark; the ``features`` features that differ most in mean grade are kept, and only their sparse rows of the
     bounded sample come to the driver. Without labels, or with one grade, the model gives that grade (or 0) to all.
     """
+    graded = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(grade).cast("int").alias("grade"))
+    chosen, _ = bounded_sample(graded, "grade", per_grade)
     # A broadcast of the sample: per_grade ids per grade at most.
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(_sample(labels, grade, per_grade)), "doc_id")
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total = Counter(), Counter()
