@@ -48,11 +48,15 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -500, 500)))
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Thresholds and weights by penalised Fisher scoring with step halving; ``y`` holds 0 .. K-1, each present."""
+def fit_ordinal(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 60, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Thresholds and weights by penalised Fisher scoring with step halving; ``y`` holds 0 .. K-1, each present.
+
+    A row counts as ``times`` rows (once by default).
+    """
     n, m = x.shape
     k = int(y.max())
-    share = np.array([(y > j).mean() for j in range(k)]).clip(1e-6, 1 - 1e-6)
+    times = np.ones(n) if times is None else times
+    share = np.array([np.average(y > j, weights=times) for j in range(k)]).clip(1e-12, 1 - 1e-12)
     par = np.concatenate([-np.log(share / (1 - share)), np.zeros(m)])
     x = x.astype(np.float64)
 
@@ -61,26 +65,26 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int =
         z = (x @ w)[:, None] - theta[None, :]
         up = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(-np.clip(z, -500, 500))), np.zeros((n, 1))], axis=1)
         p = np.maximum(up[np.arange(n), y] - up[np.arange(n), y + 1], 1e-12)
-        return up, p, np.log(p).sum() - 0.5 * ridge * (w @ w)
+        return up, p, (times * np.log(p)).sum() - 0.5 * ridge * (w @ w)
 
     up, p, value = terms(par)
     for _ in range(rounds):
         slope = up * (1 - up)  # of P(grade > j) by its argument; 0 at both ends
         d_low, d_high = slope[np.arange(n), y], slope[np.arange(n), y + 1]
-        score_z = (d_low - d_high) / p  # derivative of log p by the score
-        grad_theta = np.array([-(d_low * (y == j + 1) / p).sum() + (d_high * (y == j) / p).sum() for j in range(k)])
+        score_z = times * (d_low - d_high) / p  # derivative of times * log p by the score
+        grad_theta = np.array([-(times * d_low * (y == j + 1) / p).sum() + (times * d_high * (y == j) / p).sum() for j in range(k)])
         grad = np.concatenate([grad_theta, x.T @ score_z - ridge * par[k:]])
         probs = np.maximum(up[:, :-1] - up[:, 1:], 1e-12)
-        info_z = ((slope[:, :-1] - slope[:, 1:]) ** 2 / probs).sum(axis=1)
+        info_z = times * ((slope[:, :-1] - slope[:, 1:]) ** 2 / probs).sum(axis=1)
         info = np.zeros((k + m, k + m))
         info[k:, k:] = (x * info_z[:, None]).T @ x + ridge * np.eye(m)
         for j in range(k):
             above, below = (slope[:, j + 1] - slope[:, j + 2]) / probs[:, j + 1], (slope[:, j] - slope[:, j + 1]) / probs[:, j]
-            cross = -slope[:, j + 1] * (above - below)
+            cross = -times * slope[:, j + 1] * (above - below)
             info[j, k:] = info[k:, j] = x.T @ cross
-            info[j, j] = (slope[:, j + 1] ** 2 * (1 / probs[:, j] + 1 / probs[:, j + 1])).sum()
+            info[j, j] = (times * slope[:, j + 1] ** 2 * (1 / probs[:, j] + 1 / probs[:, j + 1])).sum()
             if j + 1 < k:
-                info[j, j + 1] = info[j + 1, j] = -(slope[:, j + 1] * slope[:, j + 2] / probs[:, j + 1]).sum()
+                info[j, j + 1] = info[j + 1, j] = -(times * slope[:, j + 1] * slope[:, j + 2] / probs[:, j + 1]).sum()
         step = np.linalg.solve(info + 1e-8 * np.eye(k + m), grad)
         size = 1.0
         while size > 1e-6:
@@ -115,41 +119,48 @@ def _counted(texts: pa.Array, wanted: dict[str, int], begins: set[str]) -> Itera
 def fit_severity(docs: DataFrame, labels: DataFrame, grade: str = "toxic", per_grade: int = SAMPLE_PER_GRADE, features: int = FEATURES) -> OrdinalModel:
     """Fit on at most ``per_grade`` labelled documents of each grade, taken in the order of a hash of their ids.
 
-    Any integer grades serve, in their order (two grades make one threshold). Word statistics of the sample are summed
+    Where a grade has more labels than that, its sampled rows count for all of them, so the fit sees the grades in the
+    shares of the labels at every size of the table. Any integer grades serve, in their order (two grades make one
+    threshold). Word statistics of the sample are summed
     by Spark; the ``features`` features that differ most in mean grade are kept, and only their sparse rows of the
     bounded sample come to the driver. Without labels, or with one grade, the model gives that grade (or 0) to all.
     """
     graded = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(grade).cast("int").alias("grade"))
-    chosen, _ = bounded_sample(graded, "grade", per_grade)
+    chosen, sizes = bounded_sample(graded, "grade", per_grade)
+    times = {g: sizes[g] / n for g, n in chosen.groupBy("grade").count().collect()}
     # A broadcast of the sample: per_grade ids per grade at most.
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = Counter(), Counter()
         for batch in batches:
+            n: dict[int, Counter] = {}
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = {f for w in set(_WORD.findall((text or "").lower())) for f in word_features(w)}
-                n.update(found)
-                n[""] += 1
-                if y:
-                    total.update(dict.fromkeys([*found, ""], y))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([total[f] for f in n], pa.int64())],
-                names=["feature", "n", "total"],
-            )
-            n, total = Counter(), Counter()
-
-    stats = sample.select("text", "grade").mapInArrow(presence, "feature string, n long, total long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+                n.setdefault(y, Counter()).update({f for w in set(_WORD.findall((text or "").lower())) for f in word_features(w)})
+            for y, found in n.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(found), pa.string()), pa.array([y] * len(found), pa.int32()), pa.array(list(found.values()), pa.int64())],
+                    names=["feature", "grade", "n"],
+                )
+
+    seen = sample.select("text", "grade").mapInArrow(presence, "feature string, grade int, n long").groupBy("feature", "grade").agg(F.sum("n").alias("n"))
     tally = dict(sample.select("doc_id", "grade").groupBy("grade").count().collect())
     grades = sorted(tally)
     if len(grades) < 2:
         return OrdinalModel(grades or [0], np.zeros(0))
-    size = sum(tally.values())
-    mean = sum(g * c for g, c in tally.items()) / size
-    spread = sum((g - mean) ** 2 * c for g, c in tally.items()) / size
+    size = sum(times[g] * c for g, c in tally.items())
+    mean = sum(g * times[g] * c for g, c in sorted(tally.items())) / size
+    spread = sum((g - mean) ** 2 * times[g] * c for g, c in sorted(tally.items())) / size
+    # Added up in the order of the grades: the same sums in every run.
+    weight = F.create_map(*[F.lit(v) for g in grades for v in (g, float(times[g]))])
+    each = seen.groupBy("feature").agg(F.sum("n").alias("rows"), F.sort_array(F.collect_list(F.struct("grade", (F.col("n") * weight[F.col("grade")]).alias("n")))).alias("each"))
+    stats = each.select(
+        "feature", "rows",
+        F.aggregate("each", F.lit(0.0), lambda a, e: a + e["n"]).alias("n"),
+        F.aggregate("each", F.lit(0.0), lambda a, e: a + e["n"] * e["grade"]).alias("total"),
+    )
     # The number of features is a parameter, so this is a top-k.
     lift = (F.col("total") - F.col("n") * F.lit(mean)) / F.sqrt(F.col("n") * F.lit(spread))
-    best = stats.where("feature <> '' and n >= 3").orderBy(lift.desc(), "feature").limit(features)
+    best = stats.where("rows >= 3").orderBy(lift.desc(), "feature").limit(features)
     names = [r[0] for r in best.select("feature").collect()]
     wanted = {f: i for i, f in enumerate(names)}
     begins = {f[1 : 1 + STEMS[0]] for f in names}
@@ -167,7 +178,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, grade: str = "toxic", per_g
     for i, (g, at, much) in enumerate(data):
         x[i, at] = np.log1p(much)
         y[i] = grades.index(g)
-    thresholds, weights = fit_ordinal(x, y)
+    thresholds, weights = fit_ordinal(x, y, times=np.array([times[g] for g in grades])[y])
     return OrdinalModel(grades, thresholds, {f: float(w) for f, w in zip(names, weights)})
 
 

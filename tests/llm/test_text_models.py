@@ -98,3 +98,19 @@ def test_three_grades_and_odd_rows(spark, odd_docs, no_docs):
     assert {(r.grade, r.expected_severity) for r in X.severity(odd_docs, none).collect()} == {(0, 0.0)}
     same = X.fit_severity(docs, labels.where("toxic = 1"))
     assert {r.grade for r in X.severity(docs, same).collect()} == {1}
+
+
+def test_capped_sample_keeps_the_shares_of_the_grades(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    whole = X.fit_severity(docs, labels)
+    capped = X.fit_severity(docs, labels, per_grade=labels.where("toxic = 1").count())
+    assert abs(whole.thresholds[0] - capped.thresholds[0]) < 0.3
+
+
+def test_rows_that_count_several_times():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 2))
+    y = (x[:, 0] + rng.logistic(size=300) > 0).astype(int) + (x[:, 1] > 1)
+    times = rng.integers(1, 5, 300)
+    for a, b in zip(X.fit_ordinal(x, y, times=times.astype(float)), X.fit_ordinal(np.repeat(x, times, axis=0), np.repeat(y, times))):
+        assert np.allclose(a, b, atol=1e-4)
