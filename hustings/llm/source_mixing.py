@@ -18,6 +18,8 @@ from .common import WORD, running_before
 GOLDEN = 2_654_435_769
 #: Slots that a mix of the size of its input gets (more for a share above 100 %).
 SLOTS = 1 << 17
+#: Blocks that a source's target has at least where small sources are taken by the word (see ``mix``).
+LEAST_BLOCKS = 1024
 #: Slots made by one row of the generator.
 SLOTS_PER_ROW = 4096
 #: Cells of the unit line in which points and sources meet.
@@ -93,9 +95,13 @@ def schedule(targets: DataFrame, slots: int = SLOTS) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, slots: int = SLOTS, id_col: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, slots: int = SLOTS, id_col: str = "doc_id", least_blocks: int = 0) -> DataFrame:
     """Per document what the mix takes: doc_id, source, size, source_size, target, taken.
 
+    A source's words are off its target by a few blocks. With ``least_blocks``, a source whose target has fewer blocks
+    than that gets a slot for each word of its target instead, in blocks of one word: the k-th takes word k modulo its
+    words, so it takes its target to the word. These slots are counted, not made.
+
     A null text has size 0; a null source is a source of its own, last in order. Words of a source come from its blocks,
     ``most`` passes at the utmost, so no document gives more than ``most`` times its size. Repeated rows each get a row.
     Documents of size 0 take 0. An empty table gives no rows. Other columns are ignored.
@@ -111,26 +117,33 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     known = targets.select(F.col("source").alias("__s"), "source_size", "target", length.alias("block_words"))
     line = line.join(known, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
     first, last = F.floor(F.col("begin") / F.col("block_words")), F.floor((F.col("begin") + F.col("size") - 1) / F.col("block_words"))
-    reach = F.when(F.col("size") > 0, F.sequence(first, last)).otherwise(F.array(F.lit(-1).cast("long")))
+    quota = F.round("target").cast("long")
+    small = (F.col("size") > 0) & (quota < F.lit(least_blocks) * F.col("block_words"))
+    in_blocks = (F.col("size") > 0) & ~small if least_blocks else F.col("size") > 0
+    reach = F.when(in_blocks, F.sequence(first, last)).otherwise(F.array(F.lit(-1).cast("long")))
     pieces = line.withColumn("block", F.explode(reach))
     stop = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * F.col("block_words"))
     words = stop - F.greatest(F.col("begin"), F.col("block") * F.col("block_words"))
-    pieces = pieces.withColumn("words", F.when(F.col("size") > 0, words).otherwise(0))
+    pieces = pieces.withColumn("words", F.when(in_blocks, words).otherwise(0))
     uses = plan.groupBy("source", "block").agg(F.count("*").alias("uses"))
     uses = uses.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "uses")
     pieces = pieces.join(uses, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")), "left")
-    taken = F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).cast("long")
+    rest = F.pmod(quota, F.col("source_size"))
+    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("begin") + F.col("size"), rest) - F.col("begin"))
+    by_word = F.col("size") * F.floor(quota / F.col("source_size")) + part
+    by_block = F.col("words") * F.coalesce("uses", F.lit(0))
+    taken = F.sum(F.when(small, by_word).otherwise(by_block) if least_blocks else by_block).cast("long")
     mixed = pieces.groupBy("source", "bucket", "nth", "doc_id", "size", "source_size", "target").agg(taken.alias("taken"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, slots: int = SLOTS) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, slots: int = SLOTS, least_blocks: int = 0) -> DataFrame:
     """The documents of a mix with their columns: a row per whole copy taken, and one cut to the words that are left over.
 
     A document of which the mix takes nothing is absent; one without words (null or blank text) gives nothing to a mix
     and is absent as well. Rows that repeat a doc_id, source and size share what the mix takes of them evenly.
     """
-    taken = mix(docs.select("doc_id", "source", "text"), weights, share, most, slots).where("taken > 0")
+    taken = mix(docs.select("doc_id", "source", "text"), weights, share, most, slots, least_blocks=least_blocks).where("taken > 0")
     taken = taken.groupBy("doc_id", "source", "size").agg(F.avg("taken").alias("taken"))
     taken = taken.select(*[F.col(c).alias(f"__{c}") for c in taken.columns])
     same = (docs["doc_id"].eqNullSafe(F.col("__doc_id"))) & (docs["source"].eqNullSafe(F.col("__source"))) & (word_count(docs["text"]) == F.col("__size"))

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+import corpus_pipeline as C
 from hustings.llm import sharding as H
 from hustings.llm import source_mixing as M
 
@@ -83,6 +84,25 @@ def test_mixed_documents_hold_the_words_taken(documents, odd_docs):
         assert got == want
 
 
+def test_small_sources_of_the_pipeline_meet_their_targets(spark):
+    # Sources of 0.0001 % to 0.1 % of the words beside two large ones; a block has 15 words.
+    rows = [(i, "large" + str(i % 2), "w " * 1000) for i in range(2000)]
+    for nth, n in enumerate((2, 5, 20, 37, 150, 2000)):
+        rows += [(10_000 + 100 * nth + k, f"small{nth}", "v " * (n // 2 + k * (n % 2))) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    sizes = Counter()
+    for _, s, t in rows:
+        sizes[s] += words(t)
+    taken = Counter()
+    for r in C.mix_sources(spark, docs, "").collect():
+        taken[r.source] += words(r.text)
+    target = brute_targets(sizes)
+    for s in sizes:
+        assert abs(taken[s] - target[s]) <= (1 if s.startswith("small") else 0.01 * target[s])
+    per_doc = {r.doc_id: r for r in M.mix(docs, least_blocks=M.LEAST_BLOCKS).collect()}
+    assert len(per_doc) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in per_doc.values())
+
+
 def check_shards(docs, shards=16):
     rows = docs.select("doc_id", "text").collect()
     got = H.shard_documents(docs, shards).collect()
