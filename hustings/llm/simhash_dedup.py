@@ -32,10 +32,14 @@ DENSE = 128
 #: Sketch for near copies: 64-bit words, words compared, and the bits of these that may differ (39 are expected at 0.8).
 SKETCH_WORDS = 10
 COMPARED_WORDS = 4
-SKETCH_BUDGET = 48
+SKETCH_BUDGET = 56
 #: Bits of a key of the sketch, and keys of a sketch.
-KEY_BITS = 16
-KEYS = 40
+KEY_BITS = 14
+KEYS = 45
+#: Candidates of a key that each sketch keeps beside a spanning forest: those with the fewest differing bits.
+NEAREST = 8
+#: So few differing bits hardly occur below a similarity of 0.8; such sketches are compared by way of one of them.
+SURE_BITS = 24
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -203,6 +207,27 @@ def _walk_groups(group: np.ndarray, side: np.ndarray, rest: np.ndarray, radius:
 
     Rows are sorted by group, side and rest. A group with rows of both sides is a pair of nodes, others are one node.
     """
+    label, held, size = None, [], 0
+    for rows, nodes, links in _jobs(group, side, rest, radius):
+        held += links
+        if not nodes:
+            continue
+        for i, j in walk(rest if rows is None else rest[rows], [*nodes, np.zeros(len(nodes[0]), np.int64)], radius, depth):
+            held.append((i, j) if rows is None else (rows[i], rows[j]))
+            size += len(i)
+            if size > 1_000_000:  # keep the connections, not the pairs
+                label = _least_reachable(len(rest), *(np.concatenate(x) for x in zip(*held)), label)
+                held, size = [], 0
+    if held:
+        label = _least_reachable(len(rest), *(np.concatenate(x) for x in zip(*held)), label)
+    if label is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    moved = np.flatnonzero(label != np.arange(len(rest)))
+    return moved, label[moved]
+
+
+def _jobs(group: np.ndarray, side: np.ndarray, rest: np.ndarray, radius: int) -> Iterator[tuple]:
+    """(rows, node pairs, links) to walk: all rows or an index array, nodes in it, and links made by thinning."""
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     ends = np.concatenate([starts[1:], [len(group)]])
     first, last = side[starts], side[ends - 1]
@@ -210,31 +235,56 @@ def _walk_groups(group: np.ndarray, side: np.ndarray, rest: np.ndarray, radius:
     alone, cross = (last == 0) & (ends - starts > 1), (first == 0) & (last == 1)
     crowded = alone & (ends - starts > DENSE)
     plain = alone & ~crowded
-    jobs = [(rest, None, [np.concatenate(x) for x in (
-        (starts[plain], starts[cross]), (ends[plain], middle[cross]), (starts[plain], middle[cross]), (ends[plain], ends[cross]))])]
-    label, held, size = None, [], 0
+    yield None, [np.concatenate(x) for x in (
+        (starts[plain], starts[cross]), (ends[plain], middle[cross]), (starts[plain], middle[cross]), (ends[plain], ends[cross]))], []
     for lo, hi in zip(starts[crowded].tolist(), ends[crowded].tolist()):
         links, pairs = _dense(rest, lo, hi, radius)
-        held += links
+        yield None, [], links
         for a, b in pairs:
             own = a is b
             rows = a if own else np.concatenate([a, b])
             cut = [[0], [len(a)], [0], [len(a)]] if own else [[0], [len(a)], [len(a)], [len(rows)]]
             if len(a) and len(b):
-                jobs.append((rest[rows], rows, [np.array(x) for x in cut]))
-    for bits, rows, nodes in jobs:
-        for i, j in walk(bits, [*nodes, np.zeros(len(nodes[0]), np.int64)], radius, depth):
-            held.append((i, j) if rows is None else (rows[i], rows[j]))
+                yield rows, [np.array(x) for x in cut], []
+
+
+def _thinned(i: np.ndarray, j: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs (i, j), the ``NEAREST`` of each row by ``bits`` and a spanning forest of least ``bits``."""
+    by = np.argsort(bits, kind="stable")
+    i, j, bits = i[by], j[by], bits[by]
+    nodes, ends = np.unique(np.concatenate([i, j]), return_inverse=True)
+    pair = np.tile(np.arange(len(i)), 2)
+    order = np.lexsort((pair, ends))
+    first = np.searchsorted(ends[order], np.arange(len(nodes)))
+    keep = np.zeros(len(i), bool)
+    keep[pair[order][np.arange(len(order)) - first[ends[order]] < NEAREST]] = True
+    a, b, label = ends[: len(i)], ends[len(i) :], np.arange(len(nodes))
+    while True:
+        open_ = np.flatnonzero(label[a] != label[b])
+        if not len(open_):
+            return i[keep], j[keep], bits[keep]
+        best = np.full(len(nodes), len(i))
+        np.minimum.at(best, label[a[open_]], open_)
+        np.minimum.at(best, label[b[open_]], open_)
+        best = np.unique(best[best < len(i)])
+        keep[best] = True
+        label = _least_reachable(len(nodes), a[best], b[best], label)
+
+
+def _near_pairs(group: np.ndarray, side: np.ndarray, rest: np.ndarray, radius: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a group within ``radius`` themselves, thinned; input as for ``_walk_groups``."""
+    held, size = [], 0
+    for rows, nodes, links in _jobs(group, side, rest, min(radius, SURE_BITS)):
+        found = walk(rest if rows is None else rest[rows], [*nodes, np.zeros(len(nodes[0]), np.int64)], radius, depth) if nodes else ()
+        for i, j in (*links, *((i, j) if rows is None else (rows[i], rows[j]) for i, j in found)):
+            held.append((i, j, np.bitwise_count(rest[i] ^ rest[j]).sum(axis=1, dtype=np.int64)))
             size += len(i)
-            if size > 1_000_000:  # keep the connections, not the pairs
-                label = _least_reachable(len(rest), *(np.concatenate(x) for x in zip(*held)), label)
-                held, size = [], 0
-    if held:
-        label = _least_reachable(len(rest), *(np.concatenate(x) for x in zip(*held)), label)
-    if label is None:
+            if size > 1_000_000:
+                held = [_thinned(*(np.concatenate(x) for x in zip(*held)))]
+                size = len(held[0][0]) // 2
+    if not held:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    moved = np.flatnonzero(label != np.arange(len(rest)))
-    return moved, label[moved]
+    return _thinned(*(np.concatenate(x) for x in zip(*held)))[:2]
 
 
 def trie_links(points: DataFrame, radius: int = 4, part_rows: int = PART_ROWS) -> DataFrame:
@@ -262,11 +312,12 @@ def trie_links(points: DataFrame, radius: int = 4, part_rows: int = PART_ROWS) -
     return subtrie_links(rows, radius, depth, part_rows)
 
 
-def subtrie_links(rows: DataFrame, radius: int, depth: int, part_rows: int = PART_ROWS) -> DataFrame:
+def subtrie_links(rows: DataFrame, radius: int, depth: int, part_rows: int = PART_ROWS, direct: bool = False) -> DataFrame:
     """Links (u, v) of ``name`` values that connect the rows of each ``key`` whose ``rest`` differ in ``radius`` bits or less.
 
     ``rest`` is an array of longs whose last ``depth`` bits are compared. A subtrie of more than ``part_rows`` rows is cut
-    into parts by hash; each pair of parts is one row group, so no key has to fit a task.
+    into parts by hash; each pair of parts is one row group, so no key has to fit a task. With ``direct`` both ends of
+    every link are within ``radius`` themselves: candidates for a closer look.
     """
     large = rows.groupBy("key").count().where(F.col("count") > part_rows).select("key", F.ceil(F.col("count") / part_rows).cast("int").alias("parts"))
     placed = rows.join(large, "key", "left").withColumn("own", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("name"), "parts")).cast("int"))
@@ -291,7 +342,7 @@ def subtrie_links(rows: DataFrame, radius: int, depth: int, part_rows: int = PAR
                 return None
             by = np.lexsort((*(rest[:, w] for w in range(rest.shape[1] - 1, -1, -1)), side, group))
             name = name[by]
-            a, b = _walk_groups(group[by], side[by], rest[by], radius, depth)
+            a, b = (_near_pairs if direct else _walk_groups)(group[by], side[by], rest[by], radius, depth)
             return pa.RecordBatch.from_arrays([pa.array(name[a]), pa.array(name[b])], names=["u", "v"])
 
         for batch in batches:
@@ -337,38 +388,79 @@ def hex_fingerprint(column: str = "fp"):
 
 
 def sketches(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, print, sketch, keys): a SimHash of ``SKETCH_WORDS`` * 64 bits of every whole text.
+    """(doc_id, text_hash, print, sketch, keys): a SimHash of ``SKETCH_WORDS`` * 64 bits of every whole text.
 
-    ``print`` is a hash of all its bits; ``sketch`` holds the words that are compared, ``keys`` the bits cut into keys.
+    ``print`` is a hash of all its bits, ``text_hash`` one of the text; ``sketch`` holds the words that are compared, ``keys`` the bits cut into keys.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = text_fingerprints(batch.column(1), width, SKETCH_WORDS)
             raw = [w.tobytes() for w in words]
-            bits = words.view(np.uint16).astype(np.int64).reshape(len(words), -1)[:, :KEYS]
-            keys = (np.arange(bits.shape[1], dtype=np.int64) << KEY_BITS) | bits
+            bits = np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1)[:, : KEYS * KEY_BITS].reshape(len(words), KEYS, KEY_BITS)
+            keys = (np.arange(KEYS, dtype=np.int64) << KEY_BITS) | (bits @ (1 << np.arange(KEY_BITS, dtype=np.int64)))
             lists = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel()) for x in (words[:, :COMPARED_WORDS].copy().view(np.int64), keys)]
             digest = np.array([xxhash.xxh64_intdigest(r) for r in raw], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(digest), *lists], names=["doc_id", "print", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(digest), *lists], names=["doc_id", "text_hash", "print", "sketch", "keys"])
+
+    text = F.col(text_col).cast("string")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    return picked.mapInArrow(run, "doc_id long, text_hash long, print long, sketch array<long>, keys array<long>")
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, print long, sketch array<long>, keys array<long>")
+
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(print, hashes): the distinct shingle hashes of the ``text`` of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            done = 0
+            for a, b in slices(offsets):
+                joined, starts, ends, first_word = folded_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                s, e, counts = shingles(starts, ends, first_word, width)
+                hashes = np.fromiter((digest(joined[x:y], 42) for x, y in zip(s.tolist(), e.tolist())), np.uint64, len(s)).view(np.int64)
+                sets = [np.unique(h) for h in np.split(hashes, np.cumsum(counts)[:-1])]
+                at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, b - a), pa.ListArray.from_arrays(at, np.concatenate(sets))], names=["print", "hashes"])
+                done += b - a
+
+    return texts.select("print", "text").mapInArrow(run, "print long, hashes array<long>")
+
+
+def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The (u, v) of ``pairs`` whose texts have a Jaccard similarity of 0.8 or more of their distinct shingles.
+
+    Only texts that occur in a pair are read again, one for each ``print`` of ``points``.
+    """
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("print")).distinct()
+    named = points.join(asked, "print").select("print", F.col("one.doc_id").alias("__id"), F.col("one.text_hash").alias("__hash"))
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("__h"))
+    met = texts.join(named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")))
+    sets = cut_lineage(shingle_sets(met.dropDuplicates(["print"]), width))
+    both = pairs.join(sets.select(F.col("print").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("print").alias("v"), F.col("hashes").alias("b")), "v")
+    # common / (all - common) >= 4 / 5
+    return both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
 
 
 def near_copy_groups(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, component_id): groups of documents whose ``width``-word shingles have a similarity of about 0.8 or more.
+    """(doc_id, component_id): documents connected by pairs whose ``width``-word shingles have a similarity of 0.8 or more.
 
-    At that similarity two SimHash bits differ with probability 0.15, too often for a small radius of 64 bits, so the
-    documents get longer fingerprints: ``KEYS`` keys of ``KEY_BITS`` bits choose the subtries, of which two documents at
-    0.8 share one with probability 0.95 (at 0.9: 0.999), and the walk has a budget of ``SKETCH_BUDGET`` of the compared
-    ``COMPARED_WORDS`` * 64 bits, which unrelated texts exceed. A null or blank text is a group of its own kind: all such
-    are alike. Equal fingerprints are folded before the join.
+    Candidates come from long SimHash fingerprints: at 0.8 two bits differ with probability 0.15. ``KEYS`` keys of
+    ``KEY_BITS`` bits choose the subtries, of which two documents at 0.8 share one with probability 0.99, and the walk has
+    a budget of ``SKETCH_BUDGET`` of the compared ``COMPARED_WORDS`` * 64 bits. Of each subtrie the nearest candidates of a
+    document and a spanning forest are kept; a link is made where the exact similarity of the pair is 0.8 or more. A null
+    or blank text is a group of its own kind: all such are alike. Equal fingerprints of all bits are folded before.
     """
     made = cut_lineage(sketches(docs, width))
-    points = made.groupBy("print").agg(F.min("doc_id").alias("least_id"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    points = made.groupBy("print").agg(
+        F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")
+    )
     rows = points.select(F.col("print").alias("name"), F.explode("keys").alias("key"), F.col("sketch").alias("rest"))
-    return _named(made, points, components(subtrie_links(rows, SKETCH_BUDGET, 64 * COMPARED_WORDS)), "print").select("doc_id", "component_id")
+    near = subtrie_links(rows, SKETCH_BUDGET, 64 * COMPARED_WORDS, direct=True)
+    pairs = cut_lineage(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    return _named(made, points, components(verified(pairs, points, docs, width)), "print").select("doc_id", "component_id")
 
 
 def representatives(docs: DataFrame, width: int = 5) -> DataFrame:

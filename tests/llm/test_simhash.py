@@ -99,6 +99,24 @@ def test_near_copies_are_grouped_and_others_left_alone(spark):
     assert np.mean(near) > 0.97 and len(near) > 250 and not any(far)
 
 
+def test_only_exact_near_copies_are_linked(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    rows, want = [], []
+    for pair in range(300):
+        words = [word() for _ in range(300)]
+        other = list(words)
+        for at in rng.choice(60, 4 + pair % 12, replace=False):  # each new word changes five shingles
+            other[5 * at] = word()
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(other))]
+        a, b = shingle_set(rows[-2][1]), shingle_set(rows[-1][1])
+        want.append(len(a & b) / len(a | b) >= 0.8)
+    got = {r.doc_id: r.component_id for r in S.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = np.array([got[2 * k + 1] == 2 * k for k in range(300)])
+    want = np.array(want)
+    assert 50 < want.sum() < 250 and not linked[~want].any() and linked[want].mean() > 0.98
+
+
 def test_a_crowded_node_is_thinned_without_losing_links(spark):
     rng = np.random.default_rng(6)
     middle = int(rng.integers(2**63))
