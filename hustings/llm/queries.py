@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontamination, language_id, neighbour_forest, perspectives, sharding, simhash_dedup, source_mixing, suffix_dedup,
-    token_counts, toxicity,
+    decontamination, divergence, language_id, neighbour_forest, packing, perspectives, sharding, simhash_dedup, source_mixing, spelling,
+    suffix_dedup, token_counts, toxicity,
 )
 from .common import table
 
@@ -60,11 +60,25 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed_documents(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_groups, op2_suffix_dedup, op3_source_mix, op4_slot_shards, op5_language_spans, op6_toxic_severity,
         op7_projection_forest, op8_edited_token_counts, op9_speaker_views, op10_benchmark_leaks,
+        op11_packed_sequences, op12_spelling_variants, op13_source_divergence,
     )
 }
 
@@ -139,5 +153,75 @@ placed AS (
 SELECT conv_id, viewpoint, turn, seq, role, name, piece, trained, b AS "begin", b + length(piece) AS "end",
        CASE WHEN trained THEN b + length(head) END AS mask_begin, CASE WHEN trained THEN b + length(piece) - 1 END AS mask_end
 FROM placed
+""",
+    "op12_spelling_variants": r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b::UBIGINT], range(8)::UBIGINT[]),
+           lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS steps),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+  GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_concat([4294967295::UBIGINT],
+           flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END))::UBIGINT[]),
+           lambda c, b: xor(c >> 8, steps[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295::UBIGINT) AS h
+  FROM runs, crc_table),
+spelt AS (
+  SELECT n, CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word
+  FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+parts AS (
+  SELECT word, n, left(word, CAST(i AS BIGINT)) || '*' || substr(word, CAST(i AS BIGINT) + 2) AS blanked, left(word, CAST(i AS BIGINT)) || substr(word, CAST(i AS BIGINT) + 2) AS shorter
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM parts a JOIN parts b ON a.blanked = b.blanked AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM parts a JOIN words b ON a.shorter = b.word
+  UNION SELECT b.word, a.word, a.n FROM parts a JOIN words b ON a.shorter = b.word),
+best AS (
+  SELECT word, near AS form, near_n AS form_n, count(*) OVER (PARTITION BY word) AS n_near,
+         row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS nth
+  FROM near),
+formed AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.form_n >= 2 * w.n THEN b.form END AS form,
+         CASE WHEN b.form_n >= 2 * w.n THEN b.form_n END AS form_n
+  FROM words w LEFT JOIN (SELECT * FROM best WHERE nth = 1) b ON w.word = b.word),
+chain AS (
+  SELECT word, word AS at, form AS further FROM formed
+  UNION ALL SELECT c.word, c.further, f.form FROM chain c JOIN formed f ON c.further = f.word)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN chain c ON c.word = f.word AND c.further IS NULL
+""",
+    "op13_source_divergence": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+found AS (
+  SELECT row, lang, source, translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs)),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM found GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(lang_n) AS total FROM kept GROUP BY lang),
+counts AS (SELECT f.lang, f.source, f.term, count(*) AS n FROM found f JOIN kept k ON f.lang = k.lang AND f.term = k.term GROUP BY ALL),
+groups AS (
+  SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN counts c ON g.lang = c.lang AND g.source = c.source GROUP BY g.lang, g.source),
+priced AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.total + 2 * l.v) AS HUGEINT) AS p,
+         CAST(1 + (1000000000::HUGEINT * (k.lang_n + 2)) // (l.total + 2 * l.v) AS HUGEINT) AS q
+  FROM groups g JOIN langs l ON g.lang = l.lang JOIN kept k ON k.lang = g.lang
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM priced a JOIN priced b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every_pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(p.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value FROM priced WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM every_pair UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
 """,
 }
