@@ -36,10 +36,8 @@ SKETCH_BUDGET = 56
 #: Bits of a key of the sketch, and keys of a sketch.
 KEY_BITS = 14
 KEYS = 45
-#: Candidates of a key that each sketch keeps beside a spanning forest: those with the fewest differing bits.
-NEAREST = 8
-#: So few differing bits hardly occur below a similarity of 0.8; such sketches are compared by way of one of them.
-SURE_BITS = 24
+#: Texts of one part when a group of candidates is compared exactly; two parts meet in a task.
+PART_TEXTS = 500
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -248,43 +246,28 @@ def _jobs(group: np.ndarray, side: np.ndarray, rest: np.ndarray, radius: int) ->
                 yield rows, [np.array(x) for x in cut], []
 
 
-def _thinned(i: np.ndarray, j: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the pairs (i, j), the ``NEAREST`` of each row by ``bits`` and a spanning forest of least ``bits``."""
-    by = np.argsort(bits, kind="stable")
-    i, j, bits = i[by], j[by], bits[by]
-    nodes, ends = np.unique(np.concatenate([i, j]), return_inverse=True)
-    pair = np.tile(np.arange(len(i)), 2)
-    order = np.lexsort((pair, ends))
-    first = np.searchsorted(ends[order], np.arange(len(nodes)))
-    keep = np.zeros(len(i), bool)
-    keep[pair[order][np.arange(len(order)) - first[ends[order]] < NEAREST]] = True
-    a, b, label = ends[: len(i)], ends[len(i) :], np.arange(len(nodes))
-    while True:
-        open_ = np.flatnonzero(label[a] != label[b])
-        if not len(open_):
-            return i[keep], j[keep], bits[keep]
-        best = np.full(len(nodes), len(i))
-        np.minimum.at(best, label[a[open_]], open_)
-        np.minimum.at(best, label[b[open_]], open_)
-        best = np.unique(best[best < len(i)])
-        keep[best] = True
-        label = _least_reachable(len(nodes), a[best], b[best], label)
-
-
-def _near_pairs(group: np.ndarray, side: np.ndarray, rest: np.ndarray, radius: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of a group within ``radius`` themselves, thinned; input as for ``_walk_groups``."""
-    held, size = [], 0
-    for rows, nodes, links in _jobs(group, side, rest, min(radius, SURE_BITS)):
+def _nearest_and_least(group: np.ndarray, side: np.ndarray, rest: np.ndarray, radius: int, depth: int) -> tuple[np.ndarray, ...]:
+    """Rows with a partner within ``radius``: the row, the smallest row it is connected with, the nearest found and its bits.
+
+    Input as for ``_walk_groups``. Where a crowded node is thinned, the nearest found is the point in its middle.
+    """
+    label, held, size = np.arange(len(rest)), [], 0
+    best = np.full(len(rest), np.iinfo(np.int64).max)
+    for rows, nodes, links in _jobs(group, side, rest, radius):
         found = walk(rest if rows is None else rest[rows], [*nodes, np.zeros(len(nodes[0]), np.int64)], radius, depth) if nodes else ()
         for i, j in (*links, *((i, j) if rows is None else (rows[i], rows[j]) for i, j in found)):
-            held.append((i, j, np.bitwise_count(rest[i] ^ rest[j]).sum(axis=1, dtype=np.int64)))
+            bits = np.bitwise_count(rest[i] ^ rest[j]).sum(axis=1, dtype=np.int64) << 40
+            np.minimum.at(best, i, bits | j)
+            np.minimum.at(best, j, bits | i)
+            held.append((i, j))
             size += len(i)
             if size > 1_000_000:
-                held = [_thinned(*(np.concatenate(x) for x in zip(*held)))]
-                size = len(held[0][0]) // 2
-    if not held:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return _thinned(*(np.concatenate(x) for x in zip(*held)))[:2]
+                label = _least_reachable(len(rest), *(np.concatenate(x) for x in zip(*held)), label)
+                held, size = [], 0
+    if held:
+        label = _least_reachable(len(rest), *(np.concatenate(x) for x in zip(*held)), label)
+    met = np.flatnonzero(best < np.iinfo(np.int64).max)
+    return met, label[met], best[met] & ((1 << 40) - 1), best[met] >> 40
 
 
 def trie_links(points: DataFrame, radius: int = 4, part_rows: int = PART_ROWS) -> DataFrame:
@@ -312,12 +295,12 @@ def trie_links(points: DataFrame, radius: int = 4, part_rows: int = PART_ROWS) -
     return subtrie_links(rows, radius, depth, part_rows)
 
 
-def subtrie_links(rows: DataFrame, radius: int, depth: int, part_rows: int = PART_ROWS, direct: bool = False) -> DataFrame:
+def subtrie_links(rows: DataFrame, radius: int, depth: int, part_rows: int = PART_ROWS, nearest: bool = False) -> DataFrame:
     """Links (u, v) of ``name`` values that connect the rows of each ``key`` whose ``rest`` differ in ``radius`` bits or less.
 
     ``rest`` is an array of longs whose last ``depth`` bits are compared. A subtrie of more than ``part_rows`` rows is cut
-    into parts by hash; each pair of parts is one row group, so no key has to fit a task. With ``direct`` both ends of
-    every link are within ``radius`` themselves: candidates for a closer look.
+    into parts by hash; each pair of parts is one row group, so no key has to fit a task. With ``nearest`` every row that
+    has a partner is returned once for a key, with the ``near`` row of fewest differing ``bits``; there v may be u itself.
     """
     large = rows.groupBy("key").count().where(F.col("count") > part_rows).select("key", F.ceil(F.col("count") / part_rows).cast("int").alias("parts"))
     placed = rows.join(large, "key", "left").withColumn("own", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("name"), "parts")).cast("int"))
@@ -342,7 +325,10 @@ def subtrie_links(rows: DataFrame, radius: int, depth: int, part_rows: int = PAR
                 return None
             by = np.lexsort((*(rest[:, w] for w in range(rest.shape[1] - 1, -1, -1)), side, group))
             name = name[by]
-            a, b = (_near_pairs if direct else _walk_groups)(group[by], side[by], rest[by], radius, depth)
+            if nearest:
+                a, b, near, apart = _nearest_and_least(group[by], side[by], rest[by], radius, depth)
+                return pa.RecordBatch.from_arrays([pa.array(x) for x in (name[a], name[b], name[near], apart)], names=["u", "v", "near", "bits"])
+            a, b = _walk_groups(group[by], side[by], rest[by], radius, depth)
             return pa.RecordBatch.from_arrays([pa.array(name[a]), pa.array(name[b])], names=["u", "v"])
 
         for batch in batches:
@@ -360,7 +346,8 @@ def subtrie_links(rows: DataFrame, radius: int, depth: int, part_rows: int = PAR
         if held and (found := links(held)):
             yield found
 
-    return units.select("name", "key", "p", "q", "side", "rest").mapInArrow(run, "u long, v long").distinct()
+    units = units.select("name", "key", "p", "q", "side", "rest")
+    return units.mapInArrow(run, "u long, v long, near long, bits long") if nearest else units.mapInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -428,39 +415,113 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("print", "text").mapInArrow(run, "print long, hashes array<long>")
 
 
-def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """The (u, v) of ``pairs`` whose texts have a Jaccard similarity of 0.8 or more of their distinct shingles.
-
-    Only texts that occur in a pair are read again, one for each ``print`` of ``points``.
-    """
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("print")).distinct()
-    named = points.join(asked, "print").select("print", F.col("one.doc_id").alias("__id"), F.col("one.text_hash").alias("__hash"))
-    text = F.col("text").cast("string")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("__h"))
-    met = texts.join(named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")))
-    sets = cut_lineage(shingle_sets(met.dropDuplicates(["print"]), width))
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (u, v) of ``pairs`` whose sets of (print, hashes) have a Jaccard similarity of 0.8 or more."""
     both = pairs.join(sets.select(F.col("print").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("print").alias("v"), F.col("hashes").alias("b")), "v")
     # common / (all - common) >= 4 / 5
     return both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
 
 
-def near_copy_groups(docs: DataFrame, width: int = 5) -> DataFrame:
+def open_units(members: DataFrame, part_texts: int = PART_TEXTS) -> DataFrame:
+    """Rows (print, gid, part) of the candidate groups that are not connected yet, dealt to units of two parts each.
+
+    ``members``: (print, part, gid), a row per text; ``gid`` names its candidate group, ``part`` the texts it is known to
+    be connected with. The largest such part of a group needs no comparing within: it only meets the others, which also
+    meet among themselves. Both are cut by hash into stretches of ``part_texts``. A group of two texts has been compared.
+    """
+    sizes = members.groupBy("gid", "part").agg(F.count("*").alias("n"))
+    groups = sizes.groupBy("gid").agg(F.count("*").alias("parts"), F.sum("n").alias("texts"), F.max(F.struct("n", "part")).alias("most"))
+    left = groups.where((F.col("parts") > 1) & (F.col("texts") > 2)).select(
+        "gid", F.col("most.part").alias("largest"),
+        F.ceil(F.col("most.n") / part_texts).cast("int").alias("held"), F.ceil((F.col("texts") - F.col("most.n")) / part_texts).cast("int").alias("asked"),
+    )
+    rows = members.join(left, "gid").withColumn("in_largest", F.col("part") == F.col("largest"))
+    own = F.pmod(F.xxhash64("print"), F.when(F.col("in_largest"), F.col("held")).otherwise(F.col("asked"))).cast("int")
+
+    def unit(kind: int, p, q, side):
+        return F.struct(F.lit(kind).alias("kind"), p.alias("p"), q.alias("q"), side.cast("int").alias("side"))
+
+    to_asked = F.transform(F.sequence(F.lit(0), F.col("asked") - 1), lambda a: unit(0, F.col("own"), a, F.lit(0)))
+    to_held = F.transform(F.sequence(F.lit(0), F.col("held") - 1), lambda h: unit(0, h, F.col("own"), F.lit(1)))
+    among = F.transform(F.sequence(F.lit(0), F.col("asked") - 1), lambda a: unit(1, F.least("own", a), F.greatest("own", a), F.col("own") > a))
+    dealt = rows.withColumn("own", own).withColumn("unit", F.explode(F.when(F.col("in_largest"), to_asked).otherwise(F.concat(to_held, among))))
+    return dealt.select("print", "gid", "part", "unit.kind", "unit.p", "unit.q", "unit.side")
+
+
+def _compare_unit(table: pa.Table) -> pa.Table:
+    """Links (u, v) that connect the parts of a unit by pairs of 0.8 or more; pairs of connected parts are not compared."""
+    names, parts, side = (np.asarray(table.column(c)) for c in ("print", "part", "side"))
+    sketch = np.array(table.column("sketch").to_pylist(), np.int64).view(np.uint64).reshape(len(names), -1)
+    by = np.lexsort((*(sketch[:, w] for w in range(sketch.shape[1] - 1, -1, -1)), side))
+    names, parts, side, sketch = names[by], parts[by], side[by], sketch[by]
+    hashes = [np.asarray(table.column("hashes")[int(k)].values) for k in by]
+    middle, n = int((side == 0).sum()), len(names)
+    across = 0 < middle < n
+    alone = table.column("kind")[0].as_py() == 1 and not across  # a stretch of the smaller parts that meets itself
+    nodes = [[0], [middle], [middle], [n]] if across else [[0], [n], [0], [n]]
+    found = list(walk(sketch, [np.array(x) for x in (*nodes, [0])], SKETCH_BUDGET, 64 * sketch.shape[1])) if (across or alone) and n > 1 else []
+    made = []
+    if found:
+        i, j = (np.concatenate(x) for x in zip(*found))
+        open_ = parts[i] != parts[j]
+        i, j = i[open_], j[open_]
+        order = np.argsort(np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1), kind="stable")
+        root = {int(c): int(c) for c in np.unique(parts)}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        for x, y in zip(i[order].tolist(), j[order].tolist()):
+            a, b = find(int(parts[x])), find(int(parts[y]))
+            few, many = sorted((len(hashes[x]), len(hashes[y])))
+            if a != b and 5 * few >= 4 * many:
+                common = len(np.intersect1d(hashes[x], hashes[y], assume_unique=True))
+                if 9 * common >= 4 * (few + many):
+                    root[a] = b
+                    made.append((names[x], names[y]))
+    u, v = zip(*made) if made else ((), ())
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def near_copy_groups(docs: DataFrame, width: int = 5, part_texts: int = PART_TEXTS) -> DataFrame:
     """(doc_id, component_id): documents connected by pairs whose ``width``-word shingles have a similarity of 0.8 or more.
 
     Candidates come from long SimHash fingerprints: at 0.8 two bits differ with probability 0.15. ``KEYS`` keys of
     ``KEY_BITS`` bits choose the subtries, of which two documents at 0.8 share one with probability 0.99, and the walk has
-    a budget of ``SKETCH_BUDGET`` of the compared ``COMPARED_WORDS`` * 64 bits. Of each subtrie the nearest candidates of a
-    document and a spanning forest are kept; a link is made where the exact similarity of the pair is 0.8 or more. A null
-    or blank text is a group of its own kind: all such are alike. Equal fingerprints of all bits are folded before.
+    a budget of ``SKETCH_BUDGET`` of the compared ``COMPARED_WORDS`` * 64 bits. The walk gives each document's nearest
+    candidate and a forest that connects all candidates, no more rows than went in. First each document is compared
+    with its nearest candidate. Where a group of candidates is not connected by that, all its pairs within the budget
+    that are not connected yet are compared, inside tasks that hold two stretches of the group. So every pair of candidates is linked
+    as if all had been compared. A link is made where the exact similarity is 0.8 or more. A null or blank text is a group
+    of its own kind: all such are alike. Equal fingerprints of all bits are folded before.
     """
     made = cut_lineage(sketches(docs, width))
-    points = made.groupBy("print").agg(
+    points = cut_lineage(made.groupBy("print").agg(
         F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")
-    )
+    ))
     rows = points.select(F.col("print").alias("name"), F.explode("keys").alias("key"), F.col("sketch").alias("rest"))
-    near = subtrie_links(rows, SKETCH_BUDGET, 64 * COMPARED_WORDS, direct=True)
-    pairs = cut_lineage(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    return _named(made, points, components(verified(pairs, points, docs, width)), "print").select("doc_id", "component_id")
+    near = cut_lineage(subtrie_links(rows, SKETCH_BUDGET, 64 * COMPARED_WORDS, nearest=True))
+    met = components(near.select("u", "v").where("u <> v").distinct())  # the root of a component is not among its nodes
+    met = cut_lineage(met.unionByName(met.select(F.col("root").alias("node"), "root").distinct()))
+    sets = cut_lineage(shingle_sets(_texts(met.select(F.col("node").alias("print")), points, docs), width))
+    nearest = near.groupBy("u").agg(F.min(F.struct("bits", "near")).alias("best")).select("u", F.col("best.near").alias("v"))
+    first = cut_lineage(verified(nearest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets))
+    known = components(first).withColumnsRenamed({"node": "print", "root": "known"})
+    members = met.withColumnsRenamed({"node": "print", "root": "gid"}).join(known, "print", "left")
+    members = cut_lineage(members.select("print", F.coalesce("known", "print").alias("part"), "gid"))
+    units = open_units(members, part_texts).join(sets, "print").join(points.select("print", "sketch"), "print")
+    more = units.groupBy("gid", "kind", "p", "q").applyInArrow(_compare_unit, "u long, v long")
+    return _named(made, points, components(first.unionByName(more)), "print").select("doc_id", "component_id")
+
+
+def _texts(prints: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
+    """(print, text): one text of each of the ``prints``; only these texts are read again."""
+    named = points.join(prints, "print").select("print", F.col("one.doc_id").alias("__id"), F.col("one.text_hash").alias("__hash"))
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("__h"))
+    return texts.join(named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash"))).dropDuplicates(["print"])
 
 
 def representatives(docs: DataFrame, width: int = 5) -> DataFrame:

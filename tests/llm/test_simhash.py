@@ -132,3 +132,72 @@ def test_representatives_keep_one_of_each_group(documents, odd_docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({r.component_id for r in groups})
     assert kept.columns == documents.columns
     assert S.representatives(odd_docs).where("doc_id is null").count() == 1
+
+
+def exact_groups(sets, least=0.8):
+    """Smallest row of each group connected by pairs of ``least`` similarity or more, over all pairs."""
+    index, label = defaultdict(list), list(range(len(sets)))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, own in enumerate(sets):
+        common = defaultdict(int)
+        for x in own:
+            for j in index[x]:
+                common[j] += 1
+            index[x].append(i)
+        for j, c in common.items():
+            if c / (len(own) + len(sets[j]) - c) >= least:
+                a, b = sorted((find(i), find(j)))
+                label[b] = a
+    return [find(i) for i in range(len(sets))]
+
+
+def test_a_family_of_two_thousand_near_copies(spark):
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    base, rows = [word() for _ in range(150)], []
+    for i in range(2000):  # around the original most are above 0.8, among themselves most are below
+        own = list(base)
+        for at in rng.choice(30, rng.integers(0, 6), replace=False):
+            own[5 * at] = word()
+        rows.append((i, " ".join(own)))
+    want = exact_groups([shingle_set(t) for _, t in rows])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for part_texts in (S.PART_TEXTS, 60):
+        got = {r.doc_id: r.component_id for r in S.near_copy_groups(docs, part_texts=part_texts).collect()}
+        assert np.mean([got[i] == want[i] for i in range(2000)]) > 0.99
+        assert all(want[got[i]] == want[i] for i in range(2000))  # nothing is linked that is not linked exactly
+    assert len(set(want)) > 50
+
+
+def test_units_cover_all_pairs_of_different_parts(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, int(rng.choice([0, 0, 0, 1, 2, 3, 4 + i])), 7) for i in range(60)] + [(100, 100, 8), (101, 101, 8), (102, 100, 9), (103, 100, 9), (104, 100, 9)]
+    part = {p: c for p, c, _ in rows}
+    units = defaultdict(lambda: ([], []))
+    for r in S.open_units(spark.createDataFrame(rows, "print long, part long, gid long"), 7).collect():
+        assert r.gid == 7
+        units[r.kind, r.p, r.q][r.side].append(r.print)
+    met = defaultdict(int)
+    for (kind, p, q), (a, b) in units.items():
+        pairs = [(x, y) for x in a for y in b] if p != q or kind == 0 else [(x, y) for x in a for y in a if x < y]
+        for x, y in pairs:
+            met[min(x, y), max(x, y)] += 1
+    want = {(x, y) for x in range(60) for y in range(x + 1, 60) if part[x] != part[y]}
+    assert want <= set(met) and all(met[k] == 1 for k in want) and max(len(a) + len(b) for a, b in units.values()) < 60
+
+
+def test_candidate_rows_do_not_grow_with_pairs(spark):
+    rng = np.random.default_rng(2)
+    middle = rng.integers(0, 2**63, S.COMPARED_WORDS, dtype=np.int64)
+    rows = []
+    for i in range(600):
+        sketch = middle.copy()
+        sketch[rng.integers(S.COMPARED_WORDS)] ^= np.int64(1) << rng.integers(63)
+        rows += [(i, key, [int(x) for x in sketch]) for key in (1, 2)]
+    near = S.subtrie_links(spark.createDataFrame(rows, "name long, key long, rest array<long>"), S.SKETCH_BUDGET, 64 * S.COMPARED_WORDS, nearest=True)
+    assert near.count() == len(rows) and near.where("near = u").count() == 0
