@@ -1,8 +1,10 @@
 """Groups of spelling variants: each word is led to the most frequent of the words one edit away from it.
 
 Letters are hashed to a few symbols. Two words one edit apart have reduced words that are equal or one edit apart, so the
-full one-edit neighbourhood of each reduced word, joined to the reduced vocabulary, finds every near pair, and the
-original strings are compared after that. Reduced words meet by a rolling 64-bit key; equal ones have equal keys.
+one-edit neighbourhoods of the reduced words, joined to the reduced vocabulary, find every near pair, and the original
+strings are compared after that. Of a neighbourhood, which is symmetric, the half is made that finds each pair from one
+end: deletions (the other word's insertions) and replacements by a greater symbol. Reduced words meet by a rolling 64-bit
+key; equal ones have equal keys.
 """
 
 from __future__ import annotations
@@ -60,7 +62,7 @@ def reduced_keys(words: list[str], around: bool) -> Iterator[tuple[np.ndarray, n
     """Keys of the reduced forms of words of one length, in blocks of (index of the word, key).
 
     A key is the sum of symbol times base to the power of its place, modulo 2 ** 64. With ``around`` the keys of all
-    strings one edit away follow, each string once for a word.
+    strings follow that are one symbol shorter or have one symbol replaced by a greater one, each string once for a word.
     """
     points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
     s = symbols(points).reshape(len(words), -1)
@@ -81,16 +83,13 @@ def reduced_keys(words: list[str], around: bool) -> Iterator[tuple[np.ndarray, n
     changed = np.ones(s.shape, bool)
     changed[:, 1:] = s[:, 1:] != s[:, :-1]  # of a row of equal symbols one is deleted
     yield block(part[:, :-1] + (whole - part[:, 1:]) * np.uint64(_BACK), changed)
-    before = np.zeros((len(words), n + 1), np.uint64)
-    before[:, 1:] = s  # inserting behind an equal symbol is inserting before it
-    for t in range(1, SYMBOLS + 1):
+    for t in range(2, SYMBOLS + 1):
         t = np.uint64(t)
-        yield block(whole + (t - s) * up[:n], s != t)
-        yield block(part + t * up + (whole - part) * np.uint64(_BASE), before != t)
+        yield block(whole + (t - s) * up[:n], s < t)
 
 
 def _reduced(words: DataFrame, around: bool) -> DataFrame:
-    """(id, key), a row for the reduced word or for every member of its one-edit neighbourhood."""
+    """(id, key), a row for the reduced word or also for every member of its neighbourhood."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,11 +112,13 @@ def near_words(words: DataFrame) -> DataFrame:
     Keys travel with a hash of the word. Where hashes of two words are equal, both are compared, so nothing is mistaken.
     """
     named = words.select(F.xxhash64("word").alias("id"), "word", "n")
-    own = _reduced(named, around=False).select(F.col("id").alias("near_id"), "key")
-    met = _reduced(named, around=True).join(own, "key").select("id", "near_id").distinct()
-    other = named.select(F.col("id").alias("near_id"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-    both = met.join(named.select("id", "word"), "id").join(other, "near_id")
-    return both.where(F.levenshtein("word", "near", 1) == 1).select("word", "near", "near_n")
+    own = _reduced(named, around=False).withColumnRenamed("id", "other")
+    met = _reduced(named, around=True).join(own, "key").select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
+    one, two = (named.select(F.col("id").alias(name), F.struct("word", "n").alias(f"{name}_word")) for name in ("id", "other"))
+    both = met.join(one, "id").join(two, "other").where(F.levenshtein("id_word.word", "other_word.word", 1) == 1)
+    there, back = F.struct(F.col("id_word").alias("a"), F.col("other_word").alias("b")), F.struct(F.col("other_word").alias("a"), F.col("id_word").alias("b"))
+    ways = both.select(F.explode(F.when(F.col("id") == F.col("other"), F.array(there)).otherwise(F.array(there, back))).alias("w"))
+    return ways.select(F.col("w.a.word").alias("word"), F.col("w.b.word").alias("near"), F.col("w.b.n").alias("near_n"))
 
 
 def roots(forms: DataFrame) -> DataFrame:
