@@ -29,6 +29,8 @@ UNIT = 1_000_000_000
 BLOCK_TERMS = 1 << 16
 #: Entries that a task adds up before it passes them on.
 HELD = 200_000
+#: Stretches that the terms of a language are cut into where they meet the figures of their language.
+SALTS = 64
 #: Elements of the shorter array between two searches from the start.
 STRIDE = 64
 
@@ -136,7 +138,9 @@ class Audit:
         kept = cut_lineage(kept.where(F.col("docs") >= least_docs).drop("docs"))
         langs = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
         blocks = F.ceil(F.col("kept") / F.lit(block_terms))
-        placed = kept.join(langs, "lang").withColumn("block", F.pmod(F.xxhash64("term"), blocks))
+        salted = kept.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int"))  # one language may have most terms
+        langs = langs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        placed = salted.join(langs, ["lang", "salt"]).withColumn("block", F.pmod(F.xxhash64("term", F.lit(1)), blocks))
         number = F.row_number().over(Window.partitionBy("lang", "block").orderBy("term"))
         self.terms = cut_lineage(placed.select("lang", "term", "block", number.alias("id"), "lang_n", "lang_total", "kept"))
         # one row per term and group, and one row per group with its total
@@ -155,15 +159,14 @@ class Audit:
     def pairs(self) -> DataFrame:
         """(lang, source, item, value) for both orders of every pair of sources of a language."""
         arrays = cut_lineage(self.arrays())
-        other = self.groups.select("lang", F.col("source").alias("other"))
-        low = arrays.join(other, "lang").where("source < other").withColumnsRenamed({"source": "low", "other": "high"})
-        high = arrays.toDF(*arrays.columns).join(other.toDF(*other.columns), "lang").where("source > other").withColumnsRenamed({"source": "high", "other": "low"})
+        other = arrays.select("lang", "block", F.col("source").alias("other"))
+        low = arrays.join(other, ["lang", "block"]).where("source < other").withColumnsRenamed({"source": "low", "other": "high"})
+        high = arrays.toDF(*arrays.columns).join(other.toDF(*other.columns), ["lang", "block"]).where("source > other").withColumnsRenamed({"source": "high", "other": "low"})
         keys = ["lang", "low", "high", "block"]
-        empty = np.zeros(0, np.int64)
 
         def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-            a, b = left.to_pylist()[0], right.to_pylist()[0]
-            held = [(np.array(x["ids"], np.int64), np.array(x["ns"], np.int64)) if x["ids"] else (empty, empty) for x in (a, b)]
+            a, b = (x.drop_columns(["ids", "ns"]).to_pylist()[0] for x in (left, right))
+            held = [tuple(x.column(c).combine_chunks().flatten().to_numpy() for c in ("ids", "ns")) for x in (left, right)]
             value = merged(*held, (a["total"], b["total"]), a["kept"], a["terms"])
             return pa.table({"lang": [a["lang"]], "low": [a["low"]], "high": [a["high"]], "value": pa.array([value], pa.int64())})
 
@@ -172,7 +175,8 @@ class Audit:
         both = sums.select("lang", F.explode(F.array(F.struct(F.col("low").alias("source"), F.col("high").alias("item")), F.struct(F.col("high").alias("source"), F.col("low").alias("item")))).alias("p"), "value")
         both = both.select("lang", "p.source", "p.item", "value")
         # languages without kept terms have pairs, too
-        asked = self.groups.select("lang", "source").join(other, "lang").where("source <> other").withColumnRenamed("other", "item")
+        item = self.groups.select("lang", F.col("source").alias("item"))
+        asked = self.groups.select("lang", "source").join(item, "lang").where("source <> item")
         return asked.join(both, ["lang", "source", "item"], "left").select("lang", "source", "item", F.coalesce("value", F.lit(0).cast("long")).alias("value"))
 
     def marked(self) -> DataFrame:
