@@ -12,7 +12,8 @@ no padding.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+import struct
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,8 +28,8 @@ END_ID = 1
 #: Examples that wait in a task at the most, and their tokens (one example may have more).
 POOL = 512
 POOL_TOKENS = 2_000_000
-#: Pre-tokens, and stretches between blanks, whose ids a task keeps.
-CACHE = 300_000
+#: Pre-tokens whose ids a task keeps.
+CACHE = 400_000
 _LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 #: The pre-token pattern of the vocabulary for texts up to U+024F, where ``re`` can spell out its letters and numbers.
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
@@ -44,56 +45,38 @@ class Limits:
     loss: int = 2048
 
 
-class Encoder:
-    """Token ids of texts as little-endian bytes, each pre-token encoded by the vocabulary's own model when first met.
+class Encoder(dict):
+    """Ids of pre-tokens as little-endian bytes, each encoded by the vocabulary's own model when first met.
 
-    Merges never cross pre-tokens, so their ids in a row are those of the text. A single blank belongs to the pre-token
-    behind it, so where no two blanks meet and none ends the text, stretches between blanks are looked up whole. A text
-    with characters beyond U+024F is encoded as a whole. The strings of special tokens are ordinary text.
+    Merges never cross pre-tokens, so their ids in a row are those of the text. A text with characters beyond U+024F is
+    encoded as a whole. The strings of special tokens are ordinary text.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY):
         import public_tokenizers
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self.tokenizer.encode_special_tokens = True
-        model = self.tokenizer.model
+        self.model = self.tokenizer.model
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
-        letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
-
-        def encoded(piece: str) -> bytes:
-            shown = piece.encode().decode("latin-1").translate(letters)
-            return np.array([t.id for t in model.tokenize(shown)], "<u4").tobytes()
-
-        self.pieces = _Known(encoded)
-        self.stretches = _Known(lambda stretch: self._cut(" " + stretch))
+        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
-    def _cut(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        plain = piece.isascii() and piece.isprintable()
+        shown = piece.replace(" ", self.letters[32]) if plain else piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        self[piece] = packed_ids = struct.pack(f"<{len(ids)}I", *ids)
+        return packed_ids
 
     def ids(self, text: str) -> bytes:
         if _BEYOND.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if "  " in text or text.endswith(" "):
-            return self._cut(text)
-        first, *others = text.split(" ")
-        return self._cut(first) + b"".join(map(self.stretches.__getitem__, others))
-
-
-class _Known(dict):
-    """Results of a function, made when first asked for; all are forgotten when there are too many."""
-
-    def __init__(self, make: Callable[[str], bytes]):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        self[key] = made = self.make(key)
-        return made
+        return b"".join(map(self.__getitem__, _PIECE.findall(text)))
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
