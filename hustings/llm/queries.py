@@ -24,7 +24,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return source_mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op4_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_source_mix": r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS turn
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS turn
   FROM documents),
 listed AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS nth
@@ -105,34 +105,35 @@ targets AS (
          least(max(own_level) OVER () * weight, cap::DOUBLE) AS target
   FROM levels),
 lines AS (
-  SELECT *, CAST(round(target) AS BIGINT) AS words, sum(CAST(round(target) AS BIGINT)) OVER (ORDER BY nth) AS upto,
-         sum(CAST(round(target) AS BIGINT)) OVER () AS all_words,
-         greatest(1, CAST(floor(sum(source_size) OVER () / 131072::DOUBLE) AS BIGINT)) AS block_words
-  FROM targets),
-points AS (
-  SELECT slot, ((slot * 2654435769) & 4294967295) / 4294967296::DOUBLE AS at
-  FROM (SELECT unnest(range(CAST(ceil(max(all_words) / max(block_words)::DOUBLE) AS BIGINT))) AS slot FROM lines)),
-chosen AS (
-  SELECT l.source, l.source_size, l.block_words,
-         row_number() OVER (PARTITION BY l.nth ORDER BY slot) - 1 AS nth_slot
-  FROM points p JOIN lines l ON p.at >= (l.upto - l.words) / l.all_words::DOUBLE AND p.at < l.upto / l.all_words::DOUBLE
-  WHERE l.words > 0),
-blocks AS (
-  SELECT source, block_words, source_size, nth_slot, CAST(ceil(source_size / block_words::DOUBLE) AS BIGINT) AS n FROM chosen),
-uses AS (
-  SELECT source, nth_slot % n AS block, count(*) AS uses FROM blocks WHERE nth_slot < 2 * n GROUP BY ALL),
+  SELECT *, greatest(1, words // 256) AS block_words, CAST(ceil(source_size / greatest(1, words // 256)::DOUBLE) AS BIGINT) AS n,
+         words // greatest(source_size, 1) AS passes
+  FROM (SELECT *, CAST(round(target) AS BIGINT) AS words FROM targets)),
+used AS (
+  SELECT *, passes * n + least(n, CAST(floor((words - passes * source_size) / block_words::DOUBLE + 0.5) AS BIGINT)) AS uses FROM lines),
+placed AS (
+  SELECT *, coalesce(sum(uses) OVER (ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first,
+         greatest(length(bin(CAST(sum(uses) OVER () - 1 AS BIGINT))), 1) AS bits
+  FROM used),
+numbered AS (SELECT *, unnest(range(CAST(first AS BIGINT), CAST(first + uses AS BIGINT))) AS number FROM placed WHERE uses > 0),
+slots AS (
+  SELECT source, nth, n, list_reduce(list_concat([0::BIGINT], list_transform(range(CAST(bits AS BIGINT)), lambda b: (number >> CAST(b AS BIGINT)) & 1)),
+           lambda whole, bit: 2 * whole + bit) AS slot
+  FROM numbered),
+ranked AS (SELECT source, nth, slot, (row_number() OVER (PARTITION BY nth ORDER BY slot) - 1) % n AS block FROM slots),
+takes AS (SELECT source, block, count(*) AS times, min(slot) AS slot FROM ranked GROUP BY source, nth, block),
 line AS (
-  SELECT s.doc_id, s.source, s.size, l.source_size, l.target, l.block_words,
+  SELECT row_number() OVER () AS row, s.doc_id, s.source, s.size, l.source_size, l.target, l.block_words,
          sum(s.size) OVER (PARTITION BY s.source ORDER BY s.turn, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size AS b
-  FROM sized s JOIN lines l ON s.source IS NOT DISTINCT FROM l.source),
+  FROM sized s JOIN placed l ON s.source IS NOT DISTINCT FROM l.source),
 pieces AS (
   SELECT *, unnest(CASE WHEN size > 0 THEN range(CAST(b // block_words AS BIGINT), CAST((b + size - 1) // block_words + 1 AS BIGINT)) ELSE [-1] END) AS block
   FROM line)
 SELECT p.doc_id, p.size, p.source_size, p.target,
        CAST(sum(CASE WHEN p.size > 0 THEN least(p.b + p.size, (p.block + 1) * p.block_words) - greatest(p.b, p.block * p.block_words) ELSE 0 END
-                * coalesce(u.uses, 0)) AS BIGINT) AS taken
-FROM pieces p LEFT JOIN uses u ON p.source IS NOT DISTINCT FROM u.source AND p.block = u.block
-GROUP BY p.doc_id, p.source, p.size, p.source_size, p.target, p.b
+                * coalesce(t.times, 0)) AS BIGINT) AS taken,
+       CAST(min(t.slot) AS BIGINT) AS first_slot
+FROM pieces p LEFT JOIN takes t ON p.source IS NOT DISTINCT FROM t.source AND p.block = t.block
+GROUP BY p.row, p.doc_id, p.size, p.source_size, p.target
 """,
     "op9_speaker_views": r"""
 WITH said AS (
