@@ -113,9 +113,9 @@ def near_words(words: DataFrame) -> DataFrame:
     """
     named = words.select(F.xxhash64("word").alias("id"), "word", "n")
     own = _reduced(named, around=False).withColumnRenamed("id", "other")
-    met = _reduced(named, around=True).join(own, "key").select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
+    met = _reduced(named, around=True).join(own, "key").select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"))
     one, two = (named.select(F.col("id").alias(name), F.struct("word", "n").alias(f"{name}_word")) for name in ("id", "other"))
-    both = met.join(one, "id").join(two, "other").where(F.levenshtein("id_word.word", "other_word.word", 1) == 1)
+    both = met.join(one, "id").join(two, "other").where(F.levenshtein("id_word.word", "other_word.word", 1) == 1).distinct()
     there, back = F.struct(F.col("id_word").alias("a"), F.col("other_word").alias("b")), F.struct(F.col("other_word").alias("a"), F.col("id_word").alias("b"))
     ways = both.select(F.explode(F.when(F.col("id") == F.col("other"), F.array(there)).otherwise(F.array(there, back))).alias("w"))
     return ways.select(F.col("w.a.word").alias("word"), F.col("w.b.word").alias("near"), F.col("w.b.n").alias("near_n"))
