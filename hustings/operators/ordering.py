@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,32 +28,32 @@ def top_two_margin(df: DataFrame, keys: list[str], value: str, tie: str, out: st
     )
 
 
-def value_buckets(df: DataFrame, column: str, buckets: int, out: str = "_bucket") -> DataFrame:
-    """Split the range of ``column`` at approximate quantiles; a bounded list of cut points reaches the driver.
+def ordered_ranges(df: DataFrame, order: list[Column], buckets: int | None = None, out: str = "_bucket", place: str = "_place") -> DataFrame:
+    """Rows dealt to ranges that follow each other in ``order``, numbered from 0 within their range.
 
-    NULLs, which sort first, are the bucket before all others.
+    The cuts come from a sample and are composite: rows with equal first values split by the later ones, so one value may
+    fill many ranges. One shuffle; the numbers are the rows' places in their sorted partition, and the frame is written to
+    the shared folder since a second sample could cut elsewhere. Without ``buckets`` there is a range for each shuffle
+    partition.
     """
-    at = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.approxQuantile(column, at, 0.2 / buckets))) if at else []
-    if len(cuts) < 1:
-        return df.withColumn(out, F.when(F.col(column).isNull(), F.lit(-1.0)).otherwise(F.lit(0.0)))
-    splits = [float("-inf"), *cuts, float("inf")]
-    cut = Bucketizer(splits=splits, inputCol=column, outputCol=out, handleInvalid="keep").transform(df)
-    return cut.withColumn(out, F.when(F.col(column).isNull(), F.lit(-1.0)).otherwise(F.col(out)))
+    count = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    row = F.monotonically_increasing_id()  # partition number and place in the partition
+    placed = df.repartitionByRange(count, *order).sortWithinPartitions(*order).withColumn("_row", row)
+    ids = {out: F.shiftright("_row", 33).cast("int"), place: F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))}
+    return cut_lineage(placed.withColumns(ids).drop("_row"))
 
 
 def global_rank(
-    df: DataFrame, by: str, ties: list[str], out: str = "rank", buckets: int = 256
+    df: DataFrame, by: str, ties: list[str], out: str = "rank", buckets: int | None = None
 ) -> DataFrame:
     """WN9: row number over the whole frame, ascending by ``by`` (NULL first) then ``ties``.
 
-    Rows are numbered inside value buckets and shifted by the bucket's offset, so no task sees all rows.
+    Rows are numbered inside ranges and shifted by the range's offset, so no task sees all rows, whatever the scores.
     """
-    marked = value_buckets(cut_lineage(df), by, buckets)
-    offsets = _offsets(marked, {"_offset": F.count("*")})
-    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(by, *ties))
-    ranked = marked.withColumn("_local", local).join(offsets, "_bucket")
-    return ranked.withColumn(out, F.col("_local") + F.col("_offset")).drop("_local", "_offset", "_bucket")
+    ranged = ordered_ranges(cut_lineage(df), [F.col(by), *map(F.col, ties)], buckets)
+    offsets = _offsets(ranged, {"_offset": F.count("*")})
+    ranked = ranged.join(offsets, "_bucket")
+    return ranked.withColumn(out, F.col("_place") + F.col("_offset") + 1).drop("_place", "_offset", "_bucket")
 
 
 def _offsets(marked: DataFrame, totals: dict[str, Column]) -> DataFrame:
@@ -65,15 +64,15 @@ def _offsets(marked: DataFrame, totals: dict[str, Column]) -> DataFrame:
 
 
 def running_total_before(
-    df: DataFrame, by: str, total: str, out: str, buckets: int = 256
+    df: DataFrame, by: str, total: str, out: str, buckets: int | None = None
 ) -> DataFrame:
     """Sum of ``total`` over all rows with a smaller ``by`` (``by`` unique); used by the rank statistic ML9."""
-    marked = value_buckets(cut_lineage(df), by, buckets)
-    offsets = _offsets(marked, {"_offset": F.sum(total)})
-    w = Window.partitionBy("_bucket").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    summed = marked.withColumn("_local", F.coalesce(F.sum(total).over(w), F.lit(0)))
+    ranged = ordered_ranges(cut_lineage(df), [F.col(by)], buckets)
+    offsets = _offsets(ranged, {"_offset": F.sum(total)})
+    w = Window.partitionBy("_bucket").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.withColumn("_local", F.coalesce(F.sum(total).over(w), F.lit(0)))
     return summed.join(offsets, "_bucket").withColumn(out, F.col("_local") + F.col("_offset")).drop(
-        "_local", "_offset", "_bucket"
+        "_local", "_offset", "_bucket", "_place"
     )
 
 

@@ -317,9 +317,9 @@ def knn_similar(spark, sf):
 
 @query("ML15 JN12", sql("vectors", NEAR))
 def knn_similar_by_grid(spark, sf):
-    """The cell-by-cell search used beyond the broadcast bound, forced here so that the gate covers it."""
+    """The same search over boxes of two points, so that the gate covers many boxes and rounds of visits."""
     vectors = settled(NN.election_vectors(FR.rolling(spark, sf), FR.truth(spark, sf), A.ORDER))
-    return rounded(NN.nearest_neighbours(vectors, CYCLE, k=3, max_points=0))
+    return rounded(NN.nearest_neighbours(vectors, CYCLE, k=3, box_points=2))
 
 
 # ---- quality ---------------------------------------------------------------------------------------------------

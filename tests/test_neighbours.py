@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from hustings.operators.neighbours import VECTOR, nearest_neighbours
+from hustings.operators.neighbours import VECTOR, _box_search, median_cuts, nearest_neighbours
 
 # Published vectors and their three nearest cycles with distances.
 VECTORS = """australia,2010,51.24,2.785253061282693,0.23999999999999488,65
@@ -37,11 +37,11 @@ NEAREST = {
 KEYS = ["country", "election_year"]
 
 
-@pytest.mark.parametrize("max_points", [20_000, 0])
-def test_published_pairs(spark, max_points):
+@pytest.mark.parametrize("box_points", [None, 1, 8])
+def test_published_pairs(spark, box_points):
     data = [(c, int(y), *map(float, v)) for c, y, *v in (line.split(",") for line in VECTORS.splitlines())]
     df = spark.createDataFrame(data, "country string, election_year int, " + ", ".join(f"{c} double" for c in VECTOR))
-    out = nearest_neighbours(df, KEYS, k=3, max_points=max_points).collect()
+    out = nearest_neighbours(df, KEYS, k=3, box_points=box_points).collect()
     assert len(out) == 66
     for key, want in NEAREST.items():
         got = sorted((r.distance, r.similar_country, r.similar_election_year) for r in out if (r.country, r.election_year) == key)
@@ -49,13 +49,13 @@ def test_published_pairs(spark, max_points):
             assert (c, y) == (wc, wy) and abs(d - wd) < 1e-9
 
 
-@pytest.mark.parametrize("max_points", [20_000, 0])
-def test_copies_and_outliers(spark, max_points):
+@pytest.mark.parametrize("box_points", [None, 1, 8])
+def test_copies_and_outliers(spark, box_points):
     rnd = random.Random(2)
     data = [("c", i, 1.0, 2.0, 7.0) for i in range(60)]  # a third of all rows are copies of one vector
     data += [("c", 100 + i, rnd.gauss(0, 1), rnd.gauss(0, 1), 7.0) for i in range(118)] + [("c", 900, 80.0, -60.0, 7.0), ("c", 901, 81.0, -60.0, 7.0)]
     df = spark.createDataFrame(data, "country string, election_year int, a double, b double, const double")
-    out = nearest_neighbours(df, KEYS, ["a", "b", "const"], k=3, max_points=max_points).collect()
+    out = nearest_neighbours(df, KEYS, ["a", "b", "const"], k=3, box_points=box_points).collect()
     v = np.array([r[2:] for r in data])
     sd = v.std(axis=0)
     sd[sd == 0] = 1
@@ -71,3 +71,42 @@ def test_few_rows(spark):
     df = spark.createDataFrame([("a", 1, 1.0), ("b", 1, 2.0)], "country string, election_year int, x double")
     assert len(nearest_neighbours(df, KEYS, ["x"], k=3).collect()) == 2
     assert nearest_neighbours(df.limit(1), KEYS, ["x"], k=3).collect() == []
+
+
+@pytest.mark.parametrize("box_points", [None, 1, 16])
+def test_equal_distances_on_a_cube_go_to_the_smaller_number(spark, box_points):
+    names = [f"x{i}" for i in range(7)]  # each corner has seven nearest others
+    data = [(37 * n % 128, *(1.0 if n >> i & 1 else -1.0 for i in range(7))) for n in range(128)]
+    points = spark.createDataFrame(data, "pid long, " + ", ".join(f"{c} double" for c in names))
+    found = {}
+    for r in _box_search(points, names, 4, box_points).collect():
+        found.setdefault(r.pid, []).append((r.distance, r._other))
+    for n in range(128):
+        pid = 37 * n % 128
+        assert sorted(found[pid]) == [(0.0, pid)] + [(2.0, p) for p in sorted(37 * (n ^ 1 << i) % 128 for i in range(7))[:3]]
+
+
+def test_boxes_hold_about_as_many_points_and_cover_all():
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(4096, 3)) * [1, 5, 0.1]
+    dim, value = median_cuts(points, 6)
+    node = np.ones(len(points), int)
+    for _ in range(6):
+        node = 2 * node + (points[np.arange(len(points)), dim[node]] > value[node])
+    assert np.bincount(node - 64, minlength=64).min() >= 60 and np.bincount(node - 64).max() <= 68
+    dim, value = median_cuts(np.ones((50, 2)), 3)  # nothing to cut
+    assert np.isinf(value).all()
+
+
+def test_many_points_match_brute_force(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(2500, 3)), 0.01 * rng.normal(size=(2500, 3)) + 4, rng.uniform(-50, 50, (40, 3))])
+    df = spark.createDataFrame([("c", i, *map(float, v)) for i, v in enumerate(x)], "country string, election_year int, a double, b double, d double")
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    got = {}
+    for r in nearest_neighbours(df, KEYS, ["a", "b", "d"], k=4).collect():
+        got.setdefault(r.election_year, []).append((r.distance, r.similar_election_year))
+    for i in range(0, len(z), 7):
+        dist = np.sqrt(((z - z[i]) ** 2).sum(axis=1))
+        dist[i] = np.inf
+        assert sorted(j for _, j in got[i]) == sorted(np.argsort(dist)[:4].tolist())

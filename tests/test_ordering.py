@@ -24,6 +24,15 @@ def test_global_rank_of_nulls_only_and_of_nothing(spark):
     assert O.global_rank(df.where("false"), "v", ["id"]).count() == 0
 
 
+def test_one_score_ranks_in_many_ranges(spark):
+    df = spark.range(20_000).selectExpr("1.5 AS v", "id * 7919 % 20011 AS id")
+    ranged = O.ordered_ranges(df, [F.col("v"), F.col("id")], 16)
+    sizes = [r["count"] for r in ranged.groupBy("_bucket").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 3000
+    ids = [r.id for r in O.global_rank(df, "v", ["id"], buckets=16).orderBy("rank").collect()]
+    assert ids == sorted(ids)
+
+
 @pytest.mark.parametrize("buckets", [1, 16])
 def test_running_total_counts_null_first(spark, buckets):
     data = [(None, 4)] + [(i * 0.5, i % 7) for i in range(200)]
