@@ -160,19 +160,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     give no rows; other columns are ignored. Items are compared in passes of bounded size, so a large benchmark takes
     several passes over the documents rather than more memory.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    passes = max(1, -(-n // ITEMS_PER_PASS), -(-size // BYTES_PER_PASS))
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
-    for turn in range(passes):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == turn).orderBy("item_id", "text").collect()
-        shipped = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+    for shipped in _passes(benchmark):
         part = picked.mapInArrow(_matcher(shipped, similarity, width), "doc_id long, item_id long, similarity double, first_word long, n_words long")
         found = part if found is None else found.unionByName(part)
     return found
 
 
+def _passes(benchmark: DataFrame) -> Iterator:
+    """The items as broadcast lists of bounded size, one for each pass over the documents."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    passes = max(1, -(-n // ITEMS_PER_PASS), -(-size // BYTES_PER_PASS))
+    for turn in range(passes):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == turn).orderBy("item_id", "text").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+
+
 def _matcher(shipped, similarity: float, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(shipped.value, width)
@@ -191,6 +196,22 @@ def _matcher(shipped, similarity: float, width: int):
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item; columns are unchanged and a null doc_id stays."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+    """The documents that hold no benchmark item. Each row is judged by its own text, whatever its id; columns are unchanged."""
+    for shipped in _passes(benchmark):
+        docs = docs.mapInArrow(_keeper(shipped, docs.columns.index("text"), similarity, width), docs.schema)
+    return docs
+
+
+def _keeper(shipped, at: int, similarity: float, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(shipped.value, width)
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            data, offsets = text_bytes(batch.column(at))
+            for a, b in slices(offsets):
+                for t, *_ in _leaks(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], items, similarity):
+                    keep[a + t] = False
+            yield batch.filter(pa.array(keep))
+
+    return run

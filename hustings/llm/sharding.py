@@ -1,7 +1,8 @@
 """Shards over fixed virtual slots.
 
-A record's id hashes into one of a few thousand virtual slots, for good. The bytes of each slot are added up and a map
-from slot to shard is kept in versions; rebalancing writes a new version that moves as few slots as it can.
+A record hashes into one of a few thousand virtual slots, for good: its id and its text decide, so that records without an
+id, or of one id, spread as well, and of equal records the number among them. The bytes of each slot are added up and a
+map from slot to shard is kept in versions; rebalancing writes a new version that moves as few slots as it can.
 """
 
 from __future__ import annotations
@@ -29,9 +30,20 @@ def record_bytes(text: str | Column = "text") -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def slot_bytes(records: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """(virtual_slot, bytes), a row per slot that has records; summed before the shuffle."""
-    return records.groupBy(virtual_slot(id_col, slots=slots).alias("virtual_slot")).agg(F.sum(record_bytes(text_col)).alias("bytes"))
+def slotted(records: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
+    """(doc_id, size, text_crc32, virtual_slot) of every record. Equal records are counted first and then numbered."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = records.select(
+        F.col(id_col).alias("doc_id"), record_bytes(text_col).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("mark"),
+    )
+    equal = rows.groupBy("doc_id", "size", "text_crc32", "mark").agg(F.count("*").alias("equal"))
+    numbered = equal.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("equal") - 1)))
+    return numbered.select("doc_id", "size", "text_crc32", virtual_slot("doc_id", "mark", "copy", slots=slots).alias("virtual_slot"))
+
+
+def slot_bytes(placed: DataFrame) -> DataFrame:
+    """(virtual_slot, bytes) of ``slotted`` rows, a row per slot that has records; summed before the shuffle."""
+    return placed.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"))
 
 
 def spread(sizes: dict[int, int], shards: int) -> dict[int, int]:
@@ -112,26 +124,21 @@ def read_map(spark: SparkSession, folder: str, version: int | None = None) -> Da
     return maps.where(F.col("version") == version).select("version", "virtual_slot", "bytes", "shard")
 
 
-def place(records: DataFrame, shard_map: DataFrame, id_col: str = "doc_id", slots: int = SLOTS) -> DataFrame:
-    """Records with their virtual_slot and shard. The map is broadcast: it has ``slots`` rows at most."""
-    by_slot = F.broadcast(shard_map.select("virtual_slot", "shard"))
-    return records.withColumn("virtual_slot", virtual_slot(id_col, slots=slots)).join(by_slot, "virtual_slot", "left")
+def place(placed: DataFrame, shard_map: DataFrame) -> DataFrame:
+    """``slotted`` rows with their shard. The map is broadcast: it has a row per slot at most."""
+    return placed.join(F.broadcast(shard_map.select("virtual_slot", "shard")), "virtual_slot", "left")
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """Every row with shard and position: doc_id, size, text_crc32, law, virtual_slot, shard, slot, grown_shard.
 
-    Law ``bytes``: shards have nearly equal bytes. ``slot`` is the row's place in its shard, from 0 without gaps, in the
-    order of virtual slot, id, size and checksum. A null id hashes to a slot as any value; a null text has size 1 and
-    checksum 0. Rows that repeat an id share its shard and get places of their own. An empty table gives no rows.
-    ``grown_shard`` is null, as it belongs to another law. Other columns are ignored.
+    Law ``bytes``: shards have nearly equal bytes, whatever the ids. ``slot`` is the row's place in its shard, from 0
+    without gaps, in the order of virtual slot, id, size and checksum. A null id is a value as any; a null text has size 1
+    and checksum 0. Rows that repeat an id, equal ones too, get slots and places of their own. An empty table gives no
+    rows. ``grown_shard`` is null, as it belongs to another law. Other columns are ignored.
     """
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), record_bytes(text_col).alias("size"),
-        F.crc32(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")).alias("text_crc32"),
-    )
-    shard_map = new_map(slot_bytes(docs, id_col, text_col, slots), shards)
-    placed = place(rows, shard_map, "doc_id", slots).withColumn("one", F.lit(1).cast("long"))
+    rows = slotted(docs, id_col, text_col, slots)
+    placed = place(rows, new_map(slot_bytes(rows), shards)).withColumn("one", F.lit(1).cast("long"))
     numbered = running_before(placed, ["shard"], "virtual_slot", [F.col("doc_id"), F.col("size"), F.col("text_crc32")], "one", "slot")
     return numbered.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "virtual_slot", "shard", "slot",

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -182,6 +182,22 @@ def fit_severity(docs: DataFrame, labels: DataFrame, grade: str = "toxic", per_g
     return OrdinalModel(grades, thresholds, {f: float(w) for f, w in zip(names, weights)})
 
 
+def _scores(model: OrdinalModel) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """Scores a text column: for each text the probabilities of the grades, lowest first, and the most probable grade."""
+    names = list(model.weights)
+    weights = np.array(list(model.weights.values()))
+    wanted, begins = {f: i for i, f in enumerate(names)}, {f[1 : 1 + STEMS[0]] for f in names}
+    grades = np.array(model.grades, float)
+
+    def score(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        sums = np.array([sum(weights[i] * np.log1p(c) for i, c in counts.items()) for counts in _counted(texts, wanted, begins)], float)
+        ends = np.concatenate([np.ones((len(sums), 1)), model.exceed(sums), np.zeros((len(sums), 1))], axis=1)
+        each = ends[:, :-1] - ends[:, 1:]
+        return each, grades[each.argmax(axis=1)]
+
+    return score
+
+
 def severity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """(doc_id, grade, expected_severity, p_above) of every row: the most probable grade, the mean of the grades, and the
     probability of more than the lowest grade.
@@ -189,19 +205,13 @@ def severity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     A null or empty text has no features, so its score is that of a text without any telling word. Rows that repeat a
     doc_id are each scored. Other columns are ignored; an empty table gives no rows.
     """
-    names = list(model.weights)
-    weights = np.array(list(model.weights.values()))
-    wanted, begins = {f: i for i, f in enumerate(names)}, {f[1 : 1 + STEMS[0]] for f in names}
-    grades = np.array(model.grades, float)
+    score, grades = _scores(model), np.array(model.grades, float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = np.array([sum(weights[i] * np.log1p(c) for i, c in counts.items()) for counts in _counted(batch.column(1), wanted, begins)], float)
-            above = model.exceed(score)
-            ends = np.concatenate([np.ones((len(score), 1)), above, np.zeros((len(score), 1))], axis=1)
-            each = ends[:, :-1] - ends[:, 1:]
+            each, grade = score(batch.column(1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(grades[each.argmax(axis=1)].astype(np.int32)), pa.array(each @ grades), pa.array(1 - each[:, 0])],
+                [batch.column(0), pa.array(grade.astype(np.int32)), pa.array(each @ grades), pa.array(1 - each[:, 0])],
                 names=["doc_id", "grade", "expected_severity", "p_above"],
             )
 
@@ -209,6 +219,13 @@ def severity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     return picked.mapInArrow(run, "doc_id long, grade int, expected_severity double, p_above double")
 
 
-def rejected(docs: DataFrame, model: OrdinalModel, least: int = 1) -> DataFrame:
-    """(doc_id) of the documents whose grade is ``least`` or more."""
-    return severity(docs, model).where(F.col("grade") >= least).select("doc_id").distinct()
+def accepted(docs: DataFrame, model: OrdinalModel, least: int = 1) -> DataFrame:
+    """The rows whose grade is below ``least``. Each row is judged by its own text, whatever its id; columns are unchanged."""
+    score, at = _scores(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, grade = score(batch.column(at).cast(pa.string()))
+            yield batch.filter(pa.array(grade < least))
+
+    return docs.mapInArrow(run, docs.schema)

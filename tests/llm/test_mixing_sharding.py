@@ -138,9 +138,16 @@ def test_shards_of_odd_rows(odd_docs, no_docs):
     assert H.shard_documents(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("doc_id, text", [("null", "repeat('x', 200 + id % 50)"), ("null", "'always the same'"), ("7", "concat('text ', id)"), ("if(id % 3 = 0, null, id)", "'same'")])
+def test_null_and_repeated_ids_spread_over_all_shards(spark, doc_id, text):
+    docs = spark.range(20_000).selectExpr(f"cast({doc_id} AS long) AS doc_id", f"{text} AS text")
+    total = check_shards(docs)
+    assert len(total) == 16 and max(total.values()) < 1.02 * min(total.values())
+
+
 def test_map_versions_move_few_slots(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    sizes = H.slot_bytes(docs)
+    sizes = H.slot_bytes(H.slotted(docs))
     folder = str(tmp_path / "maps")
     H.write_map(H.new_map(sizes, 8), folder)
     H.write_map(H.rebalanced(sizes, H.read_map(spark, folder), 9), folder)

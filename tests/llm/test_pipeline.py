@@ -3,6 +3,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline as C
+from pyspark.sql import functions as F
 from hustings.llm import decontamination, simhash_dedup, sharding, source_mixing, toxicity
 
 
@@ -38,3 +39,18 @@ def test_odd_and_empty_tables(spark, kind, request):
     for _, stage in C.STAGES:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
         docs.count()
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    toxic = docs.join(spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1"), "doc_id").select(docs.columns).limit(40)
+    leaking = docs.join(decontamination.leaks(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).select("doc_id").distinct(), "doc_id").select(docs.columns).limit(40)
+    clean = docs.where("doc_id < 300").withColumn("doc_id", F.lit(5).cast("long"))
+    for bad, stage in ((toxic, C.drop_toxic), (leaking, C.drop_benchmark)):
+        kept = stage(spark, docs, sf)
+        for given in (None, 5):  # no id, and the id that clean rows share
+            rows = bad.withColumn("doc_id", F.lit(given).cast("long")).unionByName(clean).unionByName(docs)
+            left = stage(spark, rows, sf).where(F.col("doc_id").eqNullSafe(F.lit(given))).count()
+            want = kept.where("doc_id < 300").count() if given else 0
+            assert want - 1 <= left <= want + 1 + 0.05 * bad.count()
