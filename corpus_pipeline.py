@@ -15,9 +15,9 @@ from hustings.session import scratch_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose most probable severity grade is the lowest; the model is fitted on ``labels``."""
+    """Documents whose most probable severity grade is the lowest, each judged by its own text; the model is fitted on ``labels``."""
     model = toxicity.fit_severity(docs, table(spark, sf_dir, "labels"))
-    return docs.join(toxicity.rejected(docs, model), "doc_id", "left_anti").select(*docs.columns)
+    return toxicity.accepted(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +26,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of ``benchmark``."""
-    return decontamination.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    """Documents that hold no item of ``benchmark``, each judged by its own text."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over ``documents``; every stage is written to the shared folder before the next reads it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_path(spark, f"corpus-{name}")
