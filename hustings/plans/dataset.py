@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import lenient_year
 from ..functions.text import is_marker_row
 from ..operators.joins import common_keys, many_to_one, one_to_one, past_cutoff, split_at_cutoff
-from ..operators.quality import QualityError, require_empty, require_unique
+from ..operators.gates import validate_dataset  # noqa: F401  part of this module's interface
+from ..operators.quality import require_unique
 from ..operators.rolling import rolling_features
 from ..schemas import ENTITY_CYCLE, SERIES_KEYS
 
@@ -155,18 +156,6 @@ def model_dataset(
     return one_to_one(feature_block(before, order, on_empty=on_empty), training_targets(truth, splits), SERIES_KEYS)
 
 
-def validate_dataset(dataset: DataFrame, splits: DataFrame) -> None:
-    """QC1-QC4 as gates."""
-    from ..operators.quality import after_cutoff, uncovered, wrong_winner_counts
-
-    if dataset.isEmpty():
-        raise QualityError("the modelling dataset is empty")
-    require_unique(dataset, SERIES_KEYS, "model dataset")
-    require_empty(after_cutoff(dataset), "observations past the cutoff remain")
-    require_empty(uncovered(splits, dataset), "no model rows for these cycles")
-    require_empty(wrong_winner_counts(dataset), "expected exactly one winner per cycle")
-
-
 def model_audit(dated: DataFrame, dataset: DataFrame) -> DataFrame:
     """AG13: source rows and removed rows next to model rows, winners and poll dates."""
     source = dated.groupBy(*ENTITY_CYCLE).agg(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,27 @@ def _rolling(polls: DataFrame, cutoffs: DataFrame) -> DataFrame:
     return D.build_rolling(polls, cutoffs, A.ORDER, exclude_markers="none", strict_cutoff=False)
 
 
+@dataclass(frozen=True)
+class Campaign:
+    """Frames that the modelling table is made of; the rolling rows are stored, the others have a row per cycle or series."""
+
+    rolling: DataFrame
+    truth: DataFrame
+    cutoffs: DataFrame
+    splits: DataFrame
+
+
+def campaign(spark: SparkSession, sf: str) -> Campaign:
+    """Polls are read once into the shared folder, then rolled once; all that follows reads the rolled rows."""
+    polls = settled(A.polls(spark, sf).drop("date_raw", "source_table", "pollster"))
+    cutoffs, truth_ = settled(A.election_dates(polls)), settled(A.actuals(polls))
+    return Campaign(settled(_rolling(polls, cutoffs)), truth_, cutoffs, D.chronological_split(cutoffs))
+
+
+def campaign_dataset(c: Campaign) -> DataFrame:
+    return D.model_dataset(c.rolling, c.truth, c.cutoffs, c.splits, A.ORDER, on_empty="null")
+
+
 def dataset(spark: SparkSession, sf: str) -> DataFrame:
     polls = A.polls(spark, sf)
     cutoffs = A.election_dates(polls)

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as AG
 from ..operators import joins as JN
 from ..operators import models as M
+from ..operators import gates as GT
 from ..operators import neighbours as NN
 from ..operators import ordering as WN
 from ..operators import quality as QC
 from ..operators import reshape as RS
 from ..plans import dataset as D
+from ..session import scratch_path
 from ..sizing import settled
 from ..sources import adapter as A
 from . import frames as FR
@@ -360,3 +362,18 @@ def dq_totals(spark, sf):
 @query("QC8", sql("errors", "SELECT round(max(abs(abs(signed_error) - abs_error)), 6) AS max_gap FROM errors"))
 def dq_error_consistency(spark, sf):
     return rounded(QC.error_consistency(FR.errors(spark, sf), "signed_error", "abs_error"))
+
+
+@query("QC1 QC2 QC3 QC4 QC5 QC6 QC7", sql("dataset splits", """SELECT figure, CAST(value AS BIGINT) AS value FROM (
+  SELECT UNNEST([{'figure': 'rows', 'value': count(*)}, {'figure': 'cycles', 'value': count(DISTINCT (country, election_year))},
+    {'figure': 'repeated keys', 'value': count(*) - count(DISTINCT (country, election_year, party))},
+    {'figure': 'cycles without one winner', 'value': (SELECT count(*) FROM (SELECT 1 FROM dataset GROUP BY country, election_year HAVING sum(is_winner) <> 1))},
+    {'figure': 'past the cutoff', 'value': count(*) FILTER (last_poll_date > election_date)},
+    {'figure': 'covered cycles', 'value': (SELECT count(*) FROM splits s WHERE EXISTS (SELECT 1 FROM dataset d WHERE d.country = s.country AND d.election_year = s.election_year))},
+    {'figure': 'missing recent_30d_mean', 'value': count(*) FILTER (recent_30d_mean IS NULL)}, {'figure': 'infinite recent_30d_mean', 'value': 0},
+    {'figure': 'missing poll_std', 'value': count(*) FILTER (poll_std IS NULL)}, {'figure': 'infinite poll_std', 'value': 0}], recursive := true) FROM dataset)"""))
+def stored_dataset_figures(spark, sf):
+    """The modelling table stored with all its gates in one job; the figures were counted while it was written."""
+    c = FR.campaign(spark, sf)
+    figures = GT.store_dataset(FR.campaign_dataset(c), c.splits, scratch_path(spark, "dataset"), ["recent_30d_mean", "poll_std"])
+    return spark.createDataFrame(list(figures.items()), "figure string, value long")

@@ -10,6 +10,7 @@ from ..operators import ordering as WN
 from ..operators import reshape as RS
 from ..plans import marts as P
 from ..session import scratch_path
+from ..sizing import settled
 from ..sources import adapter as A
 from ..sources import files, sinks
 from . import frames as FR
@@ -65,8 +66,10 @@ def country_performance(spark, sf):
   LEFT JOIN (SELECT * FROM dataset WHERE party <> 'RO') d ON r.country = d.country AND r.election_year = d.election_year AND r.party = d.party
   JOIN metadata m ON r.country = m.country"""))
 def trajectory_table(spark, sf):
-    df = FR.settled_dataset(spark, sf).where("party <> 'RO'")
-    return rounded(P.trajectories(FR.rolling(spark, sf), FR.splits(spark, sf), df, FR.metadata(spark)))
+    """The rolling rows are written once; the modelling table and the trajectories are both read from them."""
+    campaign = FR.campaign(spark, sf)
+    df = settled(FR.campaign_dataset(campaign)).where("party <> 'RO'")
+    return rounded(P.trajectories(campaign.rolling, campaign.splits, df, FR.metadata(spark)))
 
 
 @query("PR4 ST2 SC15", sql("oof metadata", (PARTY_ERRORS + """SELECT * REPLACE (round(actual_pct, 6) AS actual_pct, round(predicted_pct, 6) AS predicted_pct, round(signed_error, 6) AS signed_error,
@@ -196,10 +199,9 @@ def json_export(spark, sf):
 @query("IO8", """SELECT 'events.json' AS name, 'events.parquet' AS source, count(*) AS rows, 'event_id,ts,user_id,event_type,value,props' AS columns FROM events
   UNION ALL SELECT 'regions.json', 'region.parquet', count(*), 'r_regionkey,r_name' FROM region""")
 def export_manifest(spark, sf):
-    return sinks.dataset_manifest({
-        "events.json": ("events.parquet", A.load(spark, sf, "events")),
-        "regions.json": ("region.parquet", A.load(spark, sf, "region")),
-    })
+    """Both tables written once as JSON; their rows are counted on the way."""
+    tables = {"events.json": ("events.parquet", A.load(spark, sf, "events")), "regions.json": ("region.parquet", A.load(spark, sf, "region"))}
+    return sinks.export_tables(tables, scratch_path(spark, "export"))
 
 
 @query("IO10", sql("dataset calls", """SELECT 'final_polling_average' AS selected_model, 'final_rolling_avg' AS prediction_column, 'lowest error' AS selection_basis,

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.gates import write_observed
+
 
 def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
     """IO5 / IO11."""
@@ -31,7 +34,7 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def dataset_manifest(tables: dict[str, tuple[str, DataFrame]]) -> DataFrame:
-    """IO8: source, row count and column list per exported table."""
+    """IO8: source, row count and column list per table that is stored already; ``export_tables`` counts while it writes."""
     rows = [
         df.agg(F.count("*").alias("rows")).select(
             F.lit(name).alias("name"), F.lit(source).alias("source"), "rows", F.lit(",".join(df.columns)).alias("columns")
@@ -41,6 +44,15 @@ def dataset_manifest(tables: dict[str, tuple[str, DataFrame]]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), rows)
 
 
+def export_tables(tables: dict[str, tuple[str, DataFrame]], folder: str, kind: str = "json", mode: str = "errorifexists") -> DataFrame:
+    """IO8: write every table once below ``folder`` and return the manifest, its row counts taken while writing."""
+    rows = []
+    for name, (source, df) in tables.items():
+        figures = write_observed(df, os.path.join(folder, name), {"rows": F.count("*")}, kind, mode)
+        rows.append((name, source, figures["rows"], ",".join(df.columns)))
+    return df.sparkSession.createDataFrame(rows, "name string, source string, rows long, columns string")
+
+
 def write_once(df: DataFrame, path: str) -> None:
     """IO9: a final evaluation may be stored once; a second attempt fails."""
     df.write.mode("errorifexists").parquet(path)

@@ -7,6 +7,7 @@ from conftest import rows
 from hustings.functions import scalars as SC
 from hustings.operators import aggregates as AG
 from hustings.operators import joins as JN
+from hustings.operators import gates as GT
 from hustings.operators import quality as QC
 from hustings.operators import reshape as RS
 from hustings.plans import dataset as D
@@ -87,6 +88,34 @@ def test_quality_gates(spark):
         D.validate_dataset(data, splits.unionByName(splits.withColumn("election_year", F.lit(2))))
 
 
+def test_figures_are_counted_while_the_table_is_written(spark, tmp_path):
+    data = spark.createDataFrame(
+        [("a", 1, "p", 1, day("2000-01-01"), day("2000-02-01"), 1.0, "development"), ("a", 1, "q", 0, day("2000-03-01"), day("2000-02-01"), None, "holdout"),
+         ("a", 1, "q", 0, None, day("2000-02-01"), float("inf"), None), (None, 2, None, 0, None, None, float("nan"), "development"), (None, 2, "x", None, None, None, -2.0, "development")],
+        "country string, election_year int, party string, is_winner int, last_poll_date date, election_date date, v double, dataset_split string",
+    )
+    splits = spark.createDataFrame([("a", 1, "development"), (None, 2, "development"), ("b", 3, "holdout")], "country string, election_year int, dataset_split string")
+    want = {
+        "rows": 5, "cycles": 2, "repeated keys": 2, "cycles without one winner": 1, "past the cutoff": 1, "covered cycles": 2, "outside development": 2,
+        "missing v": 2, "infinite v": 1,
+    }
+    figures = GT.dataset_figures(["v"], "development")
+    path = str(tmp_path / "t")
+    assert GT.write_observed(GT.flagged(data, splits), path, figures, drop=GT.FLAGS) == want
+    back = spark.read.parquet(path)
+    assert back.columns == data.columns and back.count() == 5
+    with pytest.raises(QC.QualityError, match="duplicate keys"):
+        GT.store_dataset(data, splits, str(tmp_path / "u"))
+    fine = data.limit(1)
+    with pytest.raises(QC.QualityError, match="no model rows"):
+        GT.store_dataset(fine, splits, str(tmp_path / "v"))
+    assert GT.store_dataset(fine, splits.where("country = 'a'"), str(tmp_path / "w"), ["v"])["missing v"] == 0
+    with pytest.raises(QC.QualityError, match="outside holdout"):
+        GT.store_dataset(fine, splits.where("country = 'a'"), str(tmp_path / "x"), split="holdout")
+    with pytest.raises(QC.QualityError, match="empty"):
+        GT.store_dataset(data.where("rand() > 2"), splits, str(tmp_path / "y"))
+
+
 def test_winner_ties_are_caught(spark):
     truth = spark.createDataFrame([("a", 1, "p", 50.0), ("a", 1, "q", 50.0), ("b", 1, "p", 1.0)], "country string, election_year int, party string, actual_pct double")
     flagged = D.winner_flags(truth)
