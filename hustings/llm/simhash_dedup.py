@@ -415,6 +415,21 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("print", "text").mapInArrow(run, "print long, hashes array<long>")
 
 
+def candidate_groups(near: DataFrame) -> DataFrame:
+    """(node, root) of all rows (u, v) of ``near``, roots included: what is connected by way of any key.
+
+    A point has a link for each key. One link of each point comes first; the others are told of what that connects, and
+    few are left that connect more.
+    """
+    first = components(near.groupBy("u").agg(F.min("v").alias("v")))
+    one, two = (first.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")) for end in ("u", "v"))
+    links = near.select("u", "v").where("u <> v").distinct().join(one, "u", "left").join(two, "v", "left")
+    links = links.select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v")).where("u <> v").distinct()
+    last = components(links).select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+    nodes = near.select(F.col("u").alias("node")).distinct().join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return nodes.join(last, nodes["root"] == last["__node"], "left").select("node", F.coalesce("__root", "root").alias("root"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (u, v) of ``pairs`` whose sets of (print, hashes) have a Jaccard similarity of 0.8 or more."""
     both = pairs.join(sets.select(F.col("print").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("print").alias("v"), F.col("hashes").alias("b")), "v")
@@ -503,8 +518,7 @@ def near_copy_groups(docs: DataFrame, width: int = 5, part_texts: int = PART_TEX
     ))
     rows = points.select(F.col("print").alias("name"), F.explode("keys").alias("key"), F.col("sketch").alias("rest"))
     near = cut_lineage(subtrie_links(rows, SKETCH_BUDGET, 64 * COMPARED_WORDS, nearest=True))
-    met = components(near.select("u", "v").where("u <> v").distinct())  # the root of a component is not among its nodes
-    met = cut_lineage(met.unionByName(met.select(F.col("root").alias("node"), "root").distinct()))
+    met = cut_lineage(candidate_groups(near))
     sets = cut_lineage(shingle_sets(_texts(met.select(F.col("node").alias("print")), points, docs), width))
     nearest = near.groupBy("u").agg(F.min(F.struct("bits", "near")).alias("best")).select("u", F.col("best.near").alias("v"))
     first = cut_lineage(verified(nearest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets))
