@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import cut_lineage
 
@@ -88,6 +96,53 @@ def first_n_non_null(df: DataFrame, keys: list[str], order: str, value: str, n:
     return present.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
+def first_cells(rows: DataFrame, keys: list[str], order: str, cells: str = "cells", n: int = 15) -> DataFrame:
+    """WN12 over columns kept as an array: (keys, col_idx, order, value), the first ``n`` non-missing cells of each column.
+
+    Every task holds the ``n`` first cells of each column it has met and prunes them as batches pass by, so that only
+    these reach the shuffle: no cell is exploded, and neither a sort nor a window sees all of them. NULL keys are values
+    as others.
+    """
+    names = [*keys, "col_idx", order, "value"]
+    types = dict(rows.dtypes)
+    kinds = [*[types[k] for k in keys], "int", types[order], "string"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: dict[tuple, int] = {}
+        held, size, pruned = [], 0, 0
+        for batch in batches:
+            lists = batch.column(len(keys) + 1)
+            flat, ends = lists.flatten(), np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+            row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+            column = np.arange(len(flat)) - (ends - np.diff(ends, prepend=0))[row]
+            filled = np.asarray(pc.is_valid(flat))
+            own = zip(*(batch.column(i).to_pylist() for i in range(len(keys)))) if keys else [()] * len(ends)
+            code = np.array([codes.setdefault(k, len(codes)) for k in own], np.int64)
+            at = np.flatnonzero(filled)
+            frame = pd.DataFrame({"code": code[row[at]], "col": column[at], "at": np.asarray(batch.column(len(keys)))[row[at]]})
+            frame["value"] = flat.take(pa.array(at)).to_numpy(zero_copy_only=False)
+            held.append(_first_of(frame, n))
+            size += len(held[-1])
+            if size > max(50_000, 2 * pruned):
+                held = [_first_of(pd.concat(held), n)]
+                size = pruned = len(held[0])
+        if held:
+            out, known = _first_of(pd.concat(held), n), list(codes)
+            arrays = [pa.array([known[c][i] for c in out["code"]]) for i in range(len(keys))]
+            arrays += [pa.array(out["col"].to_numpy(np.int32)), pa.array(out["at"].to_numpy()), pa.array(out["value"], pa.string())]
+            yield pa.RecordBatch.from_arrays([a.cast(t) for a, t in zip(arrays, wanted)], names=names)
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in zip(names, kinds))
+    wanted = [f.type for f in to_arrow_schema(T._parse_datatype_string(schema))]
+    few = rows.select(*keys, order, cells).mapInArrow(run, schema)
+    return first_n_non_null(few, [*keys, "col_idx"], order, "value", n)
+
+
+def _first_of(frame: pd.DataFrame, n: int) -> pd.DataFrame:
+    ranked = frame.sort_values(["code", "col", "at"], kind="stable")
+    return ranked[ranked.groupby(["code", "col"]).cumcount() < n]
+
+
 def running_marker(
     df: DataFrame, by: list[str], series: str = "party", date: str = "poll_date", truth: str = "actual_pct"
 ) -> DataFrame:

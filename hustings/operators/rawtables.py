@@ -26,7 +26,7 @@ from ..functions.text import (
 )
 from ..session import cut_lineage
 from ..sizing import settled
-from .ordering import first_n_non_null
+from .ordering import first_cells, first_n_non_null
 
 TABLE = ["source_table", "country", "election_year"]
 # Area cells that mean the whole country, and header words that never name a series.
@@ -193,10 +193,7 @@ def profile_tables(raw: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFr
     sizes = body.groupBy(*TABLE).agg(
         F.count("*").alias("rows_after_junk"), F.count_if("national").alias("national_rows")
     )
-    sample = first_n_non_null(
-        body.select(*TABLE, "row_idx", "national", "date_idx", F.posexplode("cells").alias("col_idx", "value")),
-        [*TABLE, "col_idx", "national"], "row_idx", "value",
-    )
+    sample = first_cells(body.select(*TABLE, "national", "date_idx", "row_idx", "cells"), [*TABLE, "national", "date_idx"], "row_idx")
     sample = cut_lineage(sample)  # at most thirty cells per column, read twice
     dates = first_n_non_null(sample.where(F.col("col_idx") == F.col("date_idx")), TABLE, "row_idx", "value")
     parsed = with_poll_date(dates, date_raw="value")

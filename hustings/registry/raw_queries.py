@@ -13,23 +13,24 @@ from .core import query, rounded
 from .fragments import with_fragments as sql
 
 LINES = """, lines AS (SELECT replace(country, ' ', '') || '_' || CAST(election_year AS VARCHAR) || '_table' || substr(source_table, 5) || '.csv' AS source_table, country, election_year,
-    CAST(substr(source_table, 5) AS INTEGER) % 8 AS kind, l_orderkey, min(poll_date) AS day, min(pollster) AS who, CAST(sum(l_quantity) * 10 AS INTEGER) AS size,
+    CASE WHEN CAST(substr(source_table, 5) AS INTEGER) >= 16 THEN CAST(substr(source_table, 5) AS INTEGER) - 8 ELSE CAST(substr(source_table, 5) AS INTEGER) % 8 END AS kind,
+    CASE WHEN CAST(substr(source_table, 5) AS INTEGER) IN (17, 18) THEN l_orderkey % 2 ELSE l_orderkey END AS l_orderkey, min(poll_date) AS day, min(pollster) AS who, CAST(sum(l_quantity) * 10 AS INTEGER) AS size,
     max(l_quantity) FILTER (party = 'AF') AS a1, max(l_quantity) FILTER (party = 'AO') AS a2, max(l_quantity) FILTER (party = 'NF') AS a3,
     max(l_quantity) FILTER (party = 'NO') AS a4, max(l_quantity) FILTER (party = 'RF') AS a5, max(l_quantity) FILTER (party = 'RO') AS a6
     FROM polls GROUP BY ALL),
-  national AS (SELECT * FROM lines WHERE kind <> 2 OR l_orderkey % 3 <> 1),
-  tables AS (SELECT source_table, country, election_year, kind, count(*) AS n, count(*) FILTER (kind <> 2 OR l_orderkey % 3 <> 1) AS n_national,
+  national AS (SELECT * FROM lines WHERE kind <> 11 AND (kind <> 2 OR l_orderkey % 3 <> 1)),
+  tables AS (SELECT source_table, country, election_year, kind, count(*) AS n, count(*) FILTER (kind <> 11 AND (kind <> 2 OR l_orderkey % 3 <> 1)) AS n_national, CASE WHEN kind IN (3, 9) THEN 1 WHEN kind IN (4, 10) THEN 2 ELSE 0 END AS extra,
       max(CAST(a1 IS NOT NULL AND nat AS INTEGER)) + max(CAST(a2 IS NOT NULL AND nat AS INTEGER)) + max(CAST(a3 IS NOT NULL AND nat AS INTEGER))
       + max(CAST(a4 IS NOT NULL AND nat AS INTEGER)) + max(CAST(a5 IS NOT NULL AND nat AS INTEGER)) + max(CAST(a6 IS NOT NULL AND nat AS INTEGER)) AS filled,
       max(CAST(a1 IS NOT NULL AND nat AS INTEGER)) AS first_filled
-    FROM (SELECT *, kind <> 2 OR l_orderkey % 3 <> 1 AS nat FROM lines) GROUP BY 1, 2, 3, 4),
+    FROM (SELECT *, kind <> 11 AND (kind <> 2 OR l_orderkey % 3 <> 1) AS nat FROM lines) GROUP BY 1, 2, 3, 4),
   decided AS (SELECT *, CASE
-      WHEN n + CASE kind WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 0 END < 3 THEN 'too small'
+      WHEN n + extra < 3 OR kind = 8 THEN 'too small'
       WHEN kind = 1 THEN 'seat-count/projection table, not vote-share data'
-      WHEN kind = 3 AND n < 3 THEN 'too small after subheader harvest'
-      WHEN kind = 4 AND n < 3 THEN 'too small after junk-row removal'
+      WHEN kind IN (3, 9) AND n < 3 THEN 'too small after subheader harvest'
+      WHEN kind IN (4, 10) AND n < 3 THEN 'too small after junk-row removal'
       WHEN kind = 5 THEN 'no column looks like dates'
-      WHEN kind = 2 AND n_national = 0 THEN 'no national-level rows after area filter'
+      WHEN kind IN (2, 11) AND n_national = 0 THEN 'no national-level rows after area filter'
       WHEN kind = 6 THEN 'fewer than 2 recognised party columns found (got ' || CAST(first_filled AS VARCHAR) || ')'
       WHEN filled < 2 THEN 'fewer than 2 recognised party columns found (got ' || CAST(filled AS VARCHAR) || ')'
       ELSE 'ok' END AS status FROM tables)
@@ -51,10 +52,10 @@ def _lines(body: str) -> str:
     return sql("polls", LINES + body).replace("\n, lines", ", lines")
 
 
-@query("CL1", _lines("""SELECT source_table, country, election_year, n + CASE kind WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 0 END AS n_rows,
-  n + CASE kind WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 0 END >= 3 AS admitted FROM tables"""))
+@query("CL1", _lines("""SELECT source_table, country, election_year, n + extra AS n_rows,
+  n + extra >= 3 AS admitted FROM tables"""))
 def scrape_admission(spark, sf):
-    """Every table of the adapter has two columns with digits, its dates and a count, so that the rows decide."""
+    """Every table of the adapter has two columns with digits, its dates and a share, so that the rows decide."""
     return RT.admissible_scrape(A.raw_rows(spark, sf)).select("source_table", "country", "election_year", "n_rows", "admitted")
 
 
@@ -75,7 +76,7 @@ def cleaned_observations(spark, sf):
     return rounded(RT.clean_tables(_raw(spark, sf), A.adapter_labels(spark))[0])
 
 
-@query("IO1", _lines("SELECT source_table, country, election_year, n + CASE kind WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 0 END AS lines, CAST(10 AS INTEGER) AS width FROM (SELECT * REPLACE (replace(country, ' ', '') AS country) FROM tables)"))
+@query("IO1", _lines("SELECT source_table, country, election_year, n + extra AS lines, CAST(10 AS INTEGER) AS width FROM (SELECT * REPLACE (replace(country, ' ', '') AS country) FROM tables)"))
 def raw_file_rows(spark, sf):
     """Every wide table written as files with differing headers, read back with names, line numbers and widths.
 

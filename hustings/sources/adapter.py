@@ -144,17 +144,31 @@ HEADERS = {
     5: PLAIN,
     6: [*PLAIN[:4], "Leader A", "Leader B", "Leader C", "Leader D", "Leader E", "Lead"],
     7: [*PLAIN[:6], "Lib Dem", "Green", "UKIP", "Lead"],
+    8: ["Date(s) conducted", "Pollster", "Con"],
+    9: ["Date", "Pollster", "Sample size", *["Primary vote"] * 4, "2pp vote", "2pp vote", "Lead"],
+    10: PLAIN,
+    11: ["Date(s) conducted", "Pollster", "Area", *PLAIN[3:]],
 }
 EXTRA_LINES = {
     3: [["Date", "Pollster", "Sample size", "Con", "Lab", "LD", "SNP", "Con", "Lab", "Unnamed: 9_level_1"]],
     4: [PLAIN, ["Unnamed: 0_level_1", *PLAIN[1:]]],
 }
+EXTRA_LINES |= {9: EXTRA_LINES[3], 10: EXTRA_LINES[4]}
+
+
+def raw_kind(lot: Column) -> Column:
+    """Shape of a lot's raw tables. The last four lots have too few columns, two lines below a second header, two lines below
+    junk lines, and no national lines."""
+    return F.when(lot >= 16, lot - 8).otherwise(lot % 8)
+
+
 
 
 def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide raw tables: one per region, year and lot, one line per order, one column per series.
 
-    Built from one aggregation; header and extra lines are added per table. Line order is the order key.
+    Built from one aggregation; header and extra lines are added per table. Line order is the order key. Kinds 9 and 10 add
+    all their orders up to two lines, for odd and even keys.
     """
     lines = polls(spark, sf_dir)
     lot = F.substring("source_table", 5, 9).cast("int")
@@ -162,8 +176,9 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.replace("country", F.lit(" "), F.lit("")), F.lit("_"), F.col("election_year").cast("string"), F.lit("_table"),
         lot.cast("string"), F.lit(".csv"),
     )
-    keyed = lines.withColumns({"source_table": table, "kind": lot % 8})
-    wide = keyed.groupBy("source_table", "country", "election_year", "kind", "l_orderkey").agg(
+    keyed = lines.withColumns({"source_table": table, "kind": raw_kind(lot)})
+    line = F.when(F.col("kind").isin(9, 10), F.col("l_orderkey") % 2).otherwise(F.col("l_orderkey"))
+    wide = keyed.withColumn("l_orderkey", line).groupBy("source_table", "country", "election_year", "kind", "l_orderkey").agg(
         F.min("poll_date").alias("day"),
         F.min("pollster").alias("who"),
         F.sum("l_quantity").alias("size"),
@@ -173,11 +188,13 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("day", "d MMM yyyy")
     )
     area = F.when(F.col("l_orderkey") % 3 == 0, "GB").when(F.col("l_orderkey") % 3 == 1, "Scotland").otherwise("National")
-    third = F.when(F.col("kind") == 2, area).otherwise((F.col("size") * 10).cast("int").cast("string"))
+    area = F.when(F.col("kind") == 11, "Scotland").otherwise(area)
+    third = F.when(F.col("kind").isin(2, 11), area).otherwise((F.col("size") * 10).cast("int").cast("string"))
     shares = [F.concat(F.col(p).cast("int").cast("string"), F.lit("%")) for p in PARTIES]
     data = wide.select(
         "source_table", "country", "election_year", (F.col("l_orderkey") + 10).alias("row_idx"),
-        F.array(date_cell, F.col("who"), third, *shares, F.lit("3")).alias("cells"),
+        F.when(F.col("kind") == 8, F.array(date_cell, F.col("who"), shares[0]))
+        .otherwise(F.array(date_cell, F.col("who"), third, *shares, F.lit("3"))).alias("cells"),
     )
     fixed = [(k, 0, h) for k, h in HEADERS.items()]
     fixed += [(k, i + 1, line) for k, extra in EXTRA_LINES.items() for i, line in enumerate(extra)]

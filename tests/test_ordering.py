@@ -90,3 +90,20 @@ def test_selection_and_ends(spark):
     v = spark.createDataFrame([(float(i), i) for i in range(30)], "v double, id int")
     ends = O.both_ends(v, "v", 2, ["id"]).collect()
     assert sorted((r.end, r.id) for r in ends) == [("highest", 28), ("highest", 29), ("lowest", 0), ("lowest", 1)]
+
+
+@pytest.mark.parametrize("n", [1, 4])
+def test_first_cells_of_each_column(spark, n):
+    rnd = random.Random(n)
+    data = [(rnd.choice(["a", "b", None]), i * 7919 % 5003, [rnd.choice([None, None, f"v{i}-{c}"]) for c in range(rnd.randint(0, 5))]) for i in range(3000)] + [("c", 1, None), ("d", 2, [None])]
+    df = spark.createDataFrame(data, "k string, at long, cells array<string>").repartition(5)
+    want = {}
+    for k, at, cells in sorted(data, key=lambda r: r[1]):
+        for c, v in enumerate(cells or []):
+            if v is not None and len(want.setdefault((k, c), [])) < n:
+                want[k, c].append((at, v))
+    got = {}
+    for r in O.first_cells(df, ["k"], "at", n=n).collect():
+        got.setdefault((r.k, r.col_idx), []).append((r["at"], r.value))
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert O.first_cells(df.where("at < 0"), ["k"], "at").count() == 0
