@@ -76,7 +76,7 @@ def cleaned_observations(spark, sf):
     return rounded(RT.clean_tables(_raw(spark, sf), A.adapter_labels(spark))[0])
 
 
-@query("IO1", _lines("SELECT source_table, country, election_year, n + extra AS lines, CAST(10 AS INTEGER) AS width FROM (SELECT * REPLACE (replace(country, ' ', '') AS country) FROM tables)"))
+@query("IO1", _lines("SELECT source_table, country, election_year, n + extra AS lines, CAST(CASE kind WHEN 8 THEN 3 ELSE 10 END AS INTEGER) AS width FROM (SELECT * REPLACE (replace(country, ' ', '') AS country) FROM tables)"))
 def raw_file_rows(spark, sf):
     """Every wide table written as files with differing headers, read back with names, line numbers and widths.
 
