@@ -36,8 +36,9 @@ def rolling_features(
     if rows_per_task is None:
         return _rolling(df, keys, order, value, window)
     chunked = with_chunks(df, keys, order, rows_per_task)
-    borrowed = _rows_before_chunk(chunked, keys, order, value, max(window - 1, 2))
-    both = chunked.withColumn("_borrowed", F.lit(False)).unionByName(
+    # Only series of several chunks lend rows: where there are none, this branch shuffles and sorts nothing.
+    borrowed = _rows_before_chunk(chunked.where("_many").drop("_many"), keys, order, value, max(window - 1, 2))
+    both = chunked.drop("_many").withColumn("_borrowed", F.lit(False)).unionByName(
         borrowed.withColumn("_borrowed", F.lit(True)), allowMissingColumns=True
     )
     rolled = _rolling(both, keys + CHUNK, order, value, window)
@@ -58,7 +59,7 @@ def _rolling(df: DataFrame, partition: list[str], order: list[str], value: str,
 
 
 def with_chunks(df: DataFrame, keys: list[str], order: list[str], rows_per_task: int) -> DataFrame:
-    """Label rows with chunk columns that never decrease along ``order`` within a series.
+    """Label rows with chunk columns that never decrease along ``order`` within a series; ``_many``: it has more than one chunk.
 
     Days are counted (map-side combined) and packed into blocks; a day larger than a block is divided by equal
     ranges of the time within the day, where ``order`` starts with a timestamp, or of the first tie-breaking column. All
@@ -80,6 +81,8 @@ def with_chunks(df: DataFrame, keys: list[str], order: list[str], rows_per_task:
             "_parts": F.ceil(F.col("_n") / rows_per_task),
         }
     ).drop("_n")
+    series = Window.partitionBy(*keys)
+    days = days.withColumn("_many", (F.max("_block").over(series) > 0) | (F.max("_parts").over(series) > 1))
     out = null_safe_join(df, days, [*keys, "_day"])
     if split_by is not None:
         share = (split_by - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
