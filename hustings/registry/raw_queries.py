@@ -146,3 +146,27 @@ def header_tags(spark, sf):
     header = F.when(kind == 0, names[0]).when(kind == 1, names[1]).when(kind == 2, names[2]).otherwise(names[3])
     rows = A.load(spark, sf, "lineitem")
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", TX.metric_tag(header).alias("tag"), TX.base_name(header).alias("base"))
+
+
+@query("IO3", """SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, CASE s_suppkey % 3 WHEN 2 THEN 'Caf' || chr(129) || 'é ' ELSE 'Café “3 €” – ' END || s_name || ', Łódź'[:CASE s_suppkey % 3 WHEN 0 THEN 6 ELSE 0 END] AS label,
+  CASE s_suppkey % 3 WHEN 1 THEN CAST(s_nationkey AS VARCHAR) END AS nation FROM supplier""")
+def mixed_encodings(spark, sf):
+    """Suppliers written as CSV in three encodings, one with a further column, read back as one frame."""
+    rows = A.load(spark, sf, "supplier").withColumn("label", F.concat(F.lit("Café “3 €” – "), "s_name"))
+    path = scratch_path(spark, "encodings")
+    kind = F.col("s_suppkey") % 3
+    utf8 = rows.where(kind == 0).select("s_suppkey", F.concat("label", F.lit(", Łódź")).alias("label"))
+    western = rows.where(kind == 1).select("s_suppkey", F.translate("label", files.C1_PRINTED, files.C1_CODES).alias("label"), F.col("s_nationkey").alias("nation"))
+    latin = rows.where(kind == 2).select("s_suppkey", F.concat(F.lit("Caf\x81é "), "s_name").alias("label"))
+    for name, part, charset in (("utf8", utf8, "UTF-8"), ("western", western, "ISO-8859-1"), ("latin", latin, "ISO-8859-1")):
+        part.write.option("header", True).option("encoding", charset).csv(f"{path}/{name}")
+    return files.read_csv_any_encoding(spark, [f"{path}/{name}" for name in ("utf8", "western", "latin")])
+
+
+@query("IO12 IO4", "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name FROM customer")
+def marked_headers(spark, sf):
+    """Customers written with a byte-order mark before the first header of every part, read back with declared types."""
+    rows = A.load(spark, sf, "customer").select(F.col("c_custkey").alias("\ufeffc_custkey"), "c_name")
+    path = scratch_path(spark, "marked")
+    rows.write.option("header", True).csv(path)
+    return files.read_csv(spark, path, "c_custkey bigint, c_name string")

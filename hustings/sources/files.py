@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import missing_to_null
+from ..session import written
 
 # Fixed pattern: raw files are named <entity>_<cycle>_table<n>.csv.
 RAW_NAME = r"^([a-z]+)_(\d{4})_table\d+\.csv$"
@@ -102,43 +105,57 @@ def read_raw_rows(
     )
 
 
+def _encoding(valid: Column, unused: Column) -> Column:
+    return F.when(valid, "utf-8").when(unused, "iso-8859-1").otherwise("windows-1252")
+
+
 def file_encodings(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """IO3: encoding of each file, tried in the order utf-8, windows-1252, ISO-8859-1."""
-    files = spark.read.format("binaryFile").load(path)
-    latin = F.decode("content", "ISO-8859-1")
-    return files.select(
-        "path",
-        F.when(F.is_valid_utf8(F.col("content").cast("string")), "utf-8")
-        .when(latin.rlike(C1_UNUSED), "iso-8859-1")
-        .otherwise("windows-1252")
-        .alias("encoding"),
-    )
+    """IO3: (path, encoding) of each file, tried in the order utf-8, windows-1252, ISO-8859-1.
+
+    Lines are judged where they are read and each file's verdicts are combined, so a file may be split among tasks.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    return _file_encodings(lines)
+
 
+def _file_encodings(lines: DataFrame) -> DataFrame:
+    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    judged = lines.groupBy("path").agg(F.bool_and(F.is_valid_utf8("value")).alias("_valid"), F.bool_or(latin.rlike(C1_UNUSED)).alias("_unused"))
+    return judged.select("path", _encoding(F.col("_valid"), F.col("_unused")).alias("encoding"))
 
-def read_csv_any_encoding(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """IO3: headed CSV files of mixed encodings as one text frame.
 
-    windows-1252 files are read as ISO-8859-1 and their control codes translated to the characters meant.
+def decoded(raw: Column, encoding: Column) -> Column:
+    """Text of raw bytes; windows-1252 is ISO-8859-1 with its control codes turned into the characters meant."""
+    latin = F.decode(raw.cast("binary"), "ISO-8859-1")
+    return F.when(encoding == "utf-8", raw).when(encoding == "windows-1252", F.translate(latin, C1_CODES, C1_PRINTED)).otherwise(latin)
+
+
+def read_csv_any_encoding(spark: SparkSession, path: str | list[str], most_headers: int = 1000) -> DataFrame:
+    """IO3 / IO12: headed CSV files of mixed encodings as one text frame, appended by column name.
+
+    Files are read by lines, so a large one is split among tasks; a quoted cell does not span lines here. Each file's
+    encoding is joined to its lines and never passes the driver; only the distinct header lines do, which are the
+    columns of the result (more than ``most_headers`` are an error). A byte-order mark before a header is dropped.
     """
-    found = file_encodings(spark, path).limit(100_001).collect()
-    if len(found) > 100_000:
-        raise SourceError("too many files for an encoding check in one read; pass fewer paths")
-    frames = []
-    for encoding in ("utf-8", "windows-1252", "iso-8859-1"):
-        paths = [r.path for r in found if r.encoding == encoding]
-        if not paths:
-            continue
-        charset = "UTF-8" if encoding == "utf-8" else "ISO-8859-1"
-        df = spark.read.csv(paths, header=True, multiLine=True, encoding=charset)
-        if encoding != "utf-8":
-            df = df.toDF(*[c.removeprefix("ï»¿") for c in df.columns])
-        if encoding == "windows-1252":
-            table = str.maketrans(C1_CODES, C1_PRINTED)
-            df = df.select(*[F.translate(F.col(f"`{c}`"), C1_CODES, C1_PRINTED).alias(c.translate(table)) for c in df.columns])
-        frames.append(df.toDF(*[c.strip() for c in df.columns]))
-    if not frames:
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value",
+    )
+    head = F.min(F.when(F.col("_block") == 0, F.struct("_id", "value")))
+    files = written(_file_encodings(lines).join(lines.groupBy("path").agg(head.alias("_head")), "path"), "encodings")
+    header = F.regexp_replace(decoded(F.col("_head.value"), F.col("encoding")), "^(\ufeff|\u00ef\u00bb\u00bf)", "")
+    files = files.select("path", "encoding", F.col("_head._id").alias("_at"), F.rtrim(F.regexp_replace(header, "\r$", "")).alias("_header"))
+    headers = sorted(r[0] for r in files.select("_header").distinct().limit(most_headers + 1).collect())
+    if not headers:
         raise SourceError(f"no files under {path}")
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame, allowMissingColumns=True)
+    if len(headers) > most_headers:
+        raise SourceError(f"more than {most_headers} different headers under {path}")
+    rows = lines.join(files, "path")
+    out = None
+    for line in headers:
+        names = [n.strip() for n in next(csv.reader([line]))]
+        schema = ", ".join(f"c{i} string" for i in range(len(names)))
+        own = rows.where((F.col("_header") == line) & (F.col("_id") != F.col("_at"))).select(F.regexp_replace(decoded(F.col("value"), F.col("encoding")), "\r$", "").alias("_text"))
+        cells = own.where(F.col("_text") != "").select(F.from_csv("_text", schema, {"quote": '"', "escape": '"'}).alias("_c"))
+        part = cells.select(*[F.col(f"_c.c{i}").alias(n) for i, n in enumerate(names)])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out

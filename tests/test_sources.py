@@ -20,6 +20,28 @@ def test_encodings(spark, tmp_path):
     assert rows(files.read_csv_any_encoding(spark, str(tmp_path))) == sorted([("Côté – x", "1"), ("Côté – y", "2"), ("Côt\x81é", "3")], key=str)
 
 
+def test_lines_of_many_headers_quotes_and_marks(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("\ufeffname , v\r\n\"x, \"\"y\"\"\",1\r\n\r\nß,\r\n".encode())
+    (tmp_path / "b.csv").write_bytes("v,w\n2,é\n".encode("cp1252"))
+    (tmp_path / "c.csv").write_bytes(b"v,w\n")
+    out = files.read_csv_any_encoding(spark, str(tmp_path))
+    assert rows(out, "name", "v", "w") == sorted([('x, "y"', "1", None), ("ß", None, None), (None, "2", "é")], key=str)
+    with pytest.raises(files.SourceError, match="different headers"):
+        files.read_csv_any_encoding(spark, str(tmp_path), most_headers=1)
+
+
+def test_a_file_is_split_among_tasks(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"k,v\n" + b"".join(b"%d,caf\xe9\n" % i for i in range(20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        out = files.read_csv_any_encoding(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 4
+        assert out.count() == 20_000 and rows(out.select("v").distinct()) == [("café",)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_bom_strict_types_and_missing_columns(spark, tmp_path):
     path = tmp_path / "d.csv"
     path.write_bytes("﻿country,election_year,extra\nuk,2010.0,q\n".encode("utf-8"))
