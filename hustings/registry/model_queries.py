@@ -364,7 +364,7 @@ def dq_error_consistency(spark, sf):
     return rounded(QC.error_consistency(FR.errors(spark, sf), "signed_error", "abs_error"))
 
 
-@query("QC1 QC2 QC3 QC4 QC5 QC6 QC7", sql("dataset splits", """SELECT figure, CAST(value AS BIGINT) AS value FROM (
+@query("QC1 QC2 QC3 QC4 QC5 QC7", sql("dataset splits", """SELECT figure, CAST(value AS BIGINT) AS value FROM (
   SELECT UNNEST([{'figure': 'rows', 'value': count(*)}, {'figure': 'cycles', 'value': count(DISTINCT (country, election_year))},
     {'figure': 'repeated keys', 'value': count(*) - count(DISTINCT (country, election_year, party))},
     {'figure': 'cycles without one winner', 'value': (SELECT count(*) FROM (SELECT 1 FROM dataset GROUP BY country, election_year HAVING sum(is_winner) <> 1))},
