@@ -133,10 +133,10 @@ def viterbi(scores: np.ndarray, per_text: np.ndarray, switch: float = SWITCH) ->
             state = state[:m]
         at = start[:m] + t
         best = state.argmax(axis=1)
-        jump = (state[np.arange(m), best] - np.float32(switch))[:, None]
-        leap = state < jump
+        state = state - state[np.arange(m), best][:, None]  # the best is 0, so sums stay small in texts of any length
+        leap = state < -switch
         switched[at], source[at] = leap, best
-        state = np.where(leap, jump, state) + scores[at]
+        state = np.where(leap, np.float32(-switch), state) + scores[at]
     label[start[: len(state)] + lengths[0] - 1] = state.argmax(axis=1)
     for t in range(lengths[0] - 1, 0, -1):
         at = start[: active[t]] + t

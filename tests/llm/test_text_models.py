@@ -114,3 +114,11 @@ def test_rows_that_count_several_times():
     times = rng.integers(1, 5, 300)
     for a, b in zip(X.fit_ordinal(x, y, times=times.astype(float)), X.fit_ordinal(np.repeat(x, times, axis=0), np.repeat(y, times))):
         assert np.allclose(a, b, atol=1e-4)
+
+
+def test_labels_of_a_very_long_text_do_not_drift():
+    n = 500_000  # their log probabilities add up to far beyond what single precision resolves
+    scores = np.full((n, 2), -30.25, np.float32)
+    scores[: n // 2, 0] = scores[n // 2 :, 1] = -30.0
+    label = L.viterbi(scores, np.array([n]), switch=12.0)
+    assert (label[: n // 2] == 0).all() and (label[n // 2 :] == 1).all()
