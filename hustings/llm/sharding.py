@@ -91,7 +91,7 @@ def new_map(sizes: DataFrame, shards: int, version: int = 0) -> DataFrame:
             [(version, s, sizes_[s], placed[s]) for s in sorted(placed)], columns=["version", "virtual_slot", "bytes", "shard"]
         )
 
-    return sizes.coalesce(1).mapInPandas(run, MAP_SCHEMA)
+    return sizes.repartition(1).mapInPandas(run, MAP_SCHEMA)
 
 
 def rebalanced(sizes: DataFrame, old: DataFrame, shards: int, slack: float = 0.01) -> DataFrame:
@@ -108,7 +108,7 @@ def rebalanced(sizes: DataFrame, old: DataFrame, shards: int, slack: float = 0.0
             [(version, s, sizes_[s], placed[s]) for s in sorted(placed)], columns=["version", "virtual_slot", "bytes", "shard"]
         )
 
-    return both.coalesce(1).mapInPandas(run, MAP_SCHEMA)
+    return both.repartition(1).mapInPandas(run, MAP_SCHEMA)
 
 
 def write_map(shard_map: DataFrame, folder: str) -> None:
