@@ -415,19 +415,23 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("print", "text").mapInArrow(run, "print long, hashes array<long>")
 
 
-def candidate_groups(near: DataFrame) -> DataFrame:
-    """(node, root) of all rows (u, v) of ``near``, roots included: what is connected by way of any key.
+def hubs(links: DataFrame) -> DataFrame:
+    """(print, part) of every end of the links (u, v): the neighbour of most links, or the point itself if it has more.
 
-    A point has a link for each key. One link of each point comes first; the others are told of what that connects, and
-    few are left that connect more.
+    Points of one part have a link to the same point, so they are connected; a part need not be all that is.
     """
-    first = components(near.groupBy("u").agg(F.min("v").alias("v")))
-    one, two = (first.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")) for end in ("u", "v"))
-    links = near.select("u", "v").where("u <> v").distinct().join(one, "u", "left").join(two, "v", "left")
-    links = links.select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v")).where("u <> v").distinct()
-    last = components(links).select(F.col("node").alias("__node"), F.col("root").alias("__root"))
-    nodes = near.select(F.col("u").alias("node")).distinct().join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    return nodes.join(last, nodes["root"] == last["__node"], "left").select("node", F.coalesce("__root", "root").alias("root"))
+    ends = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    degree = ends.groupBy("u").agg(F.count("*").alias("n"))
+    around = ends.join(degree.select(F.col("u").alias("v"), "n"), "v").groupBy("u").agg(F.max(F.struct("n", "v")).alias("best"))
+    own = F.struct("n", F.col("u").alias("v"))
+    return degree.join(around, "u").select(F.col("u").alias("print"), F.greatest(own, "best")["v"].alias("part"))
+
+
+def among_parts(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """The distinct links (u, v) of different parts that links of points make, by the (print, part) of ``labels``."""
+    one, two = (labels.select(F.col("print").alias(end), F.col("part").alias(f"{end}_part")) for end in ("u", "v"))
+    both = links.select("u", "v").where("u <> v").join(one, "u").join(two, "v").where("u_part <> v_part")
+    return both.select(F.greatest("u_part", "v_part").alias("u"), F.least("u_part", "v_part").alias("v")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -518,16 +522,19 @@ def near_copy_groups(docs: DataFrame, width: int = 5, part_texts: int = PART_TEX
     ))
     rows = points.select(F.col("print").alias("name"), F.explode("keys").alias("key"), F.col("sketch").alias("rest"))
     near = cut_lineage(subtrie_links(rows, SKETCH_BUDGET, 64 * COMPARED_WORDS, nearest=True))
-    met = cut_lineage(candidate_groups(near))
-    sets = cut_lineage(shingle_sets(_texts(met.select(F.col("node").alias("print")), points, docs), width))
+    met = near.select(F.col("u").alias("print")).distinct()  # both ends of a candidate pair have a row
+    sets = cut_lineage(shingle_sets(_texts(met, points, docs), width))
     nearest = near.groupBy("u").agg(F.min(F.struct("bits", "near")).alias("best")).select("u", F.col("best.near").alias("v"))
     first = cut_lineage(verified(nearest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets))
-    known = components(first).withColumnsRenamed({"node": "print", "root": "known"})
-    members = met.withColumnsRenamed({"node": "print", "root": "gid"}).join(known, "print", "left")
-    members = cut_lineage(members.select("print", F.coalesce("known", "print").alias("part"), "gid"))
+    labels = sets.select("print").join(hubs(first), "print", "left")
+    labels = cut_lineage(labels.select("print", F.coalesce("part", "print").alias("part")))
+    groups = components(among_parts(near, labels)).withColumnsRenamed({"node": "part", "root": "gid"})
+    members = cut_lineage(labels.join(groups, "part", "left").select("print", "part", F.coalesce("gid", "part").alias("gid")))
     units = open_units(members, part_texts).join(sets, "print").join(points.select("print", "sketch"), "print")
     more = units.groupBy("gid", "kind", "p", "q").applyInArrow(_compare_unit, "u long, v long")
-    return _named(made, points, components(first.unionByName(more)), "print").select("doc_id", "component_id")
+    roots = components(among_parts(first.unionByName(more), labels)).withColumnRenamed("node", "part")
+    roots = labels.join(roots, "part", "left").select(F.col("print").alias("node"), F.coalesce("root", "part").alias("root"))
+    return _named(made, points, roots, "print").select("doc_id", "component_id")
 
 
 def _texts(prints: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
