@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sizing import null_safe_join
-
-ACCURACY = 100_000
+from .ordering import ordered_ranges
 
 
 def grouped_quantiles(
@@ -15,56 +14,41 @@ def grouped_quantiles(
 ) -> DataFrame:
     """Interpolated quantiles per group, one column per entry of ``probs``.
 
-    ``percentile`` keeps every distinct value of a group in memory, so it is not used. A sketch with guaranteed rank error brackets each quantile, values outside the brackets are only counted, and the
-    exact ranks are found among the few values inside. One pass feeds both counts and values.
+    ``percentile`` keeps every distinct value of a group in memory, so it is not used. Values are counted before any
+    shuffle and dealt to ranges in order of group and value, so a large group fills many ranges and no task sees all of it.
+    The counts of the ranges tell which of them hold a wanted rank; only these are searched.
     """
     if not keys:
         whole = df.withColumn("_all", F.lit(1))
         return grouped_quantiles(whole, ["_all"], value, probs).drop("_all")
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    # The sketch is off by 1 / ACCURACY of the rows at most; one rank more is needed on each side to interpolate, which is
-    # less than that beyond ACCURACY rows. Smaller groups are taken whole.
-    margin = 4.0 / ACCURACY
-    low = [max(p - margin, 0.0) for p in probs.values()]
-    high = [min(p + margin, 1.0) for p in probs.values()]
-    bounds = rows.groupBy(*keys).agg(
-        F.percentile_approx(value, low, ACCURACY).alias("_low"),
-        F.percentile_approx(value, high, ACCURACY).alias("_high"),
-        F.min(value).alias("_min"),
-        F.max(value).alias("_max"),
-        F.count("*").alias("_n"),
-    )
-    v = F.col(value)
-    brackets = []
-    for i, p in enumerate(probs.values()):
-        few = F.col("_n") <= ACCURACY
-        lo = F.col("_min") if low[i] == 0.0 else F.when(few, F.col("_min")).otherwise(F.col("_low")[i])
-        hi = F.col("_max") if high[i] == 1.0 else F.when(few, F.col("_max")).otherwise(F.col("_high")[i])
-        brackets.append((lo, hi))
-    inside = F.lit(False)
-    below = F.lit(float("-inf"))
-    for lo, hi in brackets:
-        inside = inside | ((v >= lo) & (v <= hi))
-        below = F.greatest(below, F.when(hi < v, hi.cast("double")).otherwise(F.lit(float("-inf"))))
-    joined = null_safe_join(rows, bounds, keys)
-    counted = (
-        joined.withColumn("_v", F.when(inside, v.cast("double")).otherwise(below))
-        .groupBy(*keys, "_v", "_n")
-        .agg(F.count("*").alias("_c"))
-    )
-    upto = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_upto", F.sum("_c").over(upto))
+    v = F.col(value).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("_v"))
+    counted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    ranged = ordered_ranges(counted, [*map(F.col, keys), F.col("_v")])
+    # A row per group and range: a group has at most as many as there are ranges.
+    parts = ranged.groupBy(*keys, "_bucket").agg(F.sum("_c").alias("_held"))
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({
+        "_before": F.coalesce(F.sum("_held").over(earlier), F.lit(0)), "_n": F.sum("_held").over(group),
+    })
+    pos = {name: F.lit(p) * (F.col("_n") - 1) for name, p in probs.items()}
+    wanted = F.lit(False)
+    for at in pos.values():
+        for rank in (F.floor(at), F.ceil(at)):
+            wanted = wanted | ((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_held")))
+    inside = null_safe_join(ranged, parts.where(wanted), [*keys, "_bucket"])
+    upto = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inside.withColumn("_upto", F.col("_before") + F.sum("_c").over(upto))
     picks = []
-    for name, p in probs.items():
-        pos = F.lit(p) * (F.col("_n") - 1)
-        picks.append(F.min(F.when(F.col("_upto") > F.floor(pos), F.col("_v"))).alias(f"_lo_{name}"))
-        picks.append(F.min(F.when(F.col("_upto") > F.ceil(pos), F.col("_v"))).alias(f"_hi_{name}"))
+    for name, at in pos.items():
+        picks.append(F.min(F.when(F.col("_upto") > F.floor(at), F.col("_v"))).alias(f"_lo_{name}"))
+        picks.append(F.min(F.when(F.col("_upto") > F.ceil(at), F.col("_v"))).alias(f"_hi_{name}"))
     found = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks)
     out = []
-    for name, p in probs.items():
-        pos = F.lit(p) * (F.col("_n") - 1)
+    for name, at in pos.items():
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
+        out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
     return found.select(*keys, *out)
 
 

@@ -68,6 +68,38 @@ def test_quantiles_of_a_group_beyond_the_sketch(spark):
         assert [got[k][n] for n in ("minimum", "q1", "median", "q3", "maximum")] == pytest.approx([np.percentile(v, p) for p in (0, 25, 50, 75, 100)])
 
 
+def joined_rows(plan):
+    """Rows that each join of an executed plan has put out."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return joined_rows(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return joined_rows(plan.plan())
+    own = [plan.metrics().get("numOutputRows").get().value()] if "Join" in kind else []
+    return own + [n for i in range(plan.children().size()) for n in joined_rows(plan.children().apply(i))]
+
+
+@pytest.mark.parametrize("distinct", [10, 200_000])
+def test_quantiles_of_one_group_stay_divided(spark, distinct):
+    df = spark.range(200_000).selectExpr("'one' AS k", f"cast(id * 7919 % {distinct} as double) AS v")
+    found = grouped_quantiles(df, ["k"], "v", {"m": 0.5})
+    assert found.collect()[0].m == pytest.approx(np.median([i * 7919 % distinct for i in range(200_000)]))
+    sizes = joined_rows(found._jdf.queryExecution().executedPlan())
+    assert sizes and max(sizes) < 150_000
+
+
+def test_quantiles_skip_missing_values_and_keep_infinite_ones(spark):
+    inf = float("inf")
+    data = [("a", x) for x in (None, float("nan"), -inf, 0.0, -0.0, 1.0, inf)] + [("empty", None), (None, 2.0)]
+    df = spark.createDataFrame(data, "k string, v double")
+    got = {r.k: r for r in grouped_quantiles(df, ["k"], "v", {"q": 0.375, "m": 0.5}).collect()}
+    assert got.keys() == {"a", None}
+    assert (got["a"].q, got["a"].m, got[None].q, got[None].m) == (0.0, 0.0, 2.0, 2.0)
+    whole = spark.createDataFrame([(i,) for i in (4, 1, 1, 7)], "v int")
+    assert grouped_quantiles(whole, [], "v", {"q": 0.75}).first().q == 4.75
+    assert grouped_quantiles(whole.where("false"), [], "v", {"q": 0.75}).collect() == []
+
+
 def test_histogram_covers_every_row(spark):
     df = spark.createDataFrame([(float(i),) for i in range(100)], "v double")
     bins = histogram(df, "v", 24).collect()
